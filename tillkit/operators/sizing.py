@@ -1,0 +1,31 @@
+"""Size-checked broadcast.
+
+A side is broadcast only when the optimizer's size estimate of its plan is
+below a bound; otherwise the join is left to Spark (sort-merge, which AQE may
+still turn into a broadcast once real shuffle sizes are known). Literal seed
+frames are bounded by construction and always pass the check.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default bound: 64 MiB of estimated plan size per broadcast side.
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of ``df`` (None when it cannot be read)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - Connect sessions have no JVM handle
+        return None
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its estimated size is at most ``max_bytes``."""
+    size = estimated_bytes(df)
+    if size is not None and size <= max_bytes:
+        return F.broadcast(df)
+    return df
