@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillkit.operators import pricing, reports
+from tillkit.operators import access, listing, pricing, reports
 from tillkit.sources import binding as B
+from tillkit.sources import seeds
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -133,3 +134,87 @@ def r4(spark, d):
 @plan("R4a_payment_methods_v1")
 def r4a(spark, d):
     return reports.payment_methods_v1(priced(spark, d))
+
+
+# ------------------------------------------------------------ listings, access
+
+@plan("L2_list_products")
+def l2(spark, d):
+    return listing.list_products(B.products(spark, d))
+
+
+@plan("L3_list_customers")
+def l3(spark, d):
+    return listing.list_customers(B.customers(spark, d))
+
+
+@plan("L4_list_invoices")
+def l4(spark, d):
+    return listing.list_invoices(priced(spark, d)).select(
+        "id", "tenant_id", "customer_id", "grand_total", "invoice_status", "created_at")
+
+
+@plan("L10_list_tenant_roles")
+def l10(spark, d):
+    return listing.list_tenant_roles(B.tenant_roles(spark, d))
+
+
+@plan("J1_login_rows")
+def j1(spark, d):
+    return access.login_rows(B.users(spark, d), seeds.roles(spark))
+
+
+@plan("J2_list_users_admin_view")
+def j2_admin(spark, d):
+    return access.list_users(B.users(spark, d), seeds.roles(spark), B.tenant_roles(spark, d),
+                             B.tenants(spark, d), viewer_role_id=1)
+
+
+@plan("J2_list_staff_all_tenants")
+def j2_staff(spark, d):
+    return access.list_users(B.users(spark, d), seeds.roles(spark), B.tenant_roles(spark, d),
+                             B.tenants(spark, d), viewer_role_id=2, all_tenants=True)
+
+
+@plan("J3_user_menus")
+def j3(spark, d):
+    return access.user_menus(B.users(spark, d), seeds.menus(spark), seeds.role_grants(spark),
+                             B.tenant_role_permissions(spark, d))
+
+
+@plan("J8_user_business_type")
+def j8(spark, d):
+    bt = seeds.business_types(spark)
+    tbt = access.tenant_business_type(access.link_business_types(B.tenants(spark, d), bt), bt)
+    u = B.users(spark, d).select(F.col("id").alias("user_id"), "tenant_id")
+    return u.join(tbt, "tenant_id", "left").select(
+        "user_id", "tenant_id", "business_type_id", "business_type_name", "business_type_label")
+
+
+@plan("J11_staff_roles_of_own_tenant")
+def j11(spark, d):
+    u = B.users(spark, d).filter(F.col("tenant_role_id").isNotNull()).select(
+        F.col("id").alias("user_id"), F.col("tenant_role_id").alias("id"), "tenant_id")
+    return access.owned_by_tenant(u, B.tenant_roles(spark, d))
+
+
+@plan("J13_tenant_role_permission_listing")
+def j13(spark, d):
+    trp = B.tenant_role_permissions(spark, d).withColumnRenamed("tenant_role_id", "role_id")
+    return access.permission_listing(trp, B.tenant_roles(spark, d), seeds.menus(spark))
+
+
+@plan("F14_user_branding")
+def f14(spark, d):
+    return access.user_branding(B.users(spark, d), B.tenants(spark, d))
+
+
+@plan("S5_menu_access_log")
+def s5(spark, d):
+    req = B.users(spark, d).select(F.col("id").alias("user_id"), "tenant_id")
+    return access.menu_access_log(req)
+
+
+@plan("A12_active_users_per_tenant_role")
+def a12(spark, d):
+    return access.active_users_per_tenant_role(B.users(spark, d))

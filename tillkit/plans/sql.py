@@ -128,3 +128,89 @@ SQL["R4a_payment_methods_v1"] = _priced() + """
 SELECT tenant_id, payment_method, COUNT(*) AS total_invoices,
        CAST(SUM(grand_total) AS DECIMAL(38,2)) AS total_revenue
 FROM priced WHERE payment_status = 'paid' GROUP BY tenant_id, payment_method"""
+
+# ------------------------------------------------------------ listings, access
+
+SQL["L2_list_products"] = with_ctes("products") + """
+SELECT * FROM products WHERE is_active = TRUE ORDER BY tenant_id, id"""
+
+SQL["L3_list_customers"] = with_ctes("customers") + """
+SELECT * FROM customers WHERE is_active = TRUE ORDER BY tenant_id, id"""
+
+SQL["L4_list_invoices"] = _priced() + """
+SELECT id, tenant_id, customer_id, grand_total, invoice_status, created_at
+FROM priced ORDER BY tenant_id, created_at DESC"""
+
+SQL["L10_list_tenant_roles"] = with_ctes("tenant_roles") + """
+SELECT * FROM tenant_roles WHERE is_active = TRUE ORDER BY tenant_id, name"""
+
+SQL["J1_login_rows"] = with_ctes("users", "roles") + """
+SELECT u.id, u.username, u.full_name, u.role_id, r.name AS role_name, u.tenant_id,
+       u.tenant_role_id, u.is_active
+FROM users u JOIN roles r ON r.id = u.role_id WHERE u.is_active = TRUE"""
+
+_LIST_USERS = """
+SELECT u.id, u.username, u.full_name, u.role_id, r.name AS role_name, u.tenant_id,
+       u.tenant_role_id, tr.name AS tenant_role_name, t.name AS tenant_name, t.business_type,
+       u.is_active, u.created_at
+FROM users u JOIN roles r ON r.id = u.role_id
+LEFT JOIN tenant_roles tr ON tr.id = u.tenant_role_id
+LEFT JOIN tenants t ON t.id = u.tenant_id
+WHERE {where}"""
+
+SQL["J2_list_users_admin_view"] = with_ctes("users", "roles", "tenant_roles", "tenants") + \
+    _LIST_USERS.format(where="u.role_id <> 1")
+SQL["J2_list_staff_all_tenants"] = with_ctes("users", "roles", "tenant_roles", "tenants") + \
+    _LIST_USERS.format(where="u.tenant_id IS NOT NULL AND u.role_id = 3")
+
+SQL["J3_user_menus"] = with_ctes("users", "menus", "role_permissions",
+                                 "tenant_role_permissions") + """
+, perms AS (
+  SELECT u.id AS user_id, p.menu_id, p.can_view, p.can_add, p.can_edit, p.can_delete
+  FROM users u JOIN tenant_role_permissions p ON p.tenant_role_id = u.tenant_role_id
+  WHERE u.tenant_role_id IS NOT NULL AND p.can_view = TRUE
+  UNION ALL
+  SELECT u.id, p.menu_id, p.can_view, p.can_add, p.can_edit, p.can_delete
+  FROM users u JOIN role_permissions p ON p.role_id = u.role_id
+  WHERE u.tenant_role_id IS NULL AND p.can_view = TRUE)
+SELECT p.user_id, m.id AS menu_id, m.name AS menu_name, m.route,
+       COALESCE(m.icon, 'circle') AS icon, m.parent_id, COALESCE(m.sort_order, 0) AS sort_order,
+       p.can_view, p.can_add, p.can_edit, p.can_delete
+FROM perms p JOIN menus m ON m.id = p.menu_id WHERE m.is_active = TRUE"""
+
+SQL["J8_user_business_type"] = with_ctes("users", "tenants", "business_types") + """
+SELECT u.id AS user_id, u.tenant_id, b.id AS business_type_id, b.name AS business_type_name,
+       b.label AS business_type_label
+FROM users u LEFT JOIN tenants t ON t.id = u.tenant_id
+LEFT JOIN business_types b ON b.name = t.business_type"""
+
+SQL["J11_staff_roles_of_own_tenant"] = with_ctes("users", "tenant_roles") + """
+SELECT u.id AS user_id, u.tenant_role_id AS id, u.tenant_id
+FROM users u WHERE u.tenant_role_id IS NOT NULL
+  AND EXISTS (SELECT 1 FROM tenant_roles r WHERE r.id = u.tenant_role_id
+                                            AND r.tenant_id = u.tenant_id)"""
+
+SQL["J13_tenant_role_permission_listing"] = with_ctes("tenant_role_permissions", "tenant_roles",
+                                                      "menus") + """
+SELECT p.tenant_role_id AS role_id, r.name AS role_name, p.menu_id, m.name AS menu_name, m.route,
+       COALESCE(NULLIF(concat_ws(', ', CASE WHEN p.can_view THEN 'View' END,
+                                       CASE WHEN p.can_add THEN 'Add' END,
+                                       CASE WHEN p.can_edit THEN 'Edit' END,
+                                       CASE WHEN p.can_delete THEN 'Delete' END), ''), 'None')
+         AS flags
+FROM tenant_role_permissions p JOIN tenant_roles r ON r.id = p.tenant_role_id
+JOIN menus m ON m.id = p.menu_id"""
+
+SQL["F14_user_branding"] = with_ctes("users", "tenants") + """
+SELECT u.id AS user_id, u.tenant_id,
+       COALESCE(NULLIF(t.name, ''), 'Smart Billing') AS tenant_name,
+       COALESCE(NULLIF(t.theme_color, ''), '#6366F1') AS theme_color
+FROM users u LEFT JOIN tenants t ON t.id = u.tenant_id"""
+
+SQL["S5_menu_access_log"] = with_ctes("users") + """
+SELECT id AS user_id, tenant_id, 'GET_MENUS' AS action, 'menus' AS resource
+FROM users WHERE tenant_id IS NOT NULL"""
+
+SQL["A12_active_users_per_tenant_role"] = with_ctes("users") + """
+SELECT tenant_role_id, COUNT(*) AS active_users FROM users
+WHERE is_active = TRUE AND tenant_role_id IS NOT NULL GROUP BY tenant_role_id"""
