@@ -8,13 +8,16 @@ in ``tillkit.plans.sql``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillkit.operators import access, listing, pricing, reports
+from tillkit.functions.money import PRICE
+from tillkit.operators import aggregates, access, listing, maintenance, pricing, quality, reports
 from tillkit.sources import binding as B
 from tillkit.sources import seeds
+from tillkit.sources.tables import read_table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -218,3 +221,203 @@ def s5(spark, d):
 @plan("A12_active_users_per_tenant_role")
 def a12(spark, d):
     return access.active_users_per_tenant_role(B.users(spark, d))
+
+
+# ----------------------------------------------------------------- maintenance
+
+def _supplier(spark, d):
+    return read_table(spark, d, "supplier")
+
+
+@plan("M1_patch_products")
+def m1(spark, d):
+    part = read_table(spark, d, "part")
+    changes = part.select(
+        F.col("p_partkey").alias("id"),
+        (F.col("p_partkey") % B.TENANT_COUNT).cast("int").alias("tenant_id"),
+        F.when(F.col("p_size") < 5, F.upper("p_name")).alias("name"),
+        F.when(F.col("p_size") > 25,
+               (F.col("p_retailprice").cast(PRICE) * F.lit(Decimal("1.1"))).cast(PRICE)
+               ).alias("price"))
+    return maintenance.patch(B.products(spark, d), changes, ["id", "tenant_id"])
+
+
+def _flag_rows(src, menu_id: int, flags):
+    return src.select(F.col("s_suppkey").alias("tenant_role_id"),
+                      F.lit(menu_id).cast("int").alias("menu_id"),
+                      *[(f if isinstance(f, F.Column) else F.lit(f)).alias(c)
+                        for c, f in zip(seeds.PERMISSION_FIELDS, flags)])
+
+
+@plan("M2_upsert_tenant_role_permissions")
+def m2(spark, d):
+    s = _supplier(spark, d)
+    changes = _flag_rows(s, 5, [F.col("s_acctbal") > 0, False, False, False]).unionByName(
+        _flag_rows(s, 1, [True, True, True, True]))
+    return maintenance.upsert(B.tenant_role_permissions(spark, d), changes,
+                              ["tenant_role_id", "menu_id"])
+
+
+@plan("M3_insert_ignore_grants")
+def m3(spark, d):
+    s = _supplier(spark, d)
+    rows = (_flag_rows(s, 1, [False] * 4).withColumn("pos", F.lit(1))
+            .unionByName(_flag_rows(s, 7, [True, False, False, False]).withColumn("pos", F.lit(1)))
+            .unionByName(_flag_rows(s, 7, [True] * 4).withColumn("pos", F.lit(2))))
+    return maintenance.insert_ignore(B.tenant_role_permissions(spark, d), rows,
+                                     ["tenant_role_id", "menu_id"], order=["pos"])
+
+
+@plan("M4_save_tenant_roles")
+def m4(spark, d):
+    s = _supplier(spark, d)
+    upd = s.filter(F.col("s_acctbal") < 0).select(
+        F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("int").alias("tenant_id"),
+        F.upper("s_name").alias("name"))
+    ins = s.filter(F.col("s_acctbal") > 9000).select(
+        F.lit(0).cast("long").alias("id"), F.col("s_nationkey").cast("int").alias("tenant_id"),
+        F.concat(F.col("s_name"), F.lit(" Senior")).alias("name"))
+    return maintenance.save_by_id(B.tenant_roles(spark, d), upd.unionByName(ins), ["name"],
+                                  tenant_id_col="tenant_id", order=["tenant_id", "name"],
+                                  defaults={"is_active": True})
+
+
+@plan("M5_insert_products_with_defaults")
+def m5(spark, d):
+    part = read_table(spark, d, "part")
+    rows = part.select(
+        F.col("p_partkey").alias("src"),
+        ((F.col("p_partkey") + 1) % B.TENANT_COUNT).cast("int").alias("tenant_id"),
+        F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
+        F.col("p_retailprice").cast(PRICE).alias("price"))
+    return maintenance.insert_with_defaults(
+        B.products(spark, d), rows, {"category": "General", "stock_qty": 0, "is_active": True},
+        order=["src"])
+
+
+@plan("M6_soft_delete_unsold_products")
+def m6(spark, d):
+    p = B.products(spark, d)
+    sold = read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"))
+    unsold = p.select("id").join(sold, "id", "left_anti")
+    return maintenance.soft_delete(p, unsold, ["id"]).select("id", "tenant_id", "is_active")
+
+
+@plan("M9_cascade_deactivate_users")
+def m9(spark, d):
+    ids = read_table(spark, d, "nation").filter(F.col("n_regionkey") == 4).select(
+        F.col("n_nationkey").cast("int").alias("id"))
+    _, users = maintenance.cascade_deactivate(B.tenants(spark, d), B.users(spark, d), ids)
+    return users.select("id", "tenant_id", "is_active")
+
+
+@plan("M10_toggle_users")
+def m10(spark, d):
+    c = read_table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    u = B.users(spark, d)
+    req = u.join(c.select(F.col("c_custkey").alias("id")), "id", "left_semi").select(
+        "id", "tenant_id")
+    return maintenance.toggle_active(u, req).select("id", "tenant_id", "is_active")
+
+
+@plan("M11_delete_inactive_users")
+def m11(spark, d):
+    u = B.users(spark, d)
+    gone = u.filter(~F.col("is_active")).select("id")
+    return maintenance.hard_delete(u, gone, ["id"]).select("id", "tenant_id", "role_id")
+
+
+@plan("M12_replace_role_permissions")
+def m12(spark, d):
+    owners = _supplier(spark, d).filter(F.col("s_acctbal") < 0)
+    menus = F.array(*[F.lit(m).cast("int") for m in (1, 2, 8, 9)])
+    new = owners.select(F.col("s_suppkey").alias("tenant_role_id"),
+                        F.explode(menus).alias("menu_id"),
+                        F.lit(True).alias("can_view"), F.lit(True).alias("can_add"),
+                        F.lit(False).alias("can_edit"), F.lit(False).alias("can_delete"))
+    return maintenance.replace_sets(
+        B.tenant_role_permissions(spark, d), "tenant_role_id",
+        owners.select(F.col("s_suppkey").alias("tenant_role_id")), new)
+
+
+@plan("M14_update_billing_grants")
+def m14(spark, d):
+    return maintenance.update_where(B.tenant_role_permissions(spark, d),
+                                    F.col("menu_id").isin(2, 8, 9),
+                                    {"can_edit": False, "can_delete": False})
+
+
+@plan("M15_products_with_new_columns")
+def m15(spark, d):
+    p = B.products(spark, d)
+    p = maintenance.add_column(p, "discount", 0, "decimal(12,2)")
+    p = maintenance.add_column(p, "discount_type", "percent", "string")
+    p = maintenance.add_column(p, "tax_percent", 0, "decimal(5,2)")
+    return maintenance.add_column(p, "variants", "{}", "string")
+
+
+# --------------------------------------------------------- quality, aggregates
+
+def _headers_as_invoices(spark, d):
+    return B.invoice_headers(spark, d).withColumnRenamed("request_id", "id")
+
+
+@plan("E2_invalid_payment_method")
+def e2(spark, d):
+    return quality.check_allowed(_headers_as_invoices(spark, d), "invoices", "payment_method",
+                                 seeds.PAYMENT_METHODS, ["id"])
+
+
+@plan("E5_duplicate_invoice_lines")
+def e5(spark, d):
+    return quality.check_unique(B.invoice_lines(spark, d), "invoice_lines",
+                                ["invoice_id", "line_no"])
+
+
+@plan("E6_orphan_line_products")
+def e6(spark, d):
+    return quality.check_foreign_key(B.invoice_lines(spark, d), "invoice_lines", ["product_id"],
+                                     B.products(spark, d), ["id"], ["invoice_id", "line_no"])
+
+
+@plan("E7_missing_product_price")
+def e7(spark, d):
+    return quality.check_not_null(B.products(spark, d), "products", "price", ["id"])
+
+
+@plan("E_quality_summary")
+def e_summary(spark, d):
+    inv = _headers_as_invoices(spark, d)
+    lines = B.invoice_lines(spark, d)
+    checks = [
+        quality.check_allowed(inv, "invoices", "payment_method", seeds.PAYMENT_METHODS, ["id"]),
+        quality.check_allowed(inv, "invoices", "payment_status", seeds.PAYMENT_STATUSES, ["id"]),
+        quality.check_unique(lines, "invoice_lines", ["invoice_id", "line_no"]),
+        quality.check_foreign_key(lines, "invoice_lines", ["product_id"], B.products(spark, d),
+                                  ["id"], ["invoice_id", "line_no"]),
+        quality.check_foreign_key(inv, "invoices", ["customer_id"], B.customers(spark, d),
+                                  ["id"], ["id"]),
+        quality.check_not_null(inv, "invoices", "tenant_id", ["id"]),
+    ]
+    allv = checks[0]
+    for c in checks[1:]:
+        allv = allv.unionByName(c)
+    return quality.violation_summary(allv)
+
+
+@plan("A10_products_per_business_type")
+def a10(spark, d):
+    t = B.tenants(spark, d).select("id", F.col("business_type").alias("label"))
+    return aggregates.count_by_label(B.products(spark, d), t, "tenant_id")
+
+
+@plan("A11_rows_per_tenant")
+def a11(spark, d):
+    return aggregates.rows_per_tenant({
+        "customers": B.customers(spark, d), "products": B.products(spark, d),
+        "invoices": B.invoice_headers(spark, d)})
+
+
+@plan("A13_duplicate_product_names")
+def a13(spark, d):
+    return aggregates.duplicates_keep_least(B.products(spark, d), "name")

@@ -214,3 +214,186 @@ FROM users WHERE tenant_id IS NOT NULL"""
 SQL["A12_active_users_per_tenant_role"] = with_ctes("users") + """
 SELECT tenant_role_id, COUNT(*) AS active_users FROM users
 WHERE is_active = TRUE AND tenant_role_id IS NOT NULL GROUP BY tenant_role_id"""
+
+# ----------------------------------------------------------------- maintenance
+
+_PRODUCT_COLS = "id, tenant_id, name, category, brand, price, stock_qty, is_active"
+_TRP_COLS = "tenant_role_id, menu_id, can_view, can_add, can_edit, can_delete"
+
+SQL["M1_patch_products"] = with_ctes("products") + """
+, changes AS (
+  SELECT p_partkey AS id, CAST(p_partkey % 25 AS INTEGER) AS tenant_id,
+         CASE WHEN p_size < 5 THEN upper(p_name) END AS name,
+         CASE WHEN p_size > 25 THEN CAST(CAST(p_retailprice AS DECIMAL(12,2))
+                                         * CAST(1.1 AS DECIMAL(2,1)) AS DECIMAL(12,2)) END AS price
+  FROM part)
+SELECT p.id, p.tenant_id, COALESCE(c.name, p.name) AS name, p.category, p.brand,
+       COALESCE(c.price, p.price) AS price, p.stock_qty, p.is_active
+FROM products p LEFT JOIN changes c ON c.id = p.id AND c.tenant_id = p.tenant_id"""
+
+SQL["M2_upsert_tenant_role_permissions"] = with_ctes("tenant_role_permissions") + """
+, changes AS (
+  SELECT s_suppkey AS tenant_role_id, 5 AS menu_id, s_acctbal > 0 AS can_view,
+         FALSE AS can_add, FALSE AS can_edit, FALSE AS can_delete FROM supplier
+  UNION ALL
+  SELECT s_suppkey, 1, TRUE, TRUE, TRUE, TRUE FROM supplier)
+SELECT COALESCE(t.tenant_role_id, c.tenant_role_id) AS tenant_role_id,
+       CAST(COALESCE(t.menu_id, c.menu_id) AS INTEGER) AS menu_id,
+       CASE WHEN c.tenant_role_id IS NOT NULL THEN c.can_view ELSE t.can_view END AS can_view,
+       CASE WHEN c.tenant_role_id IS NOT NULL THEN c.can_add ELSE t.can_add END AS can_add,
+       CASE WHEN c.tenant_role_id IS NOT NULL THEN c.can_edit ELSE t.can_edit END AS can_edit,
+       CASE WHEN c.tenant_role_id IS NOT NULL THEN c.can_delete ELSE t.can_delete END AS can_delete
+FROM tenant_role_permissions t FULL OUTER JOIN changes c
+  ON c.tenant_role_id = t.tenant_role_id AND c.menu_id = t.menu_id"""
+
+SQL["M3_insert_ignore_grants"] = with_ctes("tenant_role_permissions") + f"""
+, rows_in AS (
+  SELECT s_suppkey AS tenant_role_id, 1 AS menu_id, FALSE AS can_view, FALSE AS can_add,
+         FALSE AS can_edit, FALSE AS can_delete, 1 AS pos FROM supplier
+  UNION ALL SELECT s_suppkey, 7, TRUE, FALSE, FALSE, FALSE, 1 FROM supplier
+  UNION ALL SELECT s_suppkey, 7, TRUE, TRUE, TRUE, TRUE, 2 FROM supplier)
+, firsts AS (
+  SELECT * FROM rows_in
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY tenant_role_id, menu_id ORDER BY pos) = 1)
+SELECT {_TRP_COLS} FROM tenant_role_permissions
+UNION ALL
+SELECT f.tenant_role_id, CAST(f.menu_id AS INTEGER), f.can_view, f.can_add, f.can_edit,
+       f.can_delete
+FROM firsts f
+WHERE NOT EXISTS (SELECT 1 FROM tenant_role_permissions t
+                  WHERE t.tenant_role_id = f.tenant_role_id AND t.menu_id = f.menu_id)"""
+
+SQL["M4_save_tenant_roles"] = with_ctes("tenant_roles") + """
+, upd AS (
+  SELECT s_suppkey AS id, CAST(s_nationkey AS INTEGER) AS tenant_id, upper(s_name) AS name
+  FROM supplier WHERE s_acctbal < 0)
+, ins AS (
+  SELECT CAST(s_nationkey AS INTEGER) AS tenant_id, s_name || ' Senior' AS name
+  FROM supplier WHERE s_acctbal > 9000)
+SELECT r.id, r.tenant_id, CASE WHEN u.id IS NOT NULL THEN u.name ELSE r.name END AS name,
+       r.is_active
+FROM tenant_roles r
+LEFT JOIN upd u ON u.id = r.id AND (u.tenant_id IS NULL OR u.tenant_id = r.tenant_id)
+UNION ALL
+SELECT (SELECT max(id) FROM tenant_roles) + ROW_NUMBER() OVER (ORDER BY tenant_id, name),
+       tenant_id, name, TRUE
+FROM ins"""
+
+SQL["M5_insert_products_with_defaults"] = with_ctes("products") + f"""
+SELECT {_PRODUCT_COLS} FROM products
+UNION ALL
+SELECT (SELECT max(id) FROM products) + ROW_NUMBER() OVER (ORDER BY p_partkey) AS id,
+       CAST((p_partkey + 1) % 25 AS INTEGER) AS tenant_id, p_name AS name,
+       'General' AS category, p_brand AS brand, CAST(p_retailprice AS DECIMAL(12,2)) AS price,
+       CAST(0 AS DECIMAL(12,3)) AS stock_qty, TRUE AS is_active
+FROM part"""
+
+SQL["M6_soft_delete_unsold_products"] = with_ctes("products") + """
+SELECT p.id, p.tenant_id,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.id) THEN FALSE
+            ELSE p.is_active END AS is_active
+FROM products p"""
+
+SQL["M9_cascade_deactivate_users"] = with_ctes("users") + """
+SELECT id, tenant_id,
+       CASE WHEN tenant_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 4) THEN FALSE
+            ELSE is_active END AS is_active
+FROM users"""
+
+SQL["M10_toggle_users"] = with_ctes("users") + """
+SELECT u.id, u.tenant_id,
+       CASE WHEN c.c_mktsegment = 'BUILDING' THEN NOT u.is_active ELSE u.is_active END
+         AS is_active
+FROM users u JOIN customer c ON c.c_custkey = u.id"""
+
+SQL["M11_delete_inactive_users"] = with_ctes("users") + """
+SELECT id, tenant_id, role_id FROM users WHERE is_active IS DISTINCT FROM FALSE"""
+
+SQL["M12_replace_role_permissions"] = with_ctes("tenant_role_permissions") + f"""
+SELECT {_TRP_COLS} FROM tenant_role_permissions
+WHERE tenant_role_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+UNION ALL
+SELECT s_suppkey, CAST(unnest([1, 2, 8, 9]) AS INTEGER), TRUE, TRUE, FALSE, FALSE
+FROM supplier WHERE s_acctbal < 0"""
+
+SQL["M14_update_billing_grants"] = with_ctes("tenant_role_permissions") + """
+SELECT tenant_role_id, menu_id, can_view, can_add,
+       CASE WHEN menu_id IN (2, 8, 9) THEN FALSE ELSE can_edit END AS can_edit,
+       CASE WHEN menu_id IN (2, 8, 9) THEN FALSE ELSE can_delete END AS can_delete
+FROM tenant_role_permissions"""
+
+SQL["M15_products_with_new_columns"] = with_ctes("products") + f"""
+SELECT {_PRODUCT_COLS}, CAST(0 AS DECIMAL(12,2)) AS discount, 'percent' AS discount_type,
+       CAST(0 AS DECIMAL(5,2)) AS tax_percent, '{{}}' AS variants
+FROM products"""
+
+# --------------------------------------------------------- quality, aggregates
+
+_HDR_INV = "(SELECT request_id AS id, * EXCLUDE (request_id) FROM headers) inv"
+
+SQL["E2_invalid_payment_method"] = with_ctes("headers") + f"""
+SELECT 'invoices' AS table_name, 'check:payment_method' AS rule,
+       COALESCE(CAST(id AS VARCHAR), 'NULL') AS row_key, payment_method AS value
+FROM {_HDR_INV}
+WHERE payment_method IS NOT NULL AND payment_method NOT IN ('cash', 'upi', 'card')"""
+
+_E5 = """
+SELECT 'invoice_lines' AS table_name, 'unique:invoice_id,line_no' AS rule,
+       COALESCE(CAST(invoice_id AS VARCHAR), 'NULL') || '|' ||
+       COALESCE(CAST(line_no AS VARCHAR), 'NULL') AS row_key,
+       CAST(COUNT(*) AS VARCHAR) AS value
+FROM lines WHERE invoice_id IS NOT NULL AND line_no IS NOT NULL
+GROUP BY invoice_id, line_no HAVING COUNT(*) > 1"""
+
+SQL["E5_duplicate_invoice_lines"] = with_ctes("lines") + _E5
+
+_E6 = """
+SELECT 'invoice_lines' AS table_name, 'fk:product_id' AS rule,
+       COALESCE(CAST(invoice_id AS VARCHAR), 'NULL') || '|' ||
+       COALESCE(CAST(line_no AS VARCHAR), 'NULL') AS row_key,
+       COALESCE(CAST(product_id AS VARCHAR), 'NULL') AS value
+FROM lines l WHERE product_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM products p WHERE p.id = l.product_id)"""
+
+SQL["E6_orphan_line_products"] = with_ctes("lines", "products") + _E6
+
+SQL["E7_missing_product_price"] = with_ctes("products") + """
+SELECT 'products' AS table_name, 'not_null:price' AS rule,
+       COALESCE(CAST(id AS VARCHAR), 'NULL') AS row_key, CAST(NULL AS VARCHAR) AS value
+FROM products WHERE price IS NULL"""
+
+SQL["E_quality_summary"] = with_ctes("headers", "lines", "products", "customers") + f"""
+, v AS (
+  SELECT 'invoices' AS table_name, 'check:payment_method' AS rule FROM {_HDR_INV}
+  WHERE payment_method IS NOT NULL AND payment_method NOT IN ('cash', 'upi', 'card')
+  UNION ALL
+  SELECT 'invoices', 'check:payment_status' FROM {_HDR_INV}
+  WHERE payment_status IS NOT NULL AND payment_status NOT IN ('paid', 'pending', 'cancelled')
+  UNION ALL SELECT table_name, rule FROM ({_E5})
+  UNION ALL SELECT table_name, rule FROM ({_E6})
+  UNION ALL
+  SELECT 'invoices', 'fk:customer_id' FROM {_HDR_INV}
+  WHERE customer_id IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM customers c WHERE c.id = inv.customer_id)
+  UNION ALL
+  SELECT 'invoices', 'not_null:tenant_id' FROM {_HDR_INV} WHERE tenant_id IS NULL)
+SELECT table_name, rule, COUNT(*) AS violations FROM v GROUP BY table_name, rule"""
+
+SQL["A10_products_per_business_type"] = with_ctes("products", "tenants") + """
+SELECT t.business_type AS label, CAST(COUNT(*) AS BIGINT) AS row_count
+FROM products p JOIN tenants t ON t.id = p.tenant_id
+WHERE p.is_active = TRUE GROUP BY t.business_type"""
+
+SQL["A11_rows_per_tenant"] = with_ctes("customers", "products", "headers") + """
+, c AS (SELECT tenant_id, COUNT(*) AS n FROM customers GROUP BY tenant_id)
+, p AS (SELECT tenant_id, COUNT(*) AS n FROM products GROUP BY tenant_id)
+, i AS (SELECT tenant_id, COUNT(*) AS n FROM headers GROUP BY tenant_id)
+SELECT COALESCE(c.tenant_id, p.tenant_id, i.tenant_id) AS tenant_id,
+       COALESCE(c.n, 0) AS customers_count, COALESCE(p.n, 0) AS products_count,
+       COALESCE(i.n, 0) AS invoices_count
+FROM c FULL OUTER JOIN p ON p.tenant_id = c.tenant_id
+FULL OUTER JOIN i ON i.tenant_id = COALESCE(c.tenant_id, p.tenant_id)"""
+
+SQL["A13_duplicate_product_names"] = with_ctes("products") + """
+SELECT name, COUNT(*) AS copies, MIN(id) AS keep_id
+FROM products GROUP BY name HAVING COUNT(*) > 1"""
