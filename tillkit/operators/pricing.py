@@ -117,9 +117,20 @@ def line_totals(lines: DataFrame, version="v3", key: str = "invoice_id") -> Data
 
 
 def price_invoice_lines(headers: DataFrame, lines: DataFrame, version="v3",
-                        key: str = "request_id", line_key: str = "invoice_id") -> DataFrame:
-    """B1 on headers + normalised lines; invoices without lines price to zero."""
+                        key: str = "request_id", line_key: str = "invoice_id",
+                        restrict_to: DataFrame | None = None) -> DataFrame:
+    """B1 on headers + normalised lines; invoices without lines price to zero.
+
+    ``restrict_to`` (one column: invoice keys) semi-joins the lines before they
+    are aggregated. Pass the keys of a filtered header scan (a date range):
+    the semi join sits right above the line scan, so Spark's runtime bloom
+    filter, built from the filtered keys, drops other lines in the scan
+    before the shuffle instead of pricing every line.
+    """
     v = _version(version)
+    if restrict_to is not None:
+        wanted = restrict_to.select(F.col(restrict_to.columns[0]).alias(line_key))
+        lines = lines.join(wanted, line_key, "left_semi")
     totals = line_totals(lines, v, line_key)
     j = headers.join(totals, headers[key] == totals["_key"], "left")
     zero = F.lit(0).cast(M.WORK)

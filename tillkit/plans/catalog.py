@@ -13,6 +13,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillkit.functions import predicates as P
 from tillkit.functions.money import PRICE
 from tillkit.operators import aggregates, access, listing, maintenance, pricing, quality, reports
 from tillkit.sources import binding as B
@@ -33,10 +34,18 @@ def plan(name: str):
     return deco
 
 
-def priced(spark: SparkSession, d: str, version: str = "v3") -> DataFrame:
-    """The invoices table: every bound order priced from its lines."""
-    return pricing.price_invoice_lines(B.invoice_headers(spark, d), B.invoice_lines(spark, d),
-                                       version)
+def priced(spark: SparkSession, d: str, version: str = "v3", start=None, end=None) -> DataFrame:
+    """The invoices table: every bound order priced from its lines.
+
+    With a date range the headers are filtered first and only the lines of
+    the orders in range are priced (``restrict_to``).
+    """
+    hdr = B.invoice_headers(spark, d)
+    keys = None
+    if start is not None or end is not None:
+        hdr = hdr.filter(P.created_between(start, end))
+        keys = B.invoice_keys(spark, d).filter(P.created_between(start, end)).select("request_id")
+    return pricing.price_invoice_lines(hdr, B.invoice_lines(spark, d), version, restrict_to=keys)
 
 
 # ------------------------------------------------------------------ pricing
@@ -95,7 +104,8 @@ def r1(spark, d):
 
 @plan("R1_sales_summary_range")
 def r1_range(spark, d):
-    return reports.sales_summary(priced(spark, d), start=RANGE_START, end=RANGE_END)
+    inv = priced(spark, d, start=RANGE_START, end=RANGE_END)
+    return reports.sales_summary(inv, start=RANGE_START, end=RANGE_END)
 
 
 @plan("R1a_sales_summary_v1")
@@ -110,7 +120,8 @@ def r2(spark, d):
 
 @plan("R2_daily_sales_range")
 def r2_range(spark, d):
-    return reports.daily_sales(priced(spark, d), start=RANGE_START, end=RANGE_END)
+    inv = priced(spark, d, start=RANGE_START, end=RANGE_END)
+    return reports.daily_sales(inv, start=RANGE_START, end=RANGE_END)
 
 
 @plan("R2a_daily_sales_v1")

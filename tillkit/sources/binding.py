@@ -136,6 +136,12 @@ def invoice_headers(spark: SparkSession, base: str, variant: bool = True) -> Dat
     )
 
 
+def invoice_keys(spark: SparkSession, base: str) -> DataFrame:
+    """Invoice id and time straight from the order scan (for key restriction)."""
+    return read_table(spark, base, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"))
+
+
 def invoice_requests(spark: SparkSession, base: str, variant: bool = True) -> DataFrame:
     """Nested form: headers with an ``items`` array (the reference's JSONB column).
 

@@ -26,8 +26,11 @@ def daily_sales_updates(invoices: DataFrame, watermark: str = "2 days") -> DataF
     Late invoices are accepted until the watermark passes their day; after
     that the (tenant, day) state is dropped, so state stays bounded.
     """
-    w = (invoices.withWatermark("created_at", watermark)
-         .groupBy("tenant_id", F.window("created_at", DAY).alias("w"))
+    # Watermarks need TIMESTAMP; invoice times are TIMESTAMP_NTZ. With the
+    # session time zone at UTC the cast keeps the same wall-clock day.
+    ev = invoices.withColumn("_event_time", F.col("created_at").cast("timestamp"))
+    w = (ev.withWatermark("_event_time", watermark)
+         .groupBy("tenant_id", F.window("_event_time", DAY).alias("w"))
          .agg(F.sum("grand_total").cast(MONEY_SUM).alias("total_revenue"),
               F.count("id").alias("total_invoices")))
     return w.select("tenant_id", F.to_date(F.col("w.start")).alias("sale_date"),
