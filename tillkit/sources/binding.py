@@ -30,7 +30,7 @@ from tillkit.functions.money import MONEY, PRICE, QTY, RATE
 from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources import seeds
 from tillkit.sources.schemas import ITEM
-from tillkit.sources.tables import read_table
+from tillkit.sources.tables import read_table, spread
 
 # FIXED VALUES of the binding (shared with the oracle SQL).
 TENANT_COUNT = 25                      # nation rows at every scale factor
@@ -83,7 +83,9 @@ def products(spark: SparkSession, base: str) -> DataFrame:
 
 def invoice_lines(spark: SparkSession, base: str) -> DataFrame:
     """Flat invoice lines: lineitem priced at the part's catalogue price."""
-    li = read_table(spark, base, "lineitem")
+    li = spread(read_table(spark, base, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax"),
+        "l_orderkey")
     price = read_table(spark, base, "part").select(
         F.col("p_partkey"), F.col("p_retailprice").cast(PRICE).alias("unit_price"))
     joined = li.join(broadcast_if_small(price), li.l_partkey == price.p_partkey, "left")
@@ -112,7 +114,9 @@ def invoice_headers(spark: SparkSession, base: str, variant: bool = True) -> Dat
     ``variant`` sets bill discount and paid amount to ``o_orderkey % 7``
     (both 0 otherwise).
     """
-    o = read_table(spark, base, "orders")
+    o = spread(read_table(spark, base, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"),
+        "o_orderkey")
     c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
     j = o.join(broadcast_if_small(c), o.o_custkey == c.c_custkey, "left")
     amount = (F.col("o_orderkey") % 7) if variant else F.lit(0)

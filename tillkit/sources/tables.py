@@ -15,6 +15,25 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan by ``keys`` only when it has fewer splits than cores.
+
+    A small table stored as one row group is read by a single task; every
+    later per-row expression would then run on one core. When the scan already
+    has at least ``defaultParallelism`` splits (always the case on a large
+    table) the frame is returned unchanged and no shuffle is added. The
+    partitioning is on the key the next join/aggregate uses, so that operator
+    reuses it instead of shuffling again.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Connect): leave as is
+        return df
+    return df.repartition(cores, *keys)
+
+
 def append_partitioned(df: DataFrame, path: str, partition_col: str = "tenant_id") -> None:
     """Append rows, one folder per tenant (partition pruning on read).
 
