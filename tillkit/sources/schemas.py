@@ -67,3 +67,18 @@ USER = T.StructType([
     T.StructField("is_active", T.BooleanType(), True),
     T.StructField("created_at", T.DateType(), True),
 ])
+
+
+def parse_items(json_text):
+    """Decode a JSON array of invoice lines (the JSONB ``items`` text) into
+    ``array<struct>``; numbers are read into the item's decimal types."""
+    from pyspark.sql import functions as F
+
+    return F.from_json(json_text, ITEMS)
+
+
+def items_json(items):
+    """S3: encode an ``items`` array back to JSON text."""
+    from pyspark.sql import functions as F
+
+    return F.to_json(items)
