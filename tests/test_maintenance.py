@@ -3,7 +3,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tillkit.operators import access, maintenance as M
+from tillkit.operators import maintenance as M
 from tillkit.sources import seeds
 
 

@@ -1,6 +1,5 @@
 import os
 
-from pyspark.sql import functions as F
 
 from tillkit.operators import pricing, reports
 from tillkit.plans.catalog import priced

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillkit.functions import money as M
 from tillkit.functions import predicates as P
 from tillkit.functions.ordering import pg_desc
+from tillkit.operators.sizing import broadcast_if_small
 
 TOP_K = 10  # fixed limit of the top-products report
 
@@ -113,6 +114,29 @@ def _top(df: DataFrame, tenant_id, order: list[Column], k: int) -> DataFrame:
               .filter(F.col("rank") <= k))
 
 
+def _sold_by_product(invoices: DataFrame, lines: DataFrame, tenant_id, line_key: str,
+                     revenue, start=None, end=None, customer_id=None,
+                     paid_only: bool = False) -> DataFrame:
+    """Quantity and revenue per (tenant, product id) of the invoices in scope.
+
+    Summed *before* the product look-up: sums are decomposable and exact in
+    decimal, so the product join sees one row per (tenant, product) instead
+    of one per line, and a hot product cannot skew it.
+    """
+    inv = _scope(invoices, tenant_id, start, end, customer_id, paid_only).select(
+        F.col("id").alias("_iid"), "tenant_id")
+    ln = lines.select(F.col(line_key).alias("_lid"), "product_id", "quantity", "unit_price",
+                      *(["discount"] if "discount" in lines.columns else []))
+    ex = ln.join(inv, ln["_lid"] == inv["_iid"], "inner")
+    return ex.groupBy("tenant_id", "product_id").agg(
+        F.sum("quantity").alias("_qty"), F.sum(revenue).alias("_rev"))
+
+
+def _with_names(sold: DataFrame, products: DataFrame) -> DataFrame:
+    prod = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"))
+    return sold.join(broadcast_if_small(prod), sold["product_id"] == prod["_pid"], "inner")
+
+
 def top_products(invoices: DataFrame, lines: DataFrame, products: DataFrame, tenant_id=None,
                  start=None, end=None, customer_id=None, k: int = TOP_K,
                  line_key: str = "invoice_id") -> DataFrame:
@@ -122,31 +146,22 @@ def top_products(invoices: DataFrame, lines: DataFrame, products: DataFrame, ten
     percent lines (N9); products join by id with no tenant test and group by
     **name**, merging same-named products (N10). Ties break on name (N12).
     """
-    inv = _scope(invoices, tenant_id, start, end, customer_id).select(
-        F.col("id").alias("_iid"), "tenant_id")
-    ln = lines.select(F.col(line_key).alias("_lid"), "product_id", "quantity", "unit_price",
-                      "discount")
-    ex = ln.join(inv, ln["_lid"] == inv["_iid"], "inner")
-    prod = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"))
-    j = ex.join(prod, ex["product_id"] == prod["_pid"], "inner")
-    net = (F.col("quantity") * F.col("unit_price") - F.coalesce(F.col("discount"), F.lit(0)))
+    net = F.col("quantity") * F.col("unit_price") - F.coalesce(F.col("discount"), F.lit(0))
+    sold = _sold_by_product(invoices, lines, tenant_id, line_key, net, start, end, customer_id)
     keys = _keys(tenant_id, "product_name")
-    g = j.groupBy(*keys).agg(F.sum("quantity").cast(M.QTY_SUM).alias("total_qty"),
-                             F.sum(net).cast(M.REVENUE_SUM).alias("total_revenue"))
+    g = _with_names(sold, products).groupBy(*keys).agg(
+        F.sum("_qty").cast(M.QTY_SUM).alias("total_qty"),
+        F.sum("_rev").cast(M.REVENUE_SUM).alias("total_revenue"))
     return _top(g, tenant_id, [pg_desc("total_revenue"), F.col("product_name")], k)
 
 
 def top_products_v1(invoices: DataFrame, lines: DataFrame, products: DataFrame, tenant_id=None,
                     k: int = TOP_K, line_key: str = "invoice_id") -> DataFrame:
     """Paid only, by quantity, gross revenue, grouped by (product id, name)."""
-    inv = _scope(invoices, tenant_id, paid_only=True).select(F.col("id").alias("_iid"), "tenant_id")
-    ln = lines.select(F.col(line_key).alias("_lid"), "product_id", "quantity", "unit_price")
-    ex = ln.join(inv, ln["_lid"] == inv["_iid"], "inner")
-    prod = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"))
-    j = ex.join(prod, ex["product_id"] == prod["_pid"], "inner")
+    gross = F.col("unit_price") * F.col("quantity")
+    sold = _sold_by_product(invoices, lines, tenant_id, line_key, gross, paid_only=True)
     keys = _keys(tenant_id, "product_id", "product_name")
-    g = j.groupBy(*keys).agg(
-        F.sum("quantity").cast(M.QTY_SUM).alias("total_qty"),
-        F.sum(F.col("unit_price") * F.col("quantity")).cast(M.REVENUE_SUM).alias("total_revenue"))
+    g = _with_names(sold, products).groupBy(*keys).agg(
+        F.sum("_qty").cast(M.QTY_SUM).alias("total_qty"),
+        F.sum("_rev").cast(M.REVENUE_SUM).alias("total_revenue"))
     return _top(g, tenant_id, [pg_desc("total_qty"), F.col("product_id")], k)
-

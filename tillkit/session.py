@@ -22,9 +22,17 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # Files are read in 128 MiB splits; at 100 TB this gives ~800k scan tasks,
-    # which AQE coalesces after the first shuffle.
+    # Files are read in 128 MiB splits; at 100 TB this gives ~800k scan tasks.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # Shuffles target ~256 MiB per reduce task: AQE coalesces small partitions
+    # and splits skewed ones (a partition 5x the median and over 512 MiB).
+    # On a cluster, set spark.sql.shuffle.partitions to roughly
+    # (largest shuffle bytes / 256 MiB) as the upper bound AQE coalesces from.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    # Date-range reports rely on runtime bloom filters reaching the line scan.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
