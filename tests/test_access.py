@@ -105,3 +105,14 @@ def test_features_map_and_listings(spark, fx):
     assert [(r.id, r.tenant_id) for r in semi] == [(70, 5)]
     log = access.menu_access_log(fx["users"].select(F.col("id").alias("user_id"), "tenant_id")).count()
     assert log == 4
+
+
+def test_menu_response_per_user(spark, fx):
+    feats = spark.createDataFrame([(5, "kot", True)], "tenant_id int, feature_key string, enabled boolean")
+    out = {r.user_id: r for r in access.menu_response(fx["users"], fx["menus"], fx["rp"], fx["trp"],
+                                                       feats, fx["tenants"]).collect()}
+    assert [m.id for m in out[1].menus] == list(range(1, 13))
+    assert out[1].features == {} and out[1].tenant_name == "Smart Billing"
+    assert [m.id for m in out[3].menus] == [1] and out[3].features == {"kot": True}
+    assert "can_edit" not in out[3].menus[0].asDict()
+    assert out[5].menus and out[5].features == {}

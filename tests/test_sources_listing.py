@@ -95,3 +95,16 @@ def test_tenants_with_features(spark):
     rows = access.tenants_with_features(B.tenants(spark, d), B.tenant_features(spark, d), "restaurant").collect()
     assert rows and all(r.business_type == "restaurant" for r in rows)
     assert {r.feature_key for r in rows} == {"kot", "table_mgmt", "barcode"}
+
+
+def test_first_row_some_rows_and_as_of(spark):
+    df = spark.createDataFrame([(3,), (1,), (2,)], "id int")
+    assert [r.id for r in listing.first_row(df, "id").collect()] == [1]
+    assert listing.first_row(df.filter("id > 5"), "id").count() == 0
+    assert [r.id for r in listing.some_rows(df, 2, F.col("id").desc()).collect()] == [3, 2]
+    from tillkit.sources.schemas import INVOICE_REQUEST
+    req = spark.createDataFrame([(1, 1, None, None, [], "cash", D("0"), "Paid", None, None, None, None, None)],
+                                INVOICE_REQUEST)
+    stamped = pricing.price_invoices(req, as_of=dt.datetime(2024, 2, 3, 4, 5)).first()
+    assert stamped.created_at == dt.datetime(2024, 2, 3, 4, 5)
+    assert pricing.price_invoices(req).first().created_at is not None

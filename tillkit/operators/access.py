@@ -235,3 +235,36 @@ def active_users_per_tenant_role(users: DataFrame) -> DataFrame:
     """Active users per tenant role (the guard of deleting a role)."""
     return (users.filter(P.is_live() & F.col("tenant_role_id").isNotNull())
             .groupBy("tenant_role_id").agg(F.count(F.lit(1)).alias("active_users")))
+
+
+def menu_response(users: DataFrame, menus: DataFrame, role_permissions: DataFrame,
+                  tenant_role_permissions: DataFrame, tenant_features: DataFrame,
+                  tenants: DataFrame) -> DataFrame:
+    """Path 3 for every user: menus (J3, without ``can_edit`` as in the
+    response), feature map (A8, empty without a tenant) and branding (F14).
+
+    The per-user menu list is bounded by the menu table; it is collected with
+    ``collect_list`` of structs whose first field is the tree position, then
+    sorted, so the order is the J3 order.
+    """
+    um = user_menus(users, menus, role_permissions, tenant_role_permissions)
+    pos = F.struct(F.col("parent_id").isNotNull().alias("_child"),
+                   F.coalesce(F.col("parent_id"), F.lit(0)).alias("_parent"),
+                   F.col("sort_order").alias("_sort"), F.col("menu_name").alias("_name"))
+    item = F.struct(pos.alias("_pos"), F.col("menu_id").alias("id"),
+                    F.col("menu_name").alias("name"), "route", "icon", "parent_id",
+                    "sort_order", "can_view", "can_add", "can_delete")
+    per_user = um.groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("_m"))
+    per_user = per_user.select("user_id", F.transform("_m", lambda x: x.dropFields("_pos"))
+                               .alias("menus"))
+    feats = feature_map(tenant_features)
+    brand = user_branding(users, tenants)
+    out = (brand.join(per_user, "user_id", "left")
+           .join(broadcast_if_small(feats), "tenant_id", "left"))
+    no_tenant = F.col("tenant_id").isNull()
+    return out.select(
+        "user_id", "tenant_id",
+        F.coalesce(F.col("menus"), F.array().cast(per_user.schema["menus"].dataType)).alias("menus"),
+        F.when(no_tenant | F.col("features").isNull(),
+               F.create_map().cast("map<string,boolean>")).otherwise(F.col("features")).alias("features"),
+        "theme_color", "tenant_name")

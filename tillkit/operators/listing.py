@@ -126,3 +126,13 @@ def tenant_branding(tenants: DataFrame) -> DataFrame:
         F.col("id").alias("tenant_id"),
         default_if_blank(F.col("name"), seeds.DEFAULT_TENANT_NAME).alias("tenant_name"),
         default_if_blank(F.col("theme_color"), seeds.DEFAULT_THEME_COLOR).alias("theme_color"))
+
+
+def first_row(df: DataFrame, *order) -> DataFrame:
+    """The first row by ``order``, or nothing (``LIMIT 1`` made deterministic)."""
+    return df.orderBy(*order).limit(1)
+
+
+def some_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """``LIMIT n``, made deterministic by an order (TakeOrderedAndProject)."""
+    return df.orderBy(*order).limit(n)

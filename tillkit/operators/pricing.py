@@ -41,7 +41,15 @@ def _version(version) -> M.PricingVersion:
     return M.VERSIONS[version] if isinstance(version, str) else version
 
 
-def _finalize(df: DataFrame, version: M.PricingVersion, key: str) -> DataFrame:
+def _created_at(df: DataFrame, as_of) -> F.Column:
+    """X11: the request time, else ``as_of``, else the session's local time (NOW())."""
+    now = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
+    if "created_at" in df.columns:
+        return F.coalesce(F.col("created_at"), now)
+    return now
+
+
+def _finalize(df: DataFrame, version: M.PricingVersion, key: str, as_of=None) -> DataFrame:
     """Invoice-level totals from the three folded sums ``_sub, _disc, _tax``."""
     sub, disc, tax = F.col("_sub"), F.col("_disc"), F.col("_tax")
     zero = F.lit(0).cast(M.WORK)
@@ -68,7 +76,7 @@ def _finalize(df: DataFrame, version: M.PricingVersion, key: str) -> DataFrame:
         "notes": F.col("notes"),
         "table_id": F.col("table_id"),
         "kot_id": F.col("kot_id"),
-        "created_at": F.col("created_at"),
+        "created_at": _created_at(df, as_of),
     }
     if version.has_balance:
         cols["paid_amount"] = F.col("paid_amount")
@@ -81,8 +89,12 @@ def _finalize(df: DataFrame, version: M.PricingVersion, key: str) -> DataFrame:
     return df.select(*[v.alias(k) for k, v in cols.items()], *extra)
 
 
-def price_invoices(requests: DataFrame, version="v3", key: str = "request_id") -> DataFrame:
-    """B1 on nested requests; one output row per request, no shuffle."""
+def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
+                   as_of=None) -> DataFrame:
+    """B1 on nested requests; one output row per request, no shuffle.
+
+    Requests without ``created_at`` are stamped ``as_of`` (default: now).
+    """
     v = _version(version)
     zero = F.lit(0).cast(M.WORK)
     init = F.struct(zero.alias("sub"), zero.alias("disc"), zero.alias("tax"))
@@ -99,7 +111,7 @@ def price_invoices(requests: DataFrame, version="v3", key: str = "request_id") -
     folded = (folded.withColumn("_sub", F.col("_acc.sub"))
                     .withColumn("_disc", F.col("_acc.disc"))
                     .withColumn("_tax", F.col("_acc.tax")))
-    return _finalize(folded, v, key)
+    return _finalize(folded, v, key, as_of)
 
 
 def line_totals(lines: DataFrame, version="v3", key: str = "invoice_id") -> DataFrame:
@@ -118,7 +130,7 @@ def line_totals(lines: DataFrame, version="v3", key: str = "invoice_id") -> Data
 
 def price_invoice_lines(headers: DataFrame, lines: DataFrame, version="v3",
                         key: str = "request_id", line_key: str = "invoice_id",
-                        restrict_to: DataFrame | None = None) -> DataFrame:
+                        restrict_to: DataFrame | None = None, as_of=None) -> DataFrame:
     """B1 on headers + normalised lines; invoices without lines price to zero.
 
     ``restrict_to`` (one column: invoice keys) semi-joins the lines before they
@@ -138,7 +150,7 @@ def price_invoice_lines(headers: DataFrame, lines: DataFrame, version="v3",
     j = (j.withColumn("_sub", F.when(has, F.col("_sub")).otherwise(zero))
           .withColumn("_disc", F.when(has, F.col("_disc")).otherwise(zero))
           .withColumn("_tax", F.when(has, F.col("_tax")).otherwise(zero)))
-    return _finalize(j, v, key)
+    return _finalize(j, v, key, as_of)
 
 
 def number_invoices(invoices: DataFrame, existing: DataFrame | None = None,
