@@ -42,11 +42,18 @@ def _version(version) -> M.PricingVersion:
 
 
 def _created_at(df: DataFrame, as_of) -> F.Column:
-    """X11: the request time, else ``as_of``, else the session's local time (NOW())."""
+    """X11: the request's own time when it carries one; otherwise ``as_of``,
+    else the session's local time (NOW()).
+
+    A stored time passes through untouched (no ``coalesce``), so report
+    filters on it still reach the parquet scan.
+    """
     now = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
-    if "created_at" in df.columns:
+    if "created_at" not in df.columns:
+        return now
+    if as_of is not None:
         return F.coalesce(F.col("created_at"), now)
-    return now
+    return F.col("created_at")
 
 
 def _finalize(df: DataFrame, version: M.PricingVersion, key: str, as_of=None) -> DataFrame:

@@ -10,9 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """One parquet table under ``base_dir``."""
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+# Parquet schema per path, inferred once per process: later reads pass it
+# explicitly and skip reading file footers on the driver.
+_SCHEMAS: dict[str, object] = {}
+
+
+def read_table(spark: SparkSession, base_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    """One parquet table under ``base_dir``.
+
+    The schema is inferred on the first read of a path and reused afterwards;
+    pass ``refresh=True`` after the table's schema has changed.
+    """
+    path = f"{base_dir.rstrip('/')}/{name}.parquet"
+    schema = None if refresh else _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
