@@ -65,3 +65,27 @@ def test_topk_shapes(spark):
 def test_pricing_aggregates_partially_before_shuffle(spark):
     plan = physical(priced(spark, SF))
     assert "partial_sum" in plan and "partial_count" in plan
+
+
+def test_bucketed_invoices_price_without_shuffle(spark, scratch):
+    import os
+
+    from tillkit.operators import pricing
+    from tillkit.sources.tables import write_bucketed
+
+    hdr = B.invoice_headers(spark, SF)
+    lines = B.invoice_lines(spark, SF)
+    write_bucketed(hdr, "bkt_headers", "request_id", 8, os.path.join(scratch, "h"))
+    write_bucketed(lines, "bkt_lines", "invoice_id", 8, os.path.join(scratch, "l"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the big-table path
+        priced_b = pricing.price_invoice_lines(spark.table("bkt_headers"), spark.table("bkt_lines"))
+        plan = physical(priced_b)
+        assert "SortMergeJoin" in plan
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+        want = pricing.price_invoice_lines(hdr, lines)
+        assert priced_b.exceptAll(want).count() == 0 and want.exceptAll(priced_b).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bkt_headers")
+        spark.sql("DROP TABLE IF EXISTS bkt_lines")

@@ -65,6 +65,22 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str,
+                   mode: str = "overwrite") -> None:
+    """Store a table bucketed and sorted by ``key`` (co-located joins).
+
+    Invoice headers and lines written with the same key and bucket count join
+    and aggregate on the invoice id without any shuffle: each task reads the
+    matching bucket files of both tables. ``path`` names the table location
+    (shared storage on a cluster); the table is registered in the session
+    catalog as ``table``.
+    """
+    (df.write.mode(mode).format("parquet")
+       .bucketBy(buckets, key).sortBy(key)
+       .option("path", path)
+       .saveAsTable(table))
+
+
 def as_json_rows(df: DataFrame, col: str = "json") -> DataFrame:
     """Each row as one JSON object (the HTTP layer's ``mappings()``)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(col))
