@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default bound: 64 MiB of estimated plan size per broadcast side.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+# Default bound: 32 MiB of estimated plan size per broadcast side (the estimate of a
+# parquet scan is its compressed size, so the in-memory table can be several times larger).
+DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of ``df`` (None when it cannot be read)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - Connect sessions have no JVM handle
         return None
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tillkit.functions import predicates as P
 from tillkit.functions.money import PRICE
 from tillkit.operators import aggregates, access, listing, maintenance, pricing, quality, reports
+from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources import binding as B
 from tillkit.sources import seeds
 from tillkit.sources.tables import read_table
@@ -201,7 +202,7 @@ def j8(spark, d):
     bt = seeds.business_types(spark)
     tbt = access.tenant_business_type(access.link_business_types(B.tenants(spark, d), bt), bt)
     u = B.users(spark, d).select(F.col("id").alias("user_id"), "tenant_id")
-    return u.join(tbt, "tenant_id", "left").select(
+    return u.join(broadcast_if_small(tbt), "tenant_id", "left").select(
         "user_id", "tenant_id", "business_type_id", "business_type_name", "business_type_label")
 
 

@@ -175,6 +175,23 @@ SEEDED_TABLE_CAPACITY = 4
 # Frames
 # --------------------------------------------------------------------------
 
+_ARROW = "spark.sql.execution.arrow.pyspark.enabled"
+
+
+def local_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A literal frame as a ``LocalRelation`` (Arrow path), so the optimizer
+    knows its real size and broadcasts it; a plain list would become an RDD
+    scan of unknown size."""
+    import pandas as pd
+
+    pdf = pd.DataFrame(list(rows), columns=schema.fieldNames(), dtype=object)
+    prev = spark.conf.get(_ARROW, "false")
+    spark.conf.set(_ARROW, "true")
+    try:
+        return spark.createDataFrame(pdf, schema)
+    finally:
+        spark.conf.set(_ARROW, prev)
+
 ROLES_SCHEMA = T.StructType([
     T.StructField("id", T.IntegerType(), False),
     T.StructField("name", T.StringType(), False),
@@ -243,11 +260,11 @@ CATEGORY_SCHEMA = T.StructType([
 
 
 def roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROLES, ROLES_SCHEMA)
+    return local_frame(spark, ROLES, ROLES_SCHEMA)
 
 
 def menus(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([m + (True,) for m in MENUS], MENUS_SCHEMA)
+    return local_frame(spark, [m + (True,) for m in MENUS], MENUS_SCHEMA)
 
 
 def role_grants(spark: SparkSession) -> DataFrame:
@@ -257,26 +274,26 @@ def role_grants(spark: SparkSession) -> DataFrame:
         for mid, _name, route, _icon, _parent, _sort in MENUS:
             if routes is None or route in routes:
                 rows.append((role_id, mid, v, a, e, d))
-    return spark.createDataFrame(rows, ROLE_PERMISSIONS_SCHEMA)
+    return local_frame(spark, rows, ROLE_PERMISSIONS_SCHEMA)
 
 
 def business_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([b + (True,) for b in BUSINESS_TYPES], BUSINESS_TYPES_SCHEMA)
+    return local_frame(spark, [b + (True,) for b in BUSINESS_TYPES], BUSINESS_TYPES_SCHEMA)
 
 
 def features_by_business_type(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FEATURES_BY_BUSINESS_TYPE, FEATURES_SCHEMA)
+    return local_frame(spark, FEATURES_BY_BUSINESS_TYPE, FEATURES_SCHEMA)
 
 
 def uom_templates(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, n, a, None, True) for i, (n, a) in enumerate(UOMS)]
-    return spark.createDataFrame(rows, UOM_SCHEMA)
+    return local_frame(spark, rows, UOM_SCHEMA)
 
 
 def hsn_templates(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, code, desc, Decimal(c), Decimal(s), Decimal(g), Decimal(0), None, True)
             for i, (code, desc, c, s, g) in enumerate(HSNS)]
-    return spark.createDataFrame(rows, HSN_SCHEMA)
+    return local_frame(spark, rows, HSN_SCHEMA)
 
 
 def category_templates(spark: SparkSession) -> DataFrame:
@@ -286,4 +303,4 @@ def category_templates(spark: SparkSession) -> DataFrame:
         for name in CATEGORY_TEMPLATES[bt_name]:
             rows.append((next_id, name, None, None, bt_id, True))
             next_id += 1
-    return spark.createDataFrame(rows, CATEGORY_SCHEMA)
+    return local_frame(spark, rows, CATEGORY_SCHEMA)
