@@ -114,10 +114,8 @@ def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
                         (acc["tax"] + tax).cast(M.WORK).alias("tax"))
 
     items = F.coalesce(F.col("items"), F.array().cast(T.ArrayType(ITEM)))
-    folded = requests.withColumn("_acc", F.aggregate(items, init, step))
-    folded = (folded.withColumn("_sub", F.col("_acc.sub"))
-                    .withColumn("_disc", F.col("_acc.disc"))
-                    .withColumn("_tax", F.col("_acc.tax")))
+    folded = requests.withColumn("_acc", F.aggregate(items, init, step)).withColumns(
+        {"_sub": F.col("_acc.sub"), "_disc": F.col("_acc.disc"), "_tax": F.col("_acc.tax")})
     return _finalize(folded, v, key, as_of)
 
 
@@ -154,9 +152,7 @@ def price_invoice_lines(headers: DataFrame, lines: DataFrame, version="v3",
     j = headers.join(totals, headers[key] == totals["_key"], "left")
     zero = F.lit(0).cast(M.WORK)
     has = F.col("_n").isNotNull()
-    j = (j.withColumn("_sub", F.when(has, F.col("_sub")).otherwise(zero))
-          .withColumn("_disc", F.when(has, F.col("_disc")).otherwise(zero))
-          .withColumn("_tax", F.when(has, F.col("_tax")).otherwise(zero)))
+    j = j.withColumns({c: F.when(has, F.col(c)).otherwise(zero) for c in ("_sub", "_disc", "_tax")})
     return _finalize(j, v, key, as_of)
 
 

@@ -28,6 +28,8 @@ def _scope(invoices: DataFrame, tenant_id, start=None, end=None, customer_id=Non
         P.optional_eq("customer_id", customer_id),
         P.status_is("paid") if paid_only else None,
     ]
+    if all(p is None for p in preds):
+        return invoices
     return invoices.filter(P.all_of(*preds))
 
 
