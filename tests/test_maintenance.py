@@ -142,3 +142,16 @@ def test_add_menu_with_grants(spark):
     again, _ = M.add_menu_with_grants(menus, perms, "Masters", "settings/masters", "database",
                                       "Settings", 4, [(1, True, True, True, True)])
     assert again.count() == menus.count()
+
+
+def test_business_type_slug_and_uom_upper(spark):
+    bt = seeds.business_types(spark)
+    rows = spark.createDataFrame([("Pet Store", None), ("Bakery", "bakery")], "label string, name string")
+    out = {r.name: r for r in M.create_business_types(bt, rows).collect()}
+    assert out["pet_store"].id == 6 and out["pet_store"].default_features == []
+    assert len(out) == 6                                   # 'bakery' exists: ignored
+    uoms = seeds.uom_templates(spark)
+    ch = spark.createDataFrame([(0, "Carton", "ctn", 4), (1, "Pieces", "pcs", None)],
+                               "id int, name string, abbreviation string, tenant_id int")
+    got = {r.id: (r.name, r.abbreviation, r.tenant_id) for r in M.save_uoms(uoms, ch).collect()}
+    assert got[13] == ("Carton", "CTN", 4) and got[1] == ("Pieces", "PCS", None)

@@ -162,7 +162,8 @@ def _with_defaults(rows: DataFrame, table: DataFrame, defaults: Mapping[str, obj
     types = dict(table.dtypes)
     for c, v in defaults.items():
         base = F.col(c) if c in rows.columns else F.lit(None)
-        rows = rows.withColumn(c, F.coalesce(base.cast(types[c]), F.lit(v).cast(types[c])))
+        val = v if isinstance(v, Column) else F.lit(v)
+        rows = rows.withColumn(c, F.coalesce(base.cast(types[c]), val.cast(types[c])))
     return rows
 
 
@@ -397,3 +398,24 @@ def add_menu_with_grants(menus: DataFrame, permissions: DataFrame, name: str, ro
                               "can_edit boolean, can_delete boolean").withColumn(
         "menu_id", mid.cast("int"))
     return new_menus, upsert(permissions, g, ["role_id", "menu_id"])
+
+
+def create_business_types(business_types: DataFrame, rows: DataFrame) -> DataFrame:
+    """M5 for business types: the name defaults to the slug of the label
+    (X14: lower case, spaces to '_'), features default to an empty array."""
+    from tillkit.functions.text import slug
+
+    named = rows.withColumn("name", F.coalesce(F.col("name"), slug(F.col("label")))
+                            if "name" in rows.columns else slug(F.col("label")))
+    new = missing_only(named, business_types, ["name"])          # UNIQUE(name)
+    return insert_with_defaults(business_types, new,
+                                {"default_features": F.array().cast("array<string>"),
+                                 "is_active": True}, ["name"])
+
+
+def save_uoms(uoms: DataFrame, changes: DataFrame, tenant_id_col: str | None = "tenant_id"
+              ) -> DataFrame:
+    """M4 for units: abbreviations are stored upper-case."""
+    ch = changes.withColumn("abbreviation", F.upper(F.col("abbreviation")))
+    return save_by_id(uoms, ch, ["name", "abbreviation"], tenant_id_col=tenant_id_col,
+                      order=["name", "abbreviation"], defaults={"is_active": True})
