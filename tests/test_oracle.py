@@ -27,3 +27,21 @@ def test_every_plan_has_sql():
 def test_plan_matches_oracle(spark, con, name):
     r = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF)
     assert r["ok"], r
+
+
+_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR",
+          "BooleanType()": "BOOLEAN", "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP",
+          "DoubleType()": "DOUBLE"}
+
+
+def _spark_type(t) -> str:
+    return _TYPES.get(repr(t)) or repr(t).replace("DecimalType", "DECIMAL").replace(" ", "")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_plan_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, "/root/testdata/sf0.001")
+    got = {f.name: _spark_type(f.dataType) for f in df.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    want = {c: str(t).replace(" ", "") for c, t in zip(rel.columns, rel.types)}
+    assert got == want

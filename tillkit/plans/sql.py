@@ -102,8 +102,9 @@ SQL["R3_top_products"] = with_ctes(*priced_ctes("v3"), "products") + """
   FROM lines l JOIN priced i ON i.id = l.invoice_id JOIN products p ON p.id = l.product_id
   GROUP BY i.tenant_id, p.name)
 SELECT * FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id
-                               ORDER BY total_revenue DESC NULLS FIRST, product_name) AS rank
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY tenant_id
+                                    ORDER BY total_revenue DESC NULLS FIRST, product_name)
+              AS INTEGER) AS rank
   FROM g) WHERE rank <= 10"""
 
 SQL["R3a_top_products_v1"] = with_ctes(*priced_ctes("v3"), "products") + """
@@ -115,8 +116,9 @@ SQL["R3a_top_products_v1"] = with_ctes(*priced_ctes("v3"), "products") + """
   WHERE i.payment_status = 'paid'
   GROUP BY i.tenant_id, l.product_id, p.name)
 SELECT * FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id
-                               ORDER BY total_qty DESC NULLS FIRST, product_id) AS rank
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY tenant_id
+                                    ORDER BY total_qty DESC NULLS FIRST, product_id)
+              AS INTEGER) AS rank
   FROM g) WHERE rank <= 10"""
 
 SQL["R4_payment_methods"] = _priced() + """
