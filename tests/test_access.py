@@ -85,9 +85,9 @@ def test_business_types_and_branding(spark, fx):
     got = {r.tenant_id: r.business_type_name for r in access.tenant_business_type(linked, bt).collect()}
     assert got == {5: "bakery", 6: None}
     brand = {r.user_id: (r.tenant_name, r.theme_color) for r in access.user_branding(fx["users"], fx["tenants"]).collect()}
-    assert brand[1] == ("Smart Billing", "#6366F1")
+    assert brand[1] == ("Billing", "#6366F1")
     assert brand[3] == ("Shop", "#6366F1")
-    assert brand[5] == ("Smart Billing", "#6366F1")
+    assert brand[5] == ("Billing", "#6366F1")
     wl = access.provisioning_worklist(linked, bt).collect()
     assert [(r.id, r.biz_name) for r in wl] == [(5, "bakery")]
 
@@ -112,7 +112,7 @@ def test_menu_response_per_user(spark, fx):
     out = {r.user_id: r for r in access.menu_response(fx["users"], fx["menus"], fx["rp"], fx["trp"],
                                                        feats, fx["tenants"]).collect()}
     assert [m.id for m in out[1].menus] == list(range(1, 13))
-    assert out[1].features == {} and out[1].tenant_name == "Smart Billing"
+    assert out[1].features == {} and out[1].tenant_name == "Billing"
     assert [m.id for m in out[3].menus] == [1] and out[3].features == {"kot": True}
     assert "can_edit" not in out[3].menus[0].asDict()
     assert out[5].menus and out[5].features == {}

@@ -205,7 +205,7 @@ JOIN menus m ON m.id = p.menu_id"""
 
 SQL["F14_user_branding"] = with_ctes("users", "tenants") + """
 SELECT u.id AS user_id, u.tenant_id,
-       COALESCE(NULLIF(t.name, ''), 'Smart Billing') AS tenant_name,
+       COALESCE(NULLIF(t.name, ''), 'Billing') AS tenant_name,
        COALESCE(NULLIF(t.theme_color, ''), '#6366F1') AS theme_color
 FROM users u LEFT JOIN tenants t ON t.id = u.tenant_id"""
 

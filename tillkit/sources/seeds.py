@@ -164,7 +164,7 @@ PRODUCT_HSNS = ["8412", "8517", "6101", "1001", "2106"]
 
 # Defaults used by the response shaping of the menu endpoint.
 DEFAULT_THEME_COLOR = "#6366F1"
-DEFAULT_TENANT_NAME = "Smart Billing"
+DEFAULT_TENANT_NAME = "Billing"   # neutral default; the reference shows its product name here
 DEFAULT_MENU_ICON = "circle"
 
 # Tables seeded per restaurant tenant.
