@@ -17,6 +17,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillkit.functions import predicates as P
 from tillkit.operators.numbering import assign_ids
@@ -55,8 +56,12 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     cols = df.columns
     null_key = P.all_of(*[F.col(k).isNotNull() for k in keys])
     keyed, unkeyed = df.filter(null_key), df.filter(~null_key)
+    # ties on ``order`` are broken by the remaining (orderable) columns, so a
+    # recomputed partition picks the same row
+    ties = [f.name for f in df.schema.fields
+            if f.name not in order and not isinstance(f.dataType, T.MapType)]
     best = keyed.groupBy(*keys).agg(
-        F.min_by(F.struct(*cols), F.struct(*order)).alias("_row")).select("_row.*")
+        F.min_by(F.struct(*cols), F.struct(*order, *ties)).alias("_row")).select("_row.*")
     return best.select(*cols).unionByName(unkeyed.select(*cols))
 
 
