@@ -66,3 +66,16 @@ def test_generators_are_idempotent(spark):
     numbers = [r.table_number for r in t2.filter("tenant_id = 1").orderBy("id").collect()]
     assert numbers == [str(i) for i in range(1, 21)]
     assert generate.seed_tables(t2, feats).count() == t2.count()
+
+
+def test_enumeration_checks_e1_e4(spark):
+    from tillkit.sources import binding as B
+
+    tenants = B.tenants(spark, "/root/testdata/sf0.001")
+    assert quality.check_allowed(tenants, "tenants", "business_type", seeds.BUSINESS_TYPES_V1, ["id"]).count() == 0
+    odd = spark.createDataFrame([(1, "florist"), (2, "service"), (3, None)], "id int, business_type string")
+    v1 = [r.row_key for r in quality.check_allowed(odd, "tenants", "business_type", seeds.BUSINESS_TYPES_V1, ["id"]).collect()]
+    v2 = [r.row_key for r in quality.check_allowed(odd, "tenants", "business_type", seeds.BUSINESS_TYPES_V2, ["id"]).collect()]
+    assert sorted(v1) == ["1", "2"] and v2 == ["1"]                    # NULL passes a CHECK
+    kot = spark.createDataFrame([(1, "ready"), (2, "burnt")], "id int, status string")
+    assert [r.value for r in quality.check_allowed(kot, "kot", "status", seeds.KOT_STATUSES, ["id"]).collect()] == ["burnt"]
