@@ -81,3 +81,12 @@ def test_top_products_subtracts_percent_as_amount_and_merges_names(spark):
     assert r[0].total_qty == D("3.000")
     r1 = reports.top_products_v1(inv, lines, prods, tenant_id=1).collect()
     assert [x.product_id for x in r1] == [10, 11]
+
+
+def test_all_tenants_summary_has_zero_rows(spark, inv):
+    tenants = spark.createDataFrame([(t,) for t in range(30)], "id int")
+    out = {r.tenant_id: r for r in reports.sales_summary(inv, tenants=tenants).collect()}
+    assert len(out) == 30
+    assert out[29].total_invoices == 0 and out[29].total_revenue == 0
+    single = reports.sales_summary(inv, tenant_id=29).first()
+    assert tuple(single) == tuple(out[29])[1:]

@@ -42,15 +42,30 @@ def _msum(c: str) -> Column:
 
 
 def sales_summary(invoices: DataFrame, tenant_id=None, start=None, end=None,
-                  customer_id=None) -> DataFrame:
-    """R1 (v2): revenue, count, tax, discount; zeros when nothing matches."""
+                  customer_id=None, tenants: DataFrame | None = None) -> DataFrame:
+    """R1 (v2): revenue, count, tax, discount; zeros when nothing matches.
+
+    In the all-tenants form, passing ``tenants`` (a frame with ``id``) adds a
+    zero row for every tenant without matching invoices, as the per-tenant
+    procedure returns one.
+    """
     df = _scope(invoices, tenant_id, start, end, customer_id)
-    aggs = [F.coalesce(_msum("grand_total"), F.lit(0).cast(M.MONEY_SUM)).alias("total_revenue"),
+    zero = F.lit(0).cast(M.MONEY_SUM)
+    aggs = [F.coalesce(_msum("grand_total"), zero).alias("total_revenue"),
             F.count("id").alias("total_invoices"),
-            F.coalesce(_msum("tax_total"), F.lit(0).cast(M.MONEY_SUM)).alias("total_tax"),
-            F.coalesce(_msum("discount_total"), F.lit(0).cast(M.MONEY_SUM)).alias("total_discount")]
+            F.coalesce(_msum("tax_total"), zero).alias("total_tax"),
+            F.coalesce(_msum("discount_total"), zero).alias("total_discount")]
     keys = _keys(tenant_id)
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    if not keys:
+        return df.agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs)
+    if tenants is None:
+        return out
+    every = tenants.select(F.col("id").alias("tenant_id"))
+    j = every.join(out, "tenant_id", "left")
+    return j.select("tenant_id",
+                    *[F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c)
+                      for c, t in out.dtypes if c != "tenant_id"])
 
 
 def sales_summary_v1(invoices: DataFrame, tenant_id=None) -> DataFrame:
