@@ -100,13 +100,14 @@ def b4(spark, d):
 
 @plan("R1_sales_summary")
 def r1(spark, d):
-    return reports.sales_summary(priced(spark, d))
+    return reports.sales_summary(priced(spark, d), tenants=B.tenants(spark, d))
 
 
 @plan("R1_sales_summary_range")
 def r1_range(spark, d):
     inv = priced(spark, d, start=RANGE_START, end=RANGE_END)
-    return reports.sales_summary(inv, start=RANGE_START, end=RANGE_END)
+    return reports.sales_summary(inv, start=RANGE_START, end=RANGE_END,
+                                 tenants=B.tenants(spark, d))
 
 
 @plan("R1a_sales_summary_v1")

@@ -69,8 +69,19 @@ SELECT tenant_id,
        COALESCE(CAST(SUM(discount_total) AS DECIMAL(38,2)), 0) AS total_discount
 FROM priced {where} GROUP BY tenant_id"""
 
-SQL["R1_sales_summary"] = _priced() + _SUMMARY.format(where="")
-SQL["R1_sales_summary_range"] = _priced() + _SUMMARY.format(where="WHERE " + _range())
+_SUMMARY_ALL = """
+, s AS ({inner})
+SELECT t.id AS tenant_id,
+       COALESCE(s.total_revenue, CAST(0 AS DECIMAL(38,2))) AS total_revenue,
+       COALESCE(s.total_invoices, 0) AS total_invoices,
+       COALESCE(s.total_tax, CAST(0 AS DECIMAL(38,2))) AS total_tax,
+       COALESCE(s.total_discount, CAST(0 AS DECIMAL(38,2))) AS total_discount
+FROM tenants t LEFT JOIN s ON s.tenant_id = t.id"""
+
+SQL["R1_sales_summary"] = with_ctes(*priced_ctes("v3"), "tenants") + _SUMMARY_ALL.format(
+    inner=_SUMMARY.format(where=""))
+SQL["R1_sales_summary_range"] = with_ctes(*priced_ctes("v3"), "tenants") + _SUMMARY_ALL.format(
+    inner=_SUMMARY.format(where="WHERE " + _range()))
 
 SQL["R1a_sales_summary_v1"] = _priced() + """
 SELECT tenant_id, COUNT(*) AS total_invoices,
