@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 
 from tillkit.operators import pricing, reports
 from tillkit.plans.catalog import priced
@@ -38,3 +40,15 @@ def test_invoice_posting_stream_equals_batch(spark, scratch):
     want = pricing.price_invoices(spark.read.parquet(src)).drop("items")
     cols = sorted(want.columns)
     assert _same(got.select(cols), want.select(cols))
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Kolkata"])
+def test_daily_sales_stream_in_other_time_zone(spark, scratch, zone):
+    inv = priced(spark, SF).select("id", "tenant_id", "grand_total", "created_at")
+    want = reports.daily_sales(inv).select("tenant_id", "sale_date", "total_revenue", "total_invoices")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = sales.replay_daily_sales(inv, os.path.join(scratch, "tz"))
+        assert _same(got, want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -8,6 +8,7 @@ in ``tillkit.plans.sql``.
 from __future__ import annotations
 
 from collections.abc import Callable
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources import binding as B
 from tillkit.sources import seeds
 from tillkit.sources.tables import read_table
+from tillkit.session import ensure_checkpoint_dir
+from tillkit.streaming import sales
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -434,3 +437,14 @@ def a11(spark, d):
 @plan("A13_duplicate_product_names")
 def a13(spark, d):
     return aggregates.duplicates_keep_least(B.products(spark, d), "name")
+
+
+# ------------------------------------------------------------------ streaming
+
+@plan("T1_daily_sales_stream")
+def t1(spark, d):
+    """T1 end to end: the priced invoices replayed as a file stream into the
+    streaming daily-sales aggregation; returns what the sink holds."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillkit-t1-{uuid.uuid4().hex}"
+    inv = priced(spark, d).select("id", "tenant_id", "grand_total", "created_at")
+    return sales.replay_daily_sales(inv, root)

@@ -410,3 +410,10 @@ FULL OUTER JOIN i ON i.tenant_id = COALESCE(c.tenant_id, p.tenant_id)"""
 SQL["A13_duplicate_product_names"] = with_ctes("products") + """
 SELECT name, COUNT(*) AS copies, MIN(id) AS keep_id
 FROM products GROUP BY name HAVING COUNT(*) > 1"""
+
+# ------------------------------------------------------------------ streaming
+
+SQL["T1_daily_sales_stream"] = _priced() + """
+SELECT tenant_id, CAST(created_at AS DATE) AS sale_date,
+       CAST(SUM(grand_total) AS DECIMAL(38,2)) AS total_revenue, COUNT(id) AS total_invoices
+FROM priced GROUP BY tenant_id, CAST(created_at AS DATE)"""
