@@ -52,3 +52,13 @@ def test_daily_sales_stream_in_other_time_zone(spark, scratch, zone):
         assert _same(got, want)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_line_posting_stream_equals_batch(spark, scratch):
+    hdr, lines = B.invoice_headers(spark, SF), B.invoice_lines(spark, SF)
+    got = sales.replay_line_posting(hdr.repartition(5), lines, os.path.join(scratch, "t2"),
+                                    files_per_batch=1)
+    want = pricing.price_invoice_lines(hdr, lines)
+    assert spark.read.parquet(os.path.join(scratch, "t2", "sink")).select("batch_id").distinct().count() >= 3
+    cols = sorted(want.columns)
+    assert _same(got.select(cols), want.select(cols))

@@ -448,3 +448,14 @@ def t1(spark, d):
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillkit-t1-{uuid.uuid4().hex}"
     inv = priced(spark, d).select("id", "tenant_id", "grand_total", "created_at")
     return sales.replay_daily_sales(inv, root)
+
+
+@plan("T2_invoice_posting_stream")
+def t2(spark, d):
+    """T2 end to end: invoice headers replayed as a file stream, each
+    micro-batch priced against its lines in ``foreachBatch``."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillkit-t2-{uuid.uuid4().hex}"
+    posted = sales.replay_line_posting(B.invoice_headers(spark, d), B.invoice_lines(spark, d),
+                                       root)
+    return posted.select(*_PRICED_COLS, "paid_amount", "balance", "invoice_status",
+                         "bill_discount")

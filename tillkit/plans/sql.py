@@ -417,3 +417,5 @@ SQL["T1_daily_sales_stream"] = _priced() + """
 SELECT tenant_id, CAST(created_at AS DATE) AS sale_date,
        CAST(SUM(grand_total) AS DECIMAL(38,2)) AS total_revenue, COUNT(id) AS total_invoices
 FROM priced GROUP BY tenant_id, CAST(created_at AS DATE)"""
+
+SQL["T2_invoice_posting_stream"] = SQL["B1_price_invoices_v3"]

@@ -99,3 +99,39 @@ def replay_daily_sales(invoices: DataFrame, root: str, watermark: str = "36500 d
                           watermark=watermark)
     q.awaitTermination()
     return read_daily_sales(spark, f"{root.rstrip('/')}/sink")
+
+
+def start_line_posting(headers: DataFrame, lines: DataFrame, sink: str, checkpoint: str,
+                       version: str = "v3", available_now: bool = True) -> StreamingQuery:
+    """T2 over normalised data: each micro-batch of invoice headers is priced
+    against the line table, restricted to that batch's invoice keys (a semi
+    join, so only the batch's lines are read past the scan filter)."""
+    def post(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            keys = batch.select("request_id")
+            priced = pricing.price_invoice_lines(batch, lines, version, restrict_to=keys)
+            _write_part(priced, sink, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = headers.writeStream.option("checkpointLocation", checkpoint).foreachBatch(post)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def replay_line_posting(headers: DataFrame, lines: DataFrame, root: str,
+                        version: str = "v3", files_per_batch: int = 2) -> DataFrame:
+    """Run T2 over finished headers: write them as a file source under
+    ``root`` and post them in micro-batches of ``files_per_batch`` files;
+    returns every posted invoice."""
+    spark = headers.sparkSession
+    src = f"{root.rstrip('/')}/source"
+    headers.write.mode("overwrite").parquet(src)
+    stream = (spark.readStream.schema(spark.read.parquet(src).schema)
+              .option("maxFilesPerTrigger", files_per_batch).parquet(src))
+    sink = f"{root.rstrip('/')}/sink"
+    q = start_line_posting(stream, lines, sink, f"{root.rstrip('/')}/checkpoint", version)
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("batch_id")
