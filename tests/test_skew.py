@@ -67,3 +67,35 @@ def test_hot_tenant_role_menus(spark):
     per = out.groupBy("user_id").count()
     counts = {r.user_id: r["count"] for r in per.collect()}
     assert counts[0] == 3 and counts[1] == 6 and len(counts) == N
+
+
+def test_aqe_splits_hot_tenant_role_join(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        users = spark.range(0, 60000).select(
+            F.col("id"), F.lit(3).alias("role_id"),
+            F.when(F.col("id") % 3 == 0, F.lit(70)).otherwise(F.col("id") % 997 + 100).alias("tenant_role_id"))
+        trp = spark.range(100, 1097).select(F.col("id").alias("tenant_role_id"), F.lit(1).alias("menu_id"),
+                                            F.lit(True).alias("can_view"), F.lit(False).alias("can_add"),
+                                            F.lit(False).alias("can_edit"), F.lit(False).alias("can_delete"))
+        trp = trp.unionByName(trp.limit(0).unionByName(
+            spark.createDataFrame([(70, 1, True, False, False, False)],
+                                  "tenant_role_id long, menu_id int, can_view boolean, can_add boolean, "
+                                  "can_edit boolean, can_delete boolean")))
+        out = access.user_menus(users, seeds.menus(spark), seeds.role_grants(spark), trp)
+        assert len(out.collect()) == 60000
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
