@@ -65,3 +65,26 @@ def test_pricing_matches_procedure(spark, invoices, version):
             assert got.payment_status == "paid"                       # N6: column default
             if version != "v1":
                 assert got.balance == want[4]
+
+
+rows_st = st.lists(st.tuples(st.sampled_from([None, 1, 2, 3]), st.integers(0, 5), st.integers(0, 3)),
+                   min_size=1, max_size=300)
+
+
+@settings(max_examples=8, deadline=None)
+@given(rows_st, st.integers(1, 7))
+def test_sequence_within_equals_python_numbering(spark, rows, blocks):
+    from tillkit.operators.numbering import sequence_within
+
+    data = [(i, g, d, t) for i, (g, d, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, g int, d int, t int")
+    got = {r.id: r.seq for r in sequence_within(df, ["g", "d"], ["t", "id"], num_blocks=blocks).collect()}
+    want, seen = {}, {}
+    for i, g, d, t in sorted(data, key=lambda r: (r[3], r[0])):
+        seen[(g, d)] = seen.get((g, d), 0) + 1
+        want[i] = seen[(g, d)]
+    assert got == want
+    ids = {r.id: r.seq for r in sequence_within(df, [], ["t", "id"], num_blocks=blocks).collect()}
+    assert sorted(ids.values()) == list(range(1, len(data) + 1))
+    assert [i for i, _ in sorted(ids.items(), key=lambda kv: kv[1])] == \
+        [r[0] for r in sorted(data, key=lambda r: (r[3], r[0]))]
