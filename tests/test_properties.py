@@ -88,3 +88,29 @@ def test_sequence_within_equals_python_numbering(spark, rows, blocks):
     assert sorted(ids.values()) == list(range(1, len(data) + 1))
     assert [i for i, _ in sorted(ids.items(), key=lambda kv: kv[1])] == \
         [r[0] for r in sorted(data, key=lambda r: (r[3], r[0]))]
+
+
+table_st = st.dictionaries(st.integers(0, 30), st.integers(0, 9), max_size=25)
+change_st = st.lists(st.tuples(st.integers(0, 40), st.integers(0, 9), st.integers(0, 5)), max_size=30)
+
+
+@settings(max_examples=8, deadline=None)
+@given(table_st, change_st)
+def test_upsert_and_insert_ignore_match_dicts(spark, table, changes):
+    from tillkit.operators import maintenance as M
+
+    t = spark.createDataFrame(sorted(table.items()), "k int, v int")
+    uniq = {}
+    for k, v, _ in changes:
+        uniq.setdefault(k, v)                      # one change per key for upsert
+    ch = spark.createDataFrame(sorted(uniq.items()), "k int, v int")
+    got = dict(tuple(r) for r in M.upsert(t, ch, ["k"]).collect())
+    assert got == {**table, **uniq}
+
+    rows = spark.createDataFrame(list(changes), "k int, v int, pos int")
+    first = {}
+    for k, v, pos in sorted(changes, key=lambda r: (r[0], r[2], r[1])):
+        first.setdefault(k, v)
+    got = sorted(tuple(r) for r in M.insert_ignore(t, rows, ["k"], order=["pos"]).collect())
+    want = sorted({**{k: v for k, v in first.items() if k not in table}, **table}.items())
+    assert got == want
