@@ -240,6 +240,11 @@ def a12(spark, d):
 
 
 # ----------------------------------------------------------------- maintenance
+#
+# Each maintenance plan builds a table of change requests from the given
+# tables (e.g. "rename the roles of suppliers with a negative balance") and
+# returns the *whole* resulting table, so the predicates below select which
+# rows a request touches, never which rows are returned.
 
 def _supplier(spark, d):
     return read_table(spark, d, "supplier")
