@@ -79,3 +79,23 @@ def test_enumeration_checks_e1_e4(spark):
     assert sorted(v1) == ["1", "2"] and v2 == ["1"]                    # NULL passes a CHECK
     kot = spark.createDataFrame([(1, "ready"), (2, "burnt")], "id int, status string")
     assert [r.value for r in quality.check_allowed(kot, "kot", "status", seeds.KOT_STATUSES, ["id"]).collect()] == ["burnt"]
+
+
+def test_single_pass_counts_equal_separate_checks(spark):
+    lines = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (2, 1, 99), (3, None, None), (3, None, 98)],
+                                  "invoice_id long, line_no int, product_id long")
+    prods = spark.createDataFrame([(5,), (6,)], "id long")
+    separate = {r.rule: r.violations for r in quality.violation_summary(
+        quality.check_unique(lines, "invoice_lines", ["invoice_id", "line_no"]).unionByName(
+            quality.check_foreign_key(lines, "invoice_lines", ["product_id"], prods, ["id"],
+                                      ["invoice_id", "line_no"]))).collect()}
+    flagged = quality.orphan_flag(lines, "product_id", prods, "id")
+    per_key = flagged.groupBy("invoice_id", "line_no").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_orphan")).alias("_o"))
+    fused = {r.rule: r.violations for r in quality.violation_counts(per_key, "invoice_lines", [
+        ("unique:invoice_id,line_no", F.count_if(F.col("invoice_id").isNotNull()
+                                                 & F.col("line_no").isNotNull() & (F.col("_n") > 1))),
+        ("fk:product_id", F.sum("_o")),
+        ("never", F.count_if(F.lit(False))),
+    ]).collect()}
+    assert fused == separate == {"unique:invoice_id,line_no": 1, "fk:product_id": 2}

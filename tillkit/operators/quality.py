@@ -79,3 +79,23 @@ def check_scale(df: DataFrame, table: str, col: str, scale: int,
 def violation_summary(violations: DataFrame) -> DataFrame:
     """Count of violations per (table, rule)."""
     return violations.groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+def violation_counts(df: DataFrame, table: str, rules: Sequence[tuple[str, F.Column]]) -> DataFrame:
+    """Several rules counted in one pass: ``rules`` are (name, aggregate
+    Column counting that rule's violations). Returns (table_name, rule,
+    violations) for the rules with at least one violation, in the shape of
+    ``violation_summary``."""
+    agg = df.agg(*[c.cast("long").alias(f"_r{i}") for i, (_, c) in enumerate(rules)])
+    arr = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(name).alias("rule"),
+                             F.coalesce(F.col(f"_r{i}"), F.lit(0).cast("long")).alias("violations"))
+                    for i, (name, _) in enumerate(rules)])
+    return agg.select(F.explode(arr).alias("_v")).select("_v.*").filter(F.col("violations") > 0)
+
+
+def orphan_flag(df: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:
+    """Adds ``_orphan``: a non-NULL reference with no parent row (E6), by one
+    left join against the distinct parent keys."""
+    p = parent.select(F.col(parent_col).alias("_pk")).dropDuplicates().withColumn("_hit", F.lit(True))
+    j = df.join(broadcast_if_small(p), df[col] == p["_pk"], "left")
+    return j.withColumn("_orphan", F.col(col).isNotNull() & F.col("_hit").isNull()).drop("_pk", "_hit")
