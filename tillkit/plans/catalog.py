@@ -54,6 +54,13 @@ def priced(spark: SparkSession, d: str, version: str = "v3", start=None, end=Non
 
 # ------------------------------------------------------------------ pricing
 
+def _invoice_scope(spark, d):
+    """Invoice id, tenant, time, customer and status, without pricing: what
+    plans need that do not use the totals (top products, the settle requests),
+    so lineitem is not scanned for them."""
+    return B.invoice_headers(spark, d).withColumnRenamed("request_id", "id")
+
+
 _PRICED_COLS = ["id", "tenant_id", "customer_id", "subtotal", "discount_total", "tax_total",
                 "grand_total", "payment_method", "payment_status", "created_at"]
 
@@ -94,7 +101,9 @@ def b3(spark, d):
 @plan("B4_settle_drafts")
 def b4(spark, d):
     inv = priced(spark, d, "v3")
-    drafts = inv.filter(F.col("invoice_status") == "Draft").select("id", "tenant_id")
+    # the settle requests: every draft invoice of its own tenant
+    drafts = _invoice_scope(spark, d).filter(F.col("invoice_status") == "Draft").select(
+        "id", "tenant_id")
     return pricing.settle_invoices(inv, drafts).select(
         "id", "tenant_id", "grand_total", "paid_amount", "balance", "invoice_status")
 
@@ -134,13 +143,6 @@ def r2a(spark, d):
     return reports.daily_sales_v1(priced(spark, d))
 
 
-def _invoice_scope(spark, d):
-    """Invoice id, tenant, time, customer and status: all the top-products
-    report needs from an invoice (its totals are not used, so lineitem is
-    scanned once, for the sold lines)."""
-    return B.invoice_headers(spark, d).withColumnRenamed("request_id", "id")
-
-
 @plan("R3_top_products")
 def r3(spark, d):
     return reports.top_products(_invoice_scope(spark, d), B.invoice_lines(spark, d),
