@@ -89,3 +89,9 @@ def test_bucketed_invoices_price_without_shuffle(spark, scratch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS bkt_headers")
         spark.sql("DROP TABLE IF EXISTS bkt_lines")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith("T")))
+def test_lineitem_scanned_at_most_once(spark, name):
+    plan = physical(E.queries()[name](spark, SF))
+    assert plan.count("lineitem.parquet") <= 1
