@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillkit.functions import predicates as P
 from tillkit.functions.money import PRICE
 from tillkit.operators import aggregates, access, listing, maintenance, pricing, quality, reports
+from tillkit.operators.numbering import assign_ids
 from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources import binding as B
 from tillkit.sources import seeds
@@ -89,6 +90,17 @@ def b2(spark, d):
     return pricing.number_invoices(hdr)
 
 
+@plan("W2_surrogate_keys")
+def w2(spark, d):
+    """Ids for every order posted as a new invoice, after the current max
+    key, in (time, key) order -- a global sequence without a single-task window."""
+    orders = read_table(spark, d, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("request_id"),
+                         F.col("o_orderdate").alias("created_at"))
+    return assign_ids(rows, ["created_at", "request_id"],
+                      start_after=orders.select("o_orderkey"))
+
+
 @plan("B3_stock_after_sales")
 def b3(spark, d):
     hdr = B.invoice_headers(spark, d).select("request_id", "tenant_id")

@@ -39,6 +39,12 @@ SELECT request_id AS id, tenant_id, created_at,
          AS invoice_number
 FROM headers"""
 
+SQL["W2_surrogate_keys"] = """
+SELECT o_orderkey AS request_id, o_orderdate AS created_at,
+       (SELECT max(o_orderkey) FROM orders)
+         + ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS id
+FROM orders"""
+
 SQL["B3_stock_after_sales"] = with_ctes("products", "lines", "headers") + """
 , sold AS (
   SELECT h.tenant_id, l.product_id,
