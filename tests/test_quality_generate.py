@@ -99,3 +99,13 @@ def test_single_pass_counts_equal_separate_checks(spark):
         ("never", F.count_if(F.lit(False))),
     ]).collect()}
     assert fused == separate == {"unique:invoice_id,line_no": 1, "fk:product_id": 2}
+
+
+def test_item_scale_violations(spark):
+    import json
+
+    text = json.dumps([{"product_id": 1, "quantity": 1.2345, "unit_price": 10.5},
+                       {"product_id": 2, "quantity": 2, "unit_price": 3.333, "tax_percent": 5}])
+    req = spark.createDataFrame([(7, text)], "request_id long, items_text string")
+    got = sorted((r.rule, r.row_key) for r in quality.item_scale_violations(req).collect())
+    assert got == [("scale:quantity", "7|0"), ("scale:unit_price", "7|1")]

@@ -99,3 +99,32 @@ def orphan_flag(df: DataFrame, col: str, parent: DataFrame, parent_col: str) ->
     p = parent.select(F.col(parent_col).alias("_pk")).dropDuplicates().withColumn("_hit", F.lit(True))
     j = df.join(broadcast_if_small(p), df[col] == p["_pk"], "left")
     return j.withColumn("_orphan", F.col(col).isNotNull() & F.col("_hit").isNull()).drop("_pk", "_hit")
+
+
+def item_scale_violations(requests: DataFrame, items_col: str = "items_text",
+                          key: str = "request_id") -> DataFrame:
+    """Lines of a JSON ``items`` text whose numbers carry more decimal places
+    than the stored columns keep (quantity 3, price and discount 2, tax rate
+    2); decoding into the item schema would round them.
+
+    The text is decoded with a wide decimal type first, so nothing is lost
+    before the comparison; one row per offending (invoice, line, field).
+    """
+    from pyspark.sql import types as T
+
+    wide = T.DecimalType(38, 18)
+    fields = {"quantity": 3, "unit_price": 2, "discount": 2, "tax_percent": 2}
+    schema = T.ArrayType(T.StructType([T.StructField(f, wide) for f in fields]))
+    lines = requests.select(key, F.posexplode(F.from_json(F.col(items_col), schema))
+                            .alias("line_no", "_it"))
+    checks = [lines.filter(F.col(f"_it.{f}").isNotNull()
+                           & (F.round(F.col(f"_it.{f}"), places) != F.col(f"_it.{f}")))
+              .select(F.lit("invoices").alias("table_name"), F.lit(f"scale:{f}").alias("rule"),
+                      F.concat_ws("|", F.col(key).cast("string"),
+                                  F.col("line_no").cast("string")).alias("row_key"),
+                      F.col(f"_it.{f}").cast("string").alias("value"))
+              for f, places in fields.items()]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
