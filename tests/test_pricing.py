@@ -173,3 +173,19 @@ def test_settle_only_owned_invoices(spark):
     got = {r.id: r for r in pricing.settle_invoices(inv, req).collect()}
     assert got[1].invoice_status == "Paid" and got[1].paid_amount == D("100.00") and got[1].balance == 0
     assert got[2].invoice_status == "Draft" and got[2].balance == D("50")
+
+
+def test_items_as_json_text(spark):
+    import json
+
+    text = json.dumps([{"product_id": 1, "quantity": 2, "unit_price": 50, "discount": 10,
+                        "discount_type": "percent", "tax_percent": 5}])
+    df = spark.createDataFrame([(1, 1, None, None, text, "cash", D("0"), "Paid", None, None, None, None, T0)],
+                               "request_id long, tenant_id int, user_id long, customer_id long, items string, "
+                               "payment_method string, paid_amount decimal(12,2), invoice_status string, "
+                               "notes string, metadata string, table_id long, kot_id long, "
+                               "created_at timestamp_ntz")
+    r = pricing.price_invoices(df).first()
+    assert (r.subtotal, r.discount_total, r.tax_total, r.grand_total) == (
+        D("100.00"), D("10.00"), D("4.50"), D("94.50"))
+    assert [x.product_id for x in pricing.explode_items(df).collect()] == [1]

@@ -24,7 +24,7 @@ from tillkit.functions import money as M
 from tillkit.functions.text import invoice_number
 from tillkit.operators.numbering import sequence_within
 from tillkit.operators.sizing import broadcast_if_small
-from tillkit.sources.schemas import ITEM
+from tillkit.sources.schemas import ITEM, parse_items
 
 BALANCE = T.DecimalType(38, 13)
 
@@ -96,6 +96,14 @@ def _finalize(df: DataFrame, version: M.PricingVersion, key: str, as_of=None) ->
     return df.select(*[v.alias(k) for k, v in cols.items()], *extra)
 
 
+def _items(requests: DataFrame) -> F.Column:
+    """The ``items`` column as ``array<struct>``; JSON text (the reference's
+    JSONB) is decoded into the item schema (S2)."""
+    if isinstance(requests.schema["items"].dataType, T.StringType):
+        return parse_items(F.col("items"))
+    return F.col("items")
+
+
 def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
                    as_of=None) -> DataFrame:
     """B1 on nested requests; one output row per request, no shuffle.
@@ -113,7 +121,7 @@ def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
                         (acc["disc"] + disc).cast(M.WORK).alias("disc"),
                         (acc["tax"] + tax).cast(M.WORK).alias("tax"))
 
-    items = F.coalesce(F.col("items"), F.array().cast(T.ArrayType(ITEM)))
+    items = F.coalesce(_items(requests), F.array().cast(T.ArrayType(ITEM)))
     folded = requests.withColumn("_acc", F.aggregate(items, init, step)).withColumns(
         {"_sub": F.col("_acc.sub"), "_disc": F.col("_acc.disc"), "_tax": F.col("_acc.tax")})
     return _finalize(folded, v, key, as_of)
@@ -203,7 +211,7 @@ def deduct_stock(products: DataFrame, lines: DataFrame, tenant_col: str = "tenan
 
 def explode_items(requests: DataFrame, keep: tuple[str, ...] = ("request_id", "tenant_id")) -> DataFrame:
     """One row per item of the nested form."""
-    return requests.select(*keep, F.explode("items").alias("_it")).select(
+    return requests.select(*keep, F.explode(_items(requests)).alias("_it")).select(
         *keep, *[F.col("_it")[f.name].alias(f.name) for f in ITEM.fields])
 
 
