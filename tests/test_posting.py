@@ -2,7 +2,6 @@ import datetime as dt
 import os
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 
 from tillkit.plans import posting
 from tillkit.sources.schemas import INVOICE_REQUEST
