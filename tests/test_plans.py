@@ -95,3 +95,21 @@ def test_bucketed_invoices_price_without_shuffle(spark, scratch):
 def test_lineitem_scanned_at_most_once(spark, name):
     plan = physical(E.queries()[name](spark, SF))
     assert plan.count("lineitem.parquet") <= 1
+
+
+def test_session_switches_for_broadcast_and_spread(spark):
+    from tillkit.operators.sizing import broadcast_if_small
+    from tillkit.sources.tables import read_table, spread
+
+    nation = read_table(spark, SF, "nation")
+    assert "ResolvedHint" in broadcast_if_small(nation)._jdf.queryExecution().analyzed().toString() or \
+        "broadcast" in broadcast_if_small(nation)._jdf.queryExecution().optimizedPlan().toString().lower()
+    spark.conf.set("tillkit.broadcastMaxBytes", "0")
+    spark.conf.set("tillkit.spreadSmallScans", "false")
+    try:
+        assert broadcast_if_small(nation) is nation
+        assert spread(nation, "n_nationkey") is nation
+    finally:
+        spark.conf.unset("tillkit.broadcastMaxBytes")
+        spark.conf.unset("tillkit.spreadSmallScans")
+    assert spread(nation, "n_nationkey") is not nation      # one split < cores: spread

@@ -24,8 +24,17 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when its estimated size is at most ``max_bytes``."""
+BROADCAST_CONF = "tillkit.broadcastMaxBytes"
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when its estimated size is at most ``max_bytes``
+    (default: the session setting ``tillkit.broadcastMaxBytes``, else 32 MiB;
+    0 turns these broadcasts off)."""
+    if max_bytes is None:
+        max_bytes = int(df.sparkSession.conf.get(BROADCAST_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    if max_bytes <= 0:
+        return df
     size = estimated_bytes(df)
     if size is not None and size <= max_bytes:
         return F.broadcast(df)

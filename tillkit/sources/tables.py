@@ -38,8 +38,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     has at least ``defaultParallelism`` splits (always the case on a large
     table) the frame is returned unchanged and no shuffle is added. The
     partitioning is on the key the next join/aggregate uses, so that operator
-    reuses it instead of shuffling again.
+    reuses it instead of shuffling again. Set ``tillkit.spreadSmallScans`` to
+    ``false`` to turn it off.
     """
+    if df.sparkSession.conf.get("tillkit.spreadSmallScans", "true").lower() != "true":
+        return df
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() >= cores:
