@@ -1,0 +1 @@
+"""Table scans and sinks, the binding of the driver's tables, schemas, seeds."""
