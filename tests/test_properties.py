@@ -114,3 +114,37 @@ def test_upsert_and_insert_ignore_match_dicts(spark, table, changes):
     got = sorted(tuple(r) for r in M.insert_ignore(t, rows, ["k"], order=["pos"]).collect())
     want = sorted({**{k: v for k, v in first.items() if k not in table}, **table}.items())
     assert got == want
+
+
+inv_st = st.lists(st.tuples(st.integers(1, 3), st.integers(0, 40), st.integers(1, 4),
+                            st.decimals(min_value=D("0"), max_value=D("9999.99"), places=2),
+                            st.sampled_from(["cash", "upi", "card", None])),
+                  max_size=40)
+
+
+@settings(max_examples=8, deadline=None)
+@given(inv_st, st.integers(0, 40), st.integers(0, 40))
+def test_reports_match_python_sums(spark, invoices, a, b):
+    from tillkit.operators import reports
+
+    start, end = sorted((a, b))
+    base = dt.date(2024, 1, 1)
+    rows = [(i, t, c, D(g), D(0), D(0), m, "paid",
+             dt.datetime.combine(base + dt.timedelta(days=day), dt.time(12)))
+            for i, (t, day, c, g, m) in enumerate(invoices)]
+    df = spark.createDataFrame(rows, "id long, tenant_id int, customer_id long, grand_total decimal(12,2), "
+                                     "tax_total decimal(12,2), discount_total decimal(12,2), "
+                                     "payment_method string, payment_status string, created_at timestamp_ntz")
+    s_day, e_day = base + dt.timedelta(days=start), base + dt.timedelta(days=end)
+    for t in (1, 2, 3):
+        mine = [r for r in rows if r[1] == t and s_day <= r[8].date() <= e_day + dt.timedelta(days=1)
+                and (r[8].date() <= e_day or r[8].time() == dt.time(0))]
+        got = reports.sales_summary(df, tenant_id=t, start=s_day, end=e_day).first()
+        assert got.total_invoices == len(mine)
+        assert got.total_revenue == sum((r[3] for r in mine), D(0))
+        daily = reports.daily_sales(df, tenant_id=t, start=s_day, end=e_day).collect()
+        assert sum(r.total_invoices for r in daily) == len(mine)
+        by_method = reports.payment_methods(df, tenant_id=t, start=s_day, end=e_day).collect()
+        assert sum((r.total_revenue for r in by_method), D(0)) == got.total_revenue
+        c1 = reports.sales_summary(df, tenant_id=t, customer_id=1).first()
+        assert c1.total_invoices == sum(1 for r in rows if r[1] == t and r[2] == 1)
