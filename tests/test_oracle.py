@@ -45,3 +45,9 @@ def test_plan_types_match_oracle(spark, con, name):
     rel = con.sql(E.oracle_sql()[name])
     want = {c: str(t).replace(" ", "") for c, t in zip(rel.columns, rel.types)}
     assert got == want
+
+
+def test_bench_headline_plans_are_registered():
+    import bench
+
+    assert set(bench.HEADLINE) <= set(E.queries())
