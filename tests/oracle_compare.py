@@ -29,6 +29,15 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR",
+          "BooleanType()": "BOOLEAN", "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP",
+          "DoubleType()": "DOUBLE"}
+
+
+def _spark_type(t) -> str:
+    return _TYPES.get(repr(t)) or repr(t).replace("DecimalType", "DECIMAL").replace(" ", "")
+
+
 def _norm(v):
     if isinstance(v, float):
         return round(v, 6) if not math.isnan(v) else "nan"
@@ -60,6 +69,10 @@ def compare(spark, con, name: str, plan, sql: str | None, sf_dir: str) -> dict:
     if sql is None:
         res["ok"] = None
         return res
+    rel = con.sql(sql)
+    d_types = {c: str(t).replace(" ", "") for c, t in zip(rel.columns, rel.types)}
+    s_types = {f.name: _spark_type(f.dataType) for f in df.schema.fields}
+    res["types_ok"] = s_types == d_types
     cur = con.execute(sql)
     d_cols = [c[0] for c in cur.description]
     d_rows = cur.fetchall()
