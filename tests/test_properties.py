@@ -148,3 +148,25 @@ def test_reports_match_python_sums(spark, invoices, a, b):
         assert sum((r.total_revenue for r in by_method), D(0)) == got.total_revenue
         c1 = reports.sales_summary(df, tenant_id=t, customer_id=1).first()
         assert c1.total_invoices == sum(1 for r in rows if r[1] == t and r[2] == 1)
+
+
+stock_st = st.dictionaries(st.tuples(st.integers(1, 3), st.integers(1, 6)),
+                           st.decimals(min_value=D("0"), max_value=D("999.999"), places=3), max_size=12)
+sold_st = st.lists(st.tuples(st.integers(1, 3), st.integers(1, 8),
+                             st.one_of(st.none(), st.decimals(min_value=D("0.001"), max_value=D("50"),
+                                                              places=3))), max_size=30)
+
+
+@settings(max_examples=8, deadline=None)
+@given(stock_st, sold_st)
+def test_stock_deduction_matches_python(spark, stock, sold):
+    prods = spark.createDataFrame([(p, t, s) for (t, p), s in sorted(stock.items())],
+                                  "id long, tenant_id int, stock_qty decimal(12,3)")
+    lines = spark.createDataFrame([(p, t, q) for t, p, q in sold],
+                                  "product_id long, tenant_id int, quantity decimal(12,3)")
+    got = {(r.tenant_id, r.id): r.stock_qty for r in pricing.deduct_stock(prods, lines).collect()}
+    want = {}
+    for (t, p), s in stock.items():
+        mine = [q for tt, pp, q in sold if (tt, pp) == (t, p)]
+        want[(t, p)] = None if any(q is None for q in mine) else s - sum(mine, D(0))
+    assert got == want
