@@ -12,10 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillkit.llm import byte_bpe, near_dup, suffix_dedup
+from tillkit.llm import byte_bpe, language_mix, mixing, near_dup, suffix_dedup
 from tillkit.llm.common import read, shared_dir
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: null texts and texts without a letter go."""
+    return language_mix.identify(docs).where(F.col("lang_pred") != language_mix.UNKNOWN).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return near_dup.drop_near_duplicates(docs)
@@ -32,6 +37,11 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                        F.length(text).cast("long").alias("n_chars"))
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, shard by shard."""
+    return mixing.mixed_documents(docs)
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids and their number, for every document of the mix."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -39,7 +49,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("near_dedup", near_dedup), ("repeat_removal", repeat_removal), ("encoding", encoding)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("repeat_removal", repeat_removal),
+          ("source_mix", source_mix), ("encoding", encoding)]
 
 #: Hash sketches, suffix order and BPE are outside SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
