@@ -103,7 +103,7 @@ def _agree(a: bytes, b: bytes) -> int:
 def _parts(side: list[bytes]) -> list[int]:
     """Distances from the anchor at which any two of the strings part."""
     ordered = sorted(set(side))
-    return sorted({_agree(a, b) for a, b in itertools.pairwise(ordered)} - {0})
+    return sorted({_agree(a, b) for a, b in itertools.pairwise(ordered)})
 
 
 class Sorter:
@@ -128,7 +128,7 @@ class Sorter:
         for key, lead, b, is_open in segments:
             n = len(b)
             cuts = [lead - c for c in reversed(left_cuts) if c < lead]
-            cuts += [lead + c for c in right_cuts if lead + c < n]
+            cuts += [lead + c for c in right_cuts if 0 < c and lead + c < n]
             bounds = [0, *cuts, n]
             for lo, hi in itertools.pairwise(bounds):
                 # equal bytes at one distance from one anchor are one symbol
