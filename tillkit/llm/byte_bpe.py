@@ -1,20 +1,26 @@
 """Byte-level BPE encoding and decoding.
 
-A block of texts is split to words (``pretoken``), and each distinct word is
-encoded once by Spark's higher-order functions: the word is an array of
-one-byte pieces, and a fold merges the neighbours of least rank until no
-neighbours have a rank. Ranks are a literal: ``RANK_BINS`` small maps, found
-by the CRC of the piece, as Spark searches a map from its start. The text's
-ids are its words' ids in order; decoding concatenates the pieces' bytes.
-
-Bytes travel as the Latin-1 characters of the same number, so that pieces are
-strings of Spark. Nothing is shuffled: each block is encoded by the task that
-reads it. Null texts count as empty.
+A word is an array of one-byte pieces, and a fold merges the neighbours of
+least rank until no neighbours have a rank. Two forms share this:
+
+* ``encode_words`` is the native one, by Spark's higher-order functions, for
+  tables of words. Ranks are a literal: ``RANK_BINS`` small maps, found by the
+  CRC of the piece, as Spark searches a map from its start. Bytes travel as
+  the Latin-1 characters of the same number, so that pieces are strings.
+* ``encode`` is for texts. A block of texts is split to words (``pretoken``),
+  and the merges are folded over all its distinct words at once, in arrays, in
+  the task that reads the block; nothing is shuffled. (The native fold takes
+  some 130 microseconds a word, too long for a corpus; see the README.)
+
+A text's ids are its words' ids in order; decoding concatenates the pieces'
+bytes. Null texts count as empty.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -28,8 +34,8 @@ from pyspark.sql import types as T
 from tillkit.llm.common import Powers, blocks, free_names, ship
 from tillkit.llm.words import split_words
 
-#: Bytes of text whose distinct words are encoded together.
-BLOCK = 16 << 20
+#: Characters of text whose distinct words are encoded together.
+BLOCK = 3 << 20
 RANK_BINS = 1 << 15
 NO_RANK = 1 << 30
 
@@ -115,62 +121,128 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
+class Merger:
+    """Encodes many words at once by folding ranked merges over their pieces."""
+
+    #: Words of more bytes are merged by a heap, one at a time.
+    LONG = 64
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        pairs = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[(left << 32) | right] = rank
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.rank = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of pieces side by side."""
+        key = (left << 32) | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.rank[at], NO_RANK)
+
+    def _long(self, word: bytes) -> list[int]:
+        """One word, least rank first and leftmost among equals, by a heap."""
+        piece: list[bytes | None] = [word[i:i + 1] for i in range(len(word))]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        rank = self.ranks.get
+        heap = [(r, i, 2) for i in range(len(word) - 1) if (r := rank(word[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i] if piece[i] is not None else len(word)
+            if j >= len(word) or len(piece[i]) + len(piece[j]) != size:
+                continue  # a side has changed
+            piece[i], piece[j] = piece[i] + piece[j], None
+            after[i] = after[j]
+            if after[i] < len(word):
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < len(word):
+                    joined = piece[a] + piece[after[a]]
+                    if (r := rank(joined)) is not None:
+                        heapq.heappush(heap, (r, a, len(joined)))
+        return [self.ranks[p] for p in piece if p is not None]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        out: list = [None] * len(words)
+        short = []
+        for k, w in enumerate(words):
+            if (whole := self.ranks.get(w)) is not None:
+                out[k] = (whole,)
+            elif len(w) > self.LONG:
+                out[k] = self._long(w)
+            else:
+                short.append(k)
+        if short:
+            sizes = np.array([len(words[k]) for k in short])
+            piece = self.byte[np.frombuffer(b"".join(words[k] for k in short), dtype=np.uint8)]
+            owner = np.repeat(np.array(short), sizes)
+            while len(piece):
+                same = np.append(owner[1:] == owner[:-1], False)
+                rank = np.full(len(piece), NO_RANK, dtype=np.int64)
+                at = np.flatnonzero(same)
+                rank[at] = self._ranked(piece[at], piece[at + 1])
+                while True:
+                    start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                    many = np.diff(np.append(start, len(piece)))
+                    least = np.minimum.reduceat(rank, start)
+                    done = least == NO_RANK
+                    if done.sum() * 4 > len(done):
+                        break  # a quarter has no merge left
+                    hit = np.flatnonzero(rank == np.repeat(least, many))
+                    hit = hit[rank[hit] < NO_RANK]
+                    hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])]  # leftmost of the word
+                    piece[hit] = rank[hit]
+                    keep = np.ones(len(piece), dtype=bool)
+                    keep[hit + 1] = False
+                    moved = np.cumsum(keep)[hit] - 1
+                    piece, owner, rank = piece[keep], owner[keep], rank[keep]
+                    for i in (moved, moved - 1):
+                        i = i[(i >= 0) & (i + 1 < len(piece))]
+                        joint = owner[i] == owner[i + 1]
+                        rank[i[joint]] = self._ranked(piece[i[joint]], piece[i[joint] + 1])
+                        rank[i[~joint]] = NO_RANK
+                    rank[-1] = NO_RANK
+                over = np.repeat(done, many)
+                ended, edge = piece[over].tolist(), np.cumsum(many[done]).tolist()
+                for k, lo, hi in zip(owner[start[done]].tolist(), [0, *edge], edge):
+                    out[k] = ended[lo:hi]
+                piece, owner = piece[~over], owner[~over]
+        count = np.array([len(o) for o in out], dtype=np.int64)
+        return np.fromiter(itertools.chain.from_iterable(out), dtype="<u4", count=int(count.sum())), count
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
     """``docs`` with ``ids``: the text's token ids, little-endian unsigned 32-bit."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     (ids,) = free_names(docs, "ids")
     names = [*docs.columns, ids]
-    row = T.StructType(docs.schema.fields)
-    blocked = T.StructType([
-        T.StructField("rows", T.ArrayType(row)), T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("index", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
+    sent = spark.sparkContext.broadcast(ranks)
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger, pw = Merger(sent.value), Powers()
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for part in blocks(np.array([len(t) for t in texts]), BLOCK):
-                n = part.stop - part.start
-                place: dict[str, int] = {}
-                index, sizes = [], np.zeros(n, dtype=np.int32)
-                for small in blocks(np.array([len(t) for t in texts[part]]), BLOCK // 8):
-                    found = split_words(texts[part][small], pw)
-                    where = np.array([place.setdefault(w, len(place)) for w in found.words] or [0], dtype=np.int32)
-                    index.append(where[found.index])
-                    sizes[small] = np.bincount(found.text, minlength=small.stop - small.start)
-                words = [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in place]
-                rows = pa.RecordBatch.from_arrays(
-                    [c.slice(part.start, n) for c in batch.columns], schema=batch.schema)
+                found = split_words(texts[part], pw)
+                flat, many = merger.encode([w.encode("utf-8", "surrogatepass") for w in found.words])
+                own = many[found.index]
+                body = flat[_ragged((np.cumsum(many) - many)[found.index], own)].tobytes()
+                per_row = np.bincount(found.text, weights=own, minlength=part.stop - part.start).astype(np.int64) * 4
+                at = np.concatenate([[0], np.cumsum(per_row)]).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows.to_struct_array()),
-                     pa.array([words], pa.list_(pa.string())),
-                     pa.array([np.concatenate(index).tobytes()]), pa.array([sizes.tobytes()])],
-                    ["rows", "words", "index", "sizes"])
+                    [*(c.slice(part.start, part.stop - part.start) for c in batch.columns),
+                     pa.array([body[a:b] for a, b in zip(at, at[1:])], pa.binary())], names)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                rows, codes = batch.column(0)[k].values, batch.column(3)[k].values
-                index = np.frombuffer(batch.column(1)[k].as_py(), dtype=np.int32)
-                sizes = np.frombuffer(batch.column(2)[k].as_py(), dtype=np.int32)
-                offsets = codes.offsets.to_numpy()
-                flat = codes.values.to_numpy(zero_copy_only=False).astype("<u4")
-                many = np.diff(offsets)
-                edge = np.concatenate([[0], np.cumsum(sizes)])
-                for part in blocks(sizes, 1 << 20):
-                    own = index[edge[part.start]:edge[part.stop]]
-                    body = flat[_ragged(offsets[:-1][own], many[own])].tobytes()
-                    per_row = np.add.reduceat(np.append(many[own], 0), edge[part] - edge[part.start])
-                    per_row = np.where(sizes[part] > 0, per_row, 0) * 4
-                    at = np.concatenate([[0], np.cumsum(per_row)]).tolist()
-                    kept = pa.RecordBatch.from_struct_array(rows.slice(part.start, part.stop - part.start))
-                    yield pa.RecordBatch.from_arrays(
-                        [*kept.columns, pa.array([body[a:b] for a, b in zip(at, at[1:])], pa.binary())],
-                        names)
-
-    coded = docs.mapInArrow(block, blocked).select(
-        "rows", "index", "sizes", encode_words(F.col("words"), ranks).alias("codes"))
-    return coded.mapInArrow(join, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
