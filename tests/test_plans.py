@@ -2,7 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as E
+import tillkit.plans.sql as E_sql
+from tillkit.plans.catalog import PLANS
 from tillkit.operators import listing, reports
 from tillkit.plans.catalog import priced
 from tillkit.sources import binding as B
@@ -16,9 +17,9 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E_sql.PLAN_NAMES))
 def test_registered_plan_is_jvm_only(spark, name):
-    plan = physical(E.queries()[name](spark, SF))
+    plan = physical(PLANS[name](spark, SF))
     for bad in FORBIDDEN:
         assert bad not in plan, f"{name}: {bad}"
 
@@ -91,25 +92,7 @@ def test_bucketed_invoices_price_without_shuffle(spark, scratch):
         spark.sql("DROP TABLE IF EXISTS bkt_lines")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith("T")))
+@pytest.mark.parametrize("name", sorted(n for n in E_sql.PLAN_NAMES if not n.startswith("T")))
 def test_lineitem_scanned_at_most_once(spark, name):
-    plan = physical(E.queries()[name](spark, SF))
+    plan = physical(PLANS[name](spark, SF))
     assert plan.count("lineitem.parquet") <= 1
-
-
-def test_session_switches_for_broadcast_and_spread(spark):
-    from tillkit.operators.sizing import broadcast_if_small
-    from tillkit.sources.tables import read_table, spread
-
-    nation = read_table(spark, SF, "nation")
-    assert "ResolvedHint" in broadcast_if_small(nation)._jdf.queryExecution().analyzed().toString() or \
-        "broadcast" in broadcast_if_small(nation)._jdf.queryExecution().optimizedPlan().toString().lower()
-    spark.conf.set("tillkit.broadcastMaxBytes", "0")
-    spark.conf.set("tillkit.spreadSmallScans", "false")
-    try:
-        assert broadcast_if_small(nation) is nation
-        assert spread(nation, "n_nationkey") is nation
-    finally:
-        spark.conf.unset("tillkit.broadcastMaxBytes")
-        spark.conf.unset("tillkit.spreadSmallScans")
-    assert spread(nation, "n_nationkey") is not nation      # one split < cores: spread

@@ -8,18 +8,25 @@ no digit is lost:
 ==============  =================  ==========================================
 value           type               why
 ==============  =================  ==========================================
-price           decimal(12,2)      NUMERIC(12,2) column
-quantity        decimal(12,3)      NUMERIC(12,3) column
-tax_percent     decimal(5,2)       NUMERIC(5,2) column
-line_total      decimal(25,5)      price * quantity, exact
-percent / 100   decimal(12,4)      discount * 0.01, exact
-discount        decimal(30,9)      line_total * (discount / 100), exact
-tax rate        decimal(5,4)       tax_percent * 0.01, exact
-tax             decimal(37,13)     (line_total - discount) * rate, exact
-invoice sums    decimal(30,13)     working type of the invoice-level fold
+item price      decimal(14,4)      JSON numbers keep 4 places (NUMERIC there)
+item discount   decimal(14,4)      amount or percent, 4 places
+item quantity   decimal(13,4)      4 places
+tax_percent     decimal(7,4)       4 places
+line_total      decimal(24,8)      price * quantity, exact
+percent / 100   decimal(13,6)      discount * 0.01, exact
+discount        decimal(38,14)     line_total * (discount / 100), exact
+tax rate        decimal(7,6)       tax_percent * 0.01, exact
+tax             decimal(38,20)     (line_total - discount) * rate, exact
+invoice sums    decimal(38,20)     working type of the invoice-level fold
+stored price    decimal(12,2)      NUMERIC(12,2) column of products
+stored quantity decimal(12,3)      NUMERIC(12,3) column of products
 stored totals   decimal(12,2)      rounded HALF_UP on store (N1)
 ==============  =================  ==========================================
 
+Inputs are rounded by no step before the store. A line total has room for 16
+digits before the point, an invoice for 18. JSON numbers of more than 4 places
+are reported by ``quality.item_scale_violations``.
+
 The three versions of the pricing procedure are selected by ``PricingVersion``.
 """
 
@@ -34,19 +41,21 @@ from pyspark.sql import types as T
 
 PRICE = T.DecimalType(12, 2)
 QTY = T.DecimalType(12, 3)
-RATE = T.DecimalType(5, 2)
-LINE = T.DecimalType(25, 5)
-PCT = T.DecimalType(12, 4)
-DISC = T.DecimalType(30, 9)
-TAX_RATE = T.DecimalType(5, 4)
-TAX = T.DecimalType(37, 13)
-WORK = T.DecimalType(30, 13)
+ITEM_PRICE = T.DecimalType(14, 4)
+ITEM_QTY = T.DecimalType(13, 4)
+RATE = T.DecimalType(7, 4)
+LINE = T.DecimalType(24, 8)
+PCT = T.DecimalType(13, 6)
+DISC = T.DecimalType(38, 14)
+TAX_RATE = T.DecimalType(7, 6)
+NET = T.DecimalType(30, 14)
+TAX = T.DecimalType(38, 20)
+WORK = T.DecimalType(38, 20)
 MONEY = T.DecimalType(12, 2)
 # Report sums keep scale 2 and the widest precision.
 MONEY_SUM = T.DecimalType(38, 2)
 QTY_SUM = T.DecimalType(38, 3)
-REVENUE_SUM = T.DecimalType(38, 5)
-
+REVENUE_SUM = T.DecimalType(38, 8)
 
 
 def _hundredth() -> Column:
@@ -81,13 +90,13 @@ VERSIONS = {"v1": V1, "v2": V2, "v3": V3}
 
 def line_total(unit_price: Column, quantity: Column) -> Column:
     """unit_price * quantity, exact (NULL when either is NULL, N3)."""
-    return (unit_price.cast(PRICE) * quantity.cast(QTY)).cast(LINE)
+    return (unit_price.cast(ITEM_PRICE) * quantity.cast(ITEM_QTY)).cast(LINE)
 
 
 def line_discount(lt: Column, discount: Column, discount_type: Column,
                   version: PricingVersion = V3) -> Column:
     """Discount amount of one line: an amount, or a percentage of the line total."""
-    d = F.coalesce(discount.cast(PRICE), F.lit(0).cast(PRICE))
+    d = F.coalesce(discount.cast(ITEM_PRICE), F.lit(0).cast(ITEM_PRICE))
     amount = d.cast(DISC)
     if not version.honour_discount_type:
         return amount
@@ -99,7 +108,7 @@ def line_discount(lt: Column, discount: Column, discount_type: Column,
 def line_tax(lt: Column, disc: Column, tax_percent: Column) -> Column:
     """(line_total - discount) * tax_percent / 100, exact."""
     rate = (F.coalesce(tax_percent.cast(RATE), F.lit(0).cast(RATE)) * _hundredth()).cast(TAX_RATE)
-    return ((lt - disc) * rate).cast(TAX)
+    return ((lt.cast(NET) - disc.cast(NET)).cast(NET) * rate).cast(TAX)
 
 
 def line_amounts(unit_price: Column, quantity: Column, discount: Column,

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tillkit.functions import predicates as P
 from tillkit.functions.ordering import nulls_first, pg_asc, pg_desc
 from tillkit.functions.text import default_if_blank, label, permission_summary
-from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources import seeds
 
 PERMS = seeds.PERMISSION_FIELDS
@@ -33,7 +32,7 @@ def login_rows(users: DataFrame, roles: DataFrame, username=None,
         u = u.filter(F.col("username") == F.lit(username))
     if active_only:
         u = u.filter(P.is_live())
-    j = u.join(broadcast_if_small(r), u["role_id"] == r["_rid"], "inner")
+    j = u.join(r, u["role_id"] == r["_rid"], "inner")
     cols = ["id", "username", "full_name", "email", "role_id", "role_name", "tenant_id",
             "tenant_role_id", "is_active"]
     return j.select(*[c for c in cols if c in j.columns])
@@ -59,9 +58,9 @@ def list_users(users: DataFrame, roles: DataFrame, tenant_roles: DataFrame, tena
         scope = F.col("tenant_id").isNotNull() if all_tenants else P.tenant_is(tenant_id)
         u = users.filter(scope & (F.col("role_id") == 3))
         order = ([pg_asc("tenant_id")] if all_tenants else []) + [pg_desc("created_at")]
-    j = (u.join(broadcast_if_small(r), u["role_id"] == r["_rid"], "inner")
-          .join(broadcast_if_small(tr), F.col("tenant_role_id") == tr["_trid"], "left")
-          .join(broadcast_if_small(t), F.col("tenant_id") == t["_tid"], "left"))
+    j = (u.join(r, u["role_id"] == r["_rid"], "inner")
+          .join(tr, F.col("tenant_role_id") == tr["_trid"], "left")
+          .join(t, F.col("tenant_id") == t["_tid"], "left"))
     return j.select("id", "username", "full_name", "role_id", "role_name", "tenant_id",
                     "tenant_role_id", "tenant_role_name", "tenant_name", "business_type",
                     "is_active", "created_at").orderBy(*order, pg_asc("id"))
@@ -83,19 +82,20 @@ def user_menus(users: DataFrame, menus: DataFrame, role_permissions: DataFrame,
     combined by ``unionByName``. Order per user: parent NULLS FIRST,
     sort order, name.
     """
-    m = broadcast_if_small(_menu_cols(menus))
+    m = _menu_cols(menus)
     u = users.select(F.col("id").alias("user_id"), "role_id", "tenant_role_id")
 
     trp = tenant_role_permissions.filter(F.col("can_view") == True)  # noqa: E712
     by_tenant_role = (u.filter(F.col("tenant_role_id").isNotNull())
-                       .join(broadcast_if_small(trp), "tenant_role_id", "inner"))
+                       .join(trp, "tenant_role_id", "inner"))
     rp = role_permissions.filter(F.col("can_view") == True)  # noqa: E712
     by_role = (u.filter(F.col("tenant_role_id").isNull())
-                .join(broadcast_if_small(rp), "role_id", "inner"))
+                .join(rp, "role_id", "inner"))
     keep = ["user_id", "menu_id", *PERMS]
     both = by_tenant_role.select(*keep).unionByName(by_role.select(*keep))
     out = both.join(m, "menu_id", "inner")
-    return out.select("user_id", *MENU_OUT).orderBy(
+    # a user's menus are together and in order; users are in no order
+    return out.select("user_id", *MENU_OUT).repartition("user_id").sortWithinPartitions(
         pg_asc("user_id"), nulls_first("parent_id"), pg_asc("sort_order"), pg_asc("menu_name"))
 
 
@@ -103,7 +103,7 @@ def role_menus_v1(menus: DataFrame, role_permissions: DataFrame, role_id) -> Dat
     """J3 v1: menus of one system role, ordered by sort order then id."""
     m = menus.filter(P.is_live())
     rp = role_permissions.filter((F.col("role_id") == F.lit(role_id)) & (F.col("can_view") == True))  # noqa: E712
-    j = m.join(broadcast_if_small(rp), m["id"] == rp["menu_id"], "inner")
+    j = m.join(rp, m["id"] == rp["menu_id"], "inner")
     return j.select(F.col("id").alias("menu_id"), F.col("name").alias("menu_name"), "route",
                     "icon", "parent_id", "sort_order", *PERMS).orderBy(pg_asc("sort_order"),
                                                                         pg_asc("menu_id"))
@@ -125,16 +125,33 @@ def tenant_role_menu_config(menus: DataFrame, tenant_role_permissions: DataFrame
     """
     m = _menu_cols(menus).filter(P.route_in(seeds.SUPER_ADMIN_ONLY_ROUTES, negate=True))
     trp = tenant_role_permissions.filter(F.col("tenant_role_id") == F.lit(tenant_role_id))
-    j = m.join(broadcast_if_small(trp.drop("tenant_role_id")), "menu_id", "left")
+    j = m.join(trp.drop("tenant_role_id"), "menu_id", "left")
     return j.select("menu_id", "menu_name", "route", "icon", "parent_id", "sort_order",
                     *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in PERMS]).orderBy(
         nulls_first("parent_id"), pg_asc("sort_order"), pg_asc("menu_name"))
 
 
+def tenant_role_menu_configs(menus: DataFrame, roles: DataFrame,
+                             tenant_role_permissions: DataFrame) -> DataFrame:
+    """J4 for every role of ``roles`` (id): each assignable menu with its flags.
+
+    Menus are a fixed enumeration: they are exploded per role from one
+    collected array instead of a product of two tables.
+    """
+    m = _menu_cols(menus).filter(P.route_in(seeds.SUPER_ADMIN_ONLY_ROUTES, negate=True)).select(
+        "menu_id", "menu_name", "route", "icon", "parent_id", "sort_order")
+    shelf = m.agg(F.collect_list(F.struct(*m.columns)).alias("_all"))
+    every = (roles.select(F.col("id").alias("tenant_role_id")).withColumn("_all", shelf.scalar())
+             .select("tenant_role_id", F.explode("_all").alias("_m")).select("tenant_role_id", "_m.*"))
+    j = every.join(tenant_role_permissions, ["tenant_role_id", "menu_id"], "left")
+    return j.select("tenant_role_id", *m.columns,
+                    *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in PERMS])
+
+
 def link_business_types(tenants: DataFrame, business_types: DataFrame) -> DataFrame:
     """Fill ``business_type_id`` from the type's name where it is NULL."""
     bt = business_types.select(F.col("id").alias("_btid"), F.col("name").alias("_btname"))
-    j = tenants.join(broadcast_if_small(bt), tenants["business_type"] == bt["_btname"], "left")
+    j = tenants.join(bt, tenants["business_type"] == bt["_btname"], "left")
     return j.withColumn("business_type_id", F.coalesce(F.col("business_type_id"), F.col("_btid"))
                         ).drop("_btid", "_btname")
 
@@ -143,7 +160,7 @@ def tenant_business_type(tenants: DataFrame, business_types: DataFrame) -> DataF
     """Tenant -> its business type row, NULLs when none is linked."""
     bt = business_types.select(F.col("id").alias("_btid"), F.col("name").alias("business_type_name"),
                                F.col("label").alias("business_type_label"))
-    j = tenants.join(broadcast_if_small(bt), tenants["business_type_id"] == bt["_btid"], "left")
+    j = tenants.join(bt, tenants["business_type_id"] == bt["_btid"], "left")
     return j.select(F.col("id").alias("tenant_id"), "business_type_id", "business_type_name",
                     "business_type_label")
 
@@ -182,7 +199,7 @@ def owned_by_tenant(requests: DataFrame, owners: DataFrame, key: str = "id",
     """Keep requests whose (key, tenant) exists in ``owners`` (semi join)."""
     o = owners.select(F.col(key).alias("_ok"), F.col(tenant_col).alias("_ot"))
     cond = (requests[key] == o["_ok"]) & (requests[tenant_col] == o["_ot"])
-    return requests.join(broadcast_if_small(o), cond, "left_semi")
+    return requests.join(o, cond, "left_semi")
 
 
 def tenants_with_features(tenants: DataFrame, tenant_features: DataFrame,
@@ -199,8 +216,8 @@ def permission_listing(role_permissions: DataFrame, roles: DataFrame,
     """Role name, menu, route and a 'View, Add, Edit, Delete' summary."""
     r = roles.select(F.col("id").alias("_rid"), F.col("name").alias("role_name"))
     m = menus.select(F.col("id").alias("_mid"), F.col("name").alias("menu_name"), "route")
-    j = (role_permissions.join(broadcast_if_small(r), role_permissions["role_id"] == r["_rid"])
-         .join(broadcast_if_small(m), F.col("menu_id") == m["_mid"]))
+    j = (role_permissions.join(r, role_permissions["role_id"] == r["_rid"])
+         .join(m, F.col("menu_id") == m["_mid"]))
     summary = permission_summary(*[F.col(c) for c in PERMS])
     return j.select("role_id", "role_name", "menu_id", "menu_name", "route",
                     F.coalesce(F.nullif(summary, F.lit("")), F.lit("None")).alias("flags"))
@@ -210,7 +227,7 @@ def provisioning_worklist(tenants: DataFrame, business_types: DataFrame) -> Data
     """Live tenants that have a business type (inner join)."""
     bt = business_types.select(F.col("id").alias("_btid"), F.col("name").alias("biz_name"))
     t = tenants.filter(P.is_live() & F.col("business_type_id").isNotNull())
-    j = t.join(broadcast_if_small(bt), t["business_type_id"] == bt["_btid"], "inner")
+    j = t.join(bt, t["business_type_id"] == bt["_btid"], "inner")
     return j.select("id", "name", "business_type_id", "biz_name")
 
 
@@ -218,7 +235,7 @@ def user_branding(users: DataFrame, tenants: DataFrame) -> DataFrame:
     """F14 per user: tenant name and theme, defaults for users without a tenant."""
     t = tenants.select(F.col("id").alias("_tid"), F.col("name").alias("_tname"),
                        F.col("theme_color").alias("_theme"))
-    j = users.join(broadcast_if_small(t), users["tenant_id"] == t["_tid"], "left")
+    j = users.join(t, users["tenant_id"] == t["_tid"], "left")
     return j.select(F.col("id").alias("user_id"), "tenant_id",
                     default_if_blank(F.col("_tname"), seeds.DEFAULT_TENANT_NAME).alias("tenant_name"),
                     default_if_blank(F.col("_theme"), seeds.DEFAULT_THEME_COLOR).alias("theme_color"))
@@ -260,7 +277,7 @@ def menu_response(users: DataFrame, menus: DataFrame, role_permissions: DataFram
     feats = feature_map(tenant_features)
     brand = user_branding(users, tenants)
     out = (brand.join(per_user, "user_id", "left")
-           .join(broadcast_if_small(feats), "tenant_id", "left"))
+           .join(feats, "tenant_id", "left"))
     no_tenant = F.col("tenant_id").isNull()
     return out.select(
         "user_id", "tenant_id",

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillkit.operators.sizing import broadcast_if_small
 
 
 def count_by_label(rows: DataFrame, dim: DataFrame, fk: str, dim_key: str = "id",
@@ -22,7 +21,7 @@ def count_by_label(rows: DataFrame, dim: DataFrame, fk: str, dim_key: str = "id"
         r = rows.filter(F.col("is_active") == True)  # noqa: E712
     per_key = r.groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("_n"))
     d = dim.select(F.col(dim_key).alias("_dk"), F.col(label_col).alias("label"))
-    j = per_key.join(broadcast_if_small(d), per_key["_fk"] == d["_dk"], "inner")
+    j = per_key.join(d, per_key["_fk"] == d["_dk"], "inner")
     return j.groupBy("label").agg(F.sum("_n").alias("row_count"))
 
 

@@ -7,20 +7,21 @@ what is missing (J10), so a rerun adds nothing.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillkit.functions.money import PRICE, QTY
 from tillkit.functions.text import barcode, sku
 from tillkit.operators.maintenance import _append_with_ids, missing_only
-from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources import seeds
 
 # FIXED VALUES of the synthetic product generator.
 PRODUCTS_PER_TENANT = 100
 PRICE_MIN, PRICE_MAX = 10.0, 2000.0
 STOCK_MIN, STOCK_MAX = 10, 500
-PURCHASE_FACTOR, MRP_FACTOR = 0.8, 1.2
+PURCHASE_FACTOR, MRP_FACTOR = Decimal("0.8"), Decimal("1.2")
 DEFAULT_TAX_PERCENT, DEFAULT_MIN_STOCK, DEFAULT_REORDER = 18.0, 5.0, 10.0
 
 
@@ -36,7 +37,7 @@ def seed_category_templates(categories: DataFrame, business_types: DataFrame,
     rows = [(bt, name, i) for bt, names in templates.items() for i, name in enumerate(names)]
     lit = spark.createDataFrame(rows, "bt_name string, name string, pos int")
     bt = business_types.select(F.col("id").alias("business_type_id"), F.col("name").alias("_bt"))
-    new = (lit.join(broadcast_if_small(bt), lit["bt_name"] == bt["_bt"], "inner")
+    new = (lit.join(bt, lit["bt_name"] == bt["_bt"], "inner")
            .select("name", F.lit(None).cast("int").alias("parent_id"),
                    F.lit(None).cast("int").alias("tenant_id"), "business_type_id",
                    F.lit(True).alias("is_active"), "pos"))
@@ -59,7 +60,9 @@ def synthetic_products(tenants: DataFrame, seed: int = 42,
 
     base = tenants.select(F.col("id").cast("int").alias("tenant_id"),
                           F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    price = F.round(F.lit(PRICE_MIN) + F.rand(seed + 3) * (PRICE_MAX - PRICE_MIN), 2)
+    # whole cents, then decimal arithmetic: prices are never double
+    cents = F.floor(F.rand(seed + 3) * int((PRICE_MAX - PRICE_MIN) * 100 + 1)) + int(PRICE_MIN * 100)
+    price = (cents.cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast(PRICE)
     stock = F.floor(F.lit(STOCK_MIN) + F.rand(seed + 4) * (STOCK_MAX - STOCK_MIN + 1))
     return base.select(
         "tenant_id",
@@ -67,8 +70,8 @@ def synthetic_products(tenants: DataFrame, seed: int = 42,
                     F.col("i").cast("string")).alias("name"),
         pick(seeds.PRODUCT_CATEGORIES, 5).alias("category"),
         price.cast(PRICE).alias("price"),
-        (price * PURCHASE_FACTOR).alias("purchase_price"),
-        (price * MRP_FACTOR).alias("mrp"),
+        (price * F.lit(PURCHASE_FACTOR)).cast(PRICE).alias("purchase_price"),
+        (price * F.lit(MRP_FACTOR)).cast(PRICE).alias("mrp"),
         F.lit(DEFAULT_TAX_PERCENT).alias("tax_percent"),
         stock.cast(QTY).alias("stock_qty"),
         F.lit(DEFAULT_MIN_STOCK).alias("min_stock"),

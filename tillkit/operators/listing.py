@@ -43,8 +43,16 @@ def list_customers(customers: DataFrame, tenant_id=None) -> DataFrame:
 
 
 def list_invoices(invoices: DataFrame, tenant_id=None) -> DataFrame:
-    """L4: invoices of a tenant, newest first (NULL times first, as PostgreSQL)."""
-    return _owned(invoices, tenant_id, False).orderBy(*_lead(tenant_id), pg_desc("created_at"))
+    """L4: invoices of a tenant, newest first (NULL times first, as PostgreSQL), then by id.
+
+    The all-tenants form sorts each tenant's invoices among themselves: no
+    total order over tenants is asked for.
+    """
+    rows = _owned(invoices, tenant_id, False)
+    if tenant_id is not None:
+        return rows.orderBy(pg_desc("created_at"), pg_asc("id"))
+    return rows.hint("rebalance", "tenant_id").sortWithinPartitions(
+        pg_asc("tenant_id"), pg_desc("created_at"), pg_asc("id"))
 
 
 def get_invoice(invoices: DataFrame, invoice_id, tenant_id) -> DataFrame:
@@ -52,6 +60,11 @@ def get_invoice(invoices: DataFrame, invoice_id, tenant_id) -> DataFrame:
     return invoices.filter((F.col("id") == F.lit(invoice_id)) & P.tenant_is(tenant_id))
 
 
+def get_invoices(invoices: DataFrame, requests: DataFrame) -> DataFrame:
+    """F11 for many (id, tenant_id) requests: the invoices that their tenant owns."""
+    return invoices.join(requests.select("id", "tenant_id").distinct(), ["id", "tenant_id"], "left_semi")
+
+
 def tenant_features(features: DataFrame, tenant_id=None) -> DataFrame:
     """(feature_key, enabled) of a tenant, unordered."""
     return _owned(features, tenant_id, False)

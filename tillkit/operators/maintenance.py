@@ -3,12 +3,13 @@
 The reference changes one row per call (UPDATE ... WHERE id = p). Here each
 operator takes the current table and a *table of changes* and returns the
 new table, so one job applies any number of changes. Keys are joined with
-equi-joins (shuffle or, behind a size check, broadcast); duplicate changes are
-resolved with ``min_by`` -- an aggregate with partial aggregation -- rather
-than a per-key window, so a hot key never lands whole in one task.
+equi-joins; duplicate changes are resolved with ``min_by`` -- an aggregate
+with partial aggregation -- rather than a per-key window, so a hot key never
+lands whole in one task.
 
-Change tables must hold at most one row per key for patch / upsert / save
-(PostgreSQL rejects a second change of the same row in one statement too).
+Change tables must hold at most one row per key for patch / upsert / save: a
+second change of a key fails the query (``one_per_key``), as PostgreSQL rejects
+a second change of the same row in one statement.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import types as T
 
 from tillkit.functions import predicates as P
 from tillkit.operators.numbering import assign_ids
-from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources import seeds
 
 _MARK = "_chg"
@@ -65,6 +65,24 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return best.select(*cols).unionByName(unkeyed.select(*cols))
 
 
+def one_per_key(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``changes``, failing when two rows share a key (NULL keys may repeat).
+
+    One aggregation on the keys, by which the join that follows is partitioned
+    too.
+    """
+    rest = [c for c in changes.columns if c not in keys]
+    null_key = P.all_of(*[F.col(k).isNotNull() for k in keys])
+    keyed, unkeyed = changes.filter(null_key), changes.filter(~null_key)
+    one = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
+                                   F.first(F.struct(F.lit(1).alias("_"), *rest)).alias("_row"))
+    checked = F.when(F.col("_rows") > 1, F.raise_error(F.lit(
+        f"several changes of one key ({', '.join(keys)})")).cast(one.schema["_row"].dataType)
+                     ).otherwise(F.col("_row"))
+    return (one.withColumn("_row", checked).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+            .select(*changes.columns).unionByName(unkeyed))
+
+
 # -------------------------------------------------------------------- M1
 
 def patch(table: DataFrame, changes: DataFrame, keys: Sequence[str],
@@ -75,8 +93,8 @@ def patch(table: DataFrame, changes: DataFrame, keys: Sequence[str],
     A field cannot be set to NULL. Rows without a change are unchanged.
     """
     fields = [c for c in (fields or changes.columns) if c not in keys and c in table.columns]
-    ch = _prefixed(changes.select(*keys, *fields), "_n_")
-    j = table.join(broadcast_if_small(ch), _key_cond(table, ch, keys, "_n_"), "left")
+    ch = _prefixed(one_per_key(changes.select(*keys, *fields), keys), "_n_")
+    j = table.join(ch, _key_cond(table, ch, keys, "_n_"), "left")
     out = [F.coalesce(F.col("_n_" + c), F.col(c)).alias(c) if c in fields else F.col(c)
            for c in table.columns]
     return j.select(*out)
@@ -94,7 +112,7 @@ def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str],
     key can skew it.
     """
     update = [c for c in (update or changes.columns) if c not in keys]
-    ch = _prefixed(_align(changes, table), "_n_").withColumn(_MARK, F.lit(True))
+    ch = _prefixed(one_per_key(_align(changes, table), keys), "_n_").withColumn(_MARK, F.lit(True))
     old = table.withColumn("_old", F.lit(True))
     j = old.join(ch, _key_cond(old, ch, keys, "_n_"), "full_outer")
     hit_new, hit_old = F.col(_MARK).isNotNull(), F.col("_old").isNotNull()
@@ -114,7 +132,7 @@ def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str],
 def missing_only(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key does not exist yet (``left_anti``)."""
     ex = _prefixed(existing.select(*keys), "_e_")
-    return rows.join(broadcast_if_small(ex), _key_cond(rows, ex, keys, "_e_"), "left_anti")
+    return rows.join(ex, _key_cond(rows, ex, keys, "_e_"), "left_anti")
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str],
@@ -145,13 +163,13 @@ def save_by_id(table: DataFrame, changes: DataFrame, fields: Sequence[str],
     is_new = F.col(id_col).isNull() | (F.col(id_col) == 0)
     inserts, updates = changes.filter(is_new), changes.filter(~is_new)
 
-    up = _prefixed(updates.select(id_col, *fields, *([tenant_id_col] if tenant_id_col else [])),
-                   "_n_")
+    up = _prefixed(one_per_key(
+        updates.select(id_col, *fields, *([tenant_id_col] if tenant_id_col else [])), [id_col]), "_n_")
     cond = table[id_col] == up["_n_" + id_col]
     if tenant_id_col:
         cond = cond & (up["_n_" + tenant_id_col].isNull()
                        | (table[tenant_id_col] == up["_n_" + tenant_id_col]))
-    j = table.join(broadcast_if_small(up), cond, "left")
+    j = table.join(up, cond, "left")
     hit = F.col("_n_" + id_col).isNotNull()
     updated = j.select(*[F.when(hit, F.col("_n_" + c)).otherwise(F.col(c)).cast(t).alias(c)
                          if c in fields else F.col(c) for c, t in table.dtypes])
@@ -188,7 +206,7 @@ def insert_with_defaults(table: DataFrame, rows: DataFrame, defaults: Mapping[st
 
 def _matched(table: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     k = _prefixed(keys_df.select(*keys).dropDuplicates(), "_k_").withColumn(_MARK, F.lit(True))
-    return table.join(broadcast_if_small(k), _key_cond(table, k, keys, "_k_"), "left")
+    return table.join(k, _key_cond(table, k, keys, "_k_"), "left")
 
 
 def soft_delete(table: DataFrame, keys_df: DataFrame, keys: Sequence[str],
@@ -213,12 +231,14 @@ def toggle_active(users: DataFrame, requests: DataFrame, flag: str = "is_active"
     """``SET is_active = NOT is_active WHERE id = p AND (tenant_id = t OR t IS NULL)``.
 
     ``requests`` holds (id, tenant_id); a NULL tenant is the admin override.
-    NULL stays NULL.
+    NULL stays NULL. A user that several requests match is toggled once.
     """
-    r = requests.select(F.col("id").alias("_r_id"), F.col("tenant_id").alias("_r_t")
-                        ).dropDuplicates()
-    cond = (users["id"] == r["_r_id"]) & (r["_r_t"].isNull() | (users["tenant_id"] == r["_r_t"]))
-    j = users.join(broadcast_if_small(r), cond, "left")
+    # one row per user: whether any request is the admin's, and the tenants asked for
+    r = requests.groupBy(F.col("id").alias("_r_id")).agg(
+        F.max(F.col("tenant_id").isNull()).alias("_r_any"), F.collect_set("tenant_id").alias("_r_ts"))
+    cond = (users["id"] == r["_r_id"]) & (
+        F.col("_r_any") | F.array_contains("_r_ts", users["tenant_id"]))
+    j = users.join(r, cond, "left")
     hit = F.col("_r_id").isNotNull()
     return j.select(*[F.when(hit, ~F.col(c)).otherwise(F.col(c)).alias(c) if c == flag
                       else F.col(c) for c in users.columns])
@@ -288,26 +308,27 @@ def provision_categories(worklist: DataFrame, categories: DataFrame) -> DataFram
     wl = worklist.select(F.col("tenant_id").alias("_wt"), F.col("business_type_id").alias("_wb"))
 
     tops = tmpl.filter(F.col("parent_id").isNull())
-    new_tops = (tops.join(broadcast_if_small(wl), tops["business_type_id"] == wl["_wb"])
+    new_tops = (tops.join(wl, tops["business_type_id"] == wl["_wb"])
                 .select("name", F.lit(None).cast("int").alias("parent_id"),
                         F.col("_wt").alias("tenant_id"), "business_type_id",
                         F.lit(True).alias("is_active")))
-    new_tops = missing_only(new_tops, categories, ["tenant_id", "name"])
+    own_tops = categories.filter(F.col("parent_id").isNull())
+    new_tops = missing_only(new_tops, own_tops, ["tenant_id", "name"])
     with_tops = _append_with_ids(categories, new_tops, ["tenant_id", "name"])
 
     subs = tmpl.filter(F.col("parent_id").isNotNull())
     tparent = tmpl.select(F.col("id").alias("_tp_id"), F.col("name").alias("_tp_name"))
-    nparent = with_tops.filter(F.col("tenant_id").isNotNull()).select(
+    nparent = with_tops.filter(F.col("tenant_id").isNotNull() & F.col("parent_id").isNull()).select(
         F.col("id").alias("_np_id"), F.col("name").alias("_np_name"),
         F.col("tenant_id").alias("_np_t"))
-    kids = (subs.join(broadcast_if_small(wl), subs["business_type_id"] == wl["_wb"])
+    kids = (subs.join(wl, subs["business_type_id"] == wl["_wb"])
             .join(tparent, F.col("parent_id") == F.col("_tp_id"))
             .join(nparent, (F.col("_np_name") == F.col("_tp_name")) & (F.col("_np_t") == F.col("_wt")))
             .select("name", F.col("_np_id").cast("int").alias("parent_id"),
                     F.col("_wt").alias("tenant_id"), "business_type_id",
                     F.lit(True).alias("is_active")))
     kids = missing_only(kids, with_tops, ["tenant_id", "name", "parent_id"])
-    return _append_with_ids(with_tops, kids, ["tenant_id", "name"])
+    return _append_with_ids(with_tops, kids, ["tenant_id", "name", "parent_id"])
 
 
 def _append_with_ids(table: DataFrame, rows: DataFrame, order: Sequence[str],
@@ -323,38 +344,32 @@ def _append_with_ids(table: DataFrame, rows: DataFrame, order: Sequence[str],
     return table.unionByName(_align(new, table))
 
 
-def provision_uoms(worklist: DataFrame, uoms: DataFrame, templates=tuple(seeds.UOMS)) -> DataFrame:
-    """M7 (UOM): one copy of each template unit per tenant, idempotent on
-    (tenant_id, abbreviation).
+def _provision_copies(worklist: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """A copy of every live template (``tenant_id`` NULL) for each tenant of
+    ``worklist``, unless the tenant has that key already.
 
-    The template list is the fixed seed enumeration, expanded per tenant with
-    ``explode`` of a literal array (a bounded fan-out, no join).
+    Templates are masters: a few rows, exploded per tenant from one collected
+    array instead of a product of two tables.
     """
-    arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("abbreviation"))
-                    for n, a in templates])
-    rows = worklist.select(F.col("tenant_id").cast("int").alias("tenant_id"),
-                           F.explode(arr).alias("_u")).select(
-        "_u.name", "_u.abbreviation", "tenant_id", F.lit(True).alias("is_active"))
-    rows = missing_only(rows, uoms, ["tenant_id", "abbreviation"])
-    return _append_with_ids(uoms, rows, ["tenant_id", "abbreviation"])
-
-
-def provision_hsns(worklist: DataFrame, hsns: DataFrame, templates=tuple(seeds.HSNS)) -> DataFrame:
-    """M7 (HSN): one copy of each template code per tenant, idempotent on
-    (tenant_id, hsn_code)."""
-    from decimal import Decimal
-
-    arr = F.array(*[F.struct(F.lit(code).alias("hsn_code"), F.lit(desc).alias("description"),
-                             F.lit(Decimal(c)).cast("decimal(5,2)").alias("cgst_rate"),
-                             F.lit(Decimal(s)).cast("decimal(5,2)").alias("sgst_rate"),
-                             F.lit(Decimal(g)).cast("decimal(5,2)").alias("igst_rate"))
-                    for code, desc, c, s, g in templates])
-    rows = worklist.select(F.col("tenant_id").cast("int").alias("tenant_id"),
-                           F.explode(arr).alias("_h")).select(
-        "_h.*", F.lit(0).cast("decimal(5,2)").alias("cess_rate"), "tenant_id",
-        F.lit(True).alias("is_active"))
-    rows = missing_only(rows, hsns, ["tenant_id", "hsn_code"])
-    return _append_with_ids(hsns, rows, ["tenant_id", "hsn_code"])
+    fields = [c for c in table.columns if c not in ("id", "tenant_id")]
+    shelf = table.filter(F.col("tenant_id").isNull() & P.is_live()).agg(
+        F.collect_list(F.struct(*fields)).alias("_all"))
+    rows = (worklist.select(F.col("tenant_id").cast("int").alias("tenant_id"))
+            .withColumn("_all", shelf.scalar()).select("tenant_id", F.explode("_all").alias("_t"))
+            .select("tenant_id", *[F.col("_t")[c].alias(c) for c in fields]))
+    rows = missing_only(dedupe_first(rows, ["tenant_id", key], [key]), table, ["tenant_id", key])
+    return _append_with_ids(table, rows, ["tenant_id", key])
+
+
+def provision_uoms(worklist: DataFrame, uoms: DataFrame) -> DataFrame:
+    """M7 (UOM): copies of the template units, idempotent on (tenant_id, abbreviation)."""
+    return _provision_copies(worklist, uoms, "abbreviation")
+
+
+def provision_hsns(worklist: DataFrame, hsns: DataFrame) -> DataFrame:
+    """M7 (HSN): copies of the template codes with all their rates, idempotent
+    on (tenant_id, hsn_code)."""
+    return _provision_copies(worklist, hsns, "hsn_code")
 
 
 # -------------------------------------------------------------------- M8 / M16
@@ -376,7 +391,7 @@ def create_tenants(tenants: DataFrame, new_tenants: DataFrame, business_types: D
     t2 = link_business_types(t2, business_types)
     added = missing_only(t2, tenants, ["id"])
     f = features_by_type
-    rows = added.join(broadcast_if_small(f), added["business_type"] == f["business_type"]).select(
+    rows = added.join(f, added["business_type"] == f["business_type"]).select(
         F.col("id").alias("tenant_id"), "feature_key", "enabled")
     return t2, insert_ignore(tenant_features, rows, ["tenant_id", "feature_key"])
 

@@ -6,10 +6,14 @@ single task: a tenant-day holding a third of all rows would run in one task.
 
 1. range-partition the rows by (group, order) keys: Spark samples the keys, so
    a hot group is split over several contiguous blocks;
-2. checkpoint, so each row keeps its block on recomputation;
-3. number rows inside each (group, block) -- bounded by the block size;
-4. count rows per (group, block) (partial aggregation), and add the running
-   total of the earlier blocks of the same group (at most ``n`` rows per group).
+2. sort each block and checkpoint it: a row's position in its block is kept as
+   its row id, so numbering needs no second shuffle of the rows;
+3. count rows per (group, block) (partial aggregation), and add the running
+   total of the earlier blocks of the same group. These offsets are one row per
+   group and block; joining them is a broadcast while they are small.
+
+Blocks hold about ``BLOCK_ROWS`` rows, counted from the data, and are never
+fewer than the shuffle partitions.
 
 With no group columns it numbers the whole frame (surrogate keys, W2).
 """
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 from tillkit.sources.tables import materialize
 
+BLOCK_ROWS = 5_000_000
+
 
 def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                     out: str = "seq", num_blocks: int | None = None,
@@ -34,30 +40,31 @@ def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
 
-    spark = df.sparkSession
-    n = num_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_blocks is None:
+        num_blocks = max(1, -(-df.count() // BLOCK_ROWS),
+                         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c).asc_nulls_first() for c in group_cols + order_cols]
+    # sorted blocks: the low bits of the row id are the position in the block
     blocked = materialize(
-        df.repartitionByRange(n, *keys).withColumn("_blk", F.spark_partition_id()))
-
-    inner = Window.partitionBy(*group_cols, "_blk").orderBy(
-        *[F.col(c).asc_nulls_first() for c in order_cols])
-    numbered = blocked.withColumn("_rn", F.row_number().over(inner))
+        df.repartitionByRange(num_blocks, *keys).sortWithinPartitions(*keys)
+        .withColumn("_row", F.monotonically_increasing_id()))
+    blocked = blocked.withColumn("_blk", F.shiftright("_row", 33))
 
-    counts = blocked.groupBy(*group_cols, "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = blocked.groupBy(*group_cols, "_blk").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = counts.select(
         *[F.col(c).alias(f"_o_{c}") for c in group_cols],
         F.col("_blk").alias("_o_blk"),
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+        (F.coalesce(F.sum("_cnt").over(before), F.lit(0)) - F.col("_first") + 1).alias("_off"))
 
-    cond = numbered["_blk"] == offsets["_o_blk"]
+    cond = blocked["_blk"] == offsets["_o_blk"]
     for c in group_cols:
-        cond = cond & numbered[c].eqNullSafe(offsets[f"_o_{c}"])
-    joined = numbered.join(offsets, cond, "inner")
-    return (joined.withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
-                  .drop("_blk", "_rn", "_off", "_o_blk", *[f"_o_{c}" for c in group_cols]))
+        cond = cond & blocked[c].eqNullSafe(offsets[f"_o_{c}"])
+    joined = blocked.join(offsets, cond, "inner")
+    return (joined.withColumn(out, (F.col("_off") + F.col("_row")).cast("long"))
+                  .drop("_blk", "_row", "_off", "_o_blk", *[f"_o_{c}" for c in group_cols]))
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], start_after=None,

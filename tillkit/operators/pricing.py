@@ -23,10 +23,9 @@ from pyspark.sql import types as T
 from tillkit.functions import money as M
 from tillkit.functions.text import invoice_number
 from tillkit.operators.numbering import sequence_within
-from tillkit.operators.sizing import broadcast_if_small
 from tillkit.sources.schemas import ITEM, parse_items
 
-BALANCE = T.DecimalType(38, 13)
+BALANCE = M.WORK
 
 # Columns of a priced invoice (the ``invoices`` table), in table order.
 INVOICE_COLUMNS = [
@@ -180,7 +179,7 @@ def number_invoices(invoices: DataFrame, existing: DataFrame | None = None,
                                   F.to_date("created_at").alias("_pd"))
                          .agg(F.count(F.lit(1)).alias("_prior")))
         cond = seq["tenant_id"].eqNullSafe(prior["_pt"]) & (seq["_day"] == prior["_pd"])
-        seq = (seq.join(broadcast_if_small(prior), cond, "left")
+        seq = (seq.join(prior, cond, "left")
                   .withColumn("_seq", F.col("_seq") + F.coalesce(F.col("_prior"), F.lit(0)))
                   .drop("_pt", "_pd", "_prior"))
     return (seq.withColumn("invoice_number",
@@ -224,7 +223,7 @@ def settle_invoices(invoices: DataFrame, to_settle: DataFrame) -> DataFrame:
     keys = to_settle.select(F.col("id").alias("_sid"), F.col("tenant_id").alias("_stid")
                             ).dropDuplicates()
     cond = (invoices["id"] == keys["_sid"]) & (invoices["tenant_id"] == keys["_stid"])
-    j = invoices.join(broadcast_if_small(keys), cond, "left")
+    j = invoices.join(keys, cond, "left")
     hit = F.col("_sid").isNotNull()
     return (j.withColumn("invoice_status", F.when(hit, F.lit("Paid")).otherwise(F.col("invoice_status")))
              .withColumn("paid_amount", F.when(hit, F.col("grand_total")).otherwise(F.col("paid_amount")))

@@ -13,7 +13,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillkit.operators.sizing import broadcast_if_small
 
 VIOLATION_COLS = ["table_name", "rule", "row_key", "value"]
 
@@ -56,7 +55,7 @@ def check_foreign_key(df: DataFrame, table: str, cols: Sequence[str], parent: Da
         e = df[c] == p[f"_p{i}"]
         cond = e if cond is None else cond & e
     refs = df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)))
-    orphans = refs.join(broadcast_if_small(p), cond, "left_anti")
+    orphans = refs.join(p, cond, "left_anti")
     return _shape(orphans, table, "fk:" + ",".join(cols), key_cols,
                   _key(cols))
 
@@ -97,7 +96,7 @@ def orphan_flag(df: DataFrame, col: str, parent: DataFrame, parent_col: str) ->
     """Adds ``_orphan``: a non-NULL reference with no parent row (E6), by one
     left join against the distinct parent keys."""
     p = parent.select(F.col(parent_col).alias("_pk")).dropDuplicates().withColumn("_hit", F.lit(True))
-    j = df.join(broadcast_if_small(p), df[col] == p["_pk"], "left")
+    j = df.join(p, df[col] == p["_pk"], "left")
     return j.withColumn("_orphan", F.col(col).isNotNull() & F.col("_hit").isNull()).drop("_pk", "_hit")
 
 

@@ -11,14 +11,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillkit.functions import money as M
 from tillkit.functions import predicates as P
 from tillkit.functions.ordering import pg_desc
-from tillkit.operators.sizing import broadcast_if_small
 
 TOP_K = 10  # fixed limit of the top-products report
 
+#: Measures over invoices, as SQL: the DataFrame reports and the SQL table
+#: functions (``plans.sql_functions``) both read them from here.
+MEASURES = {
+    "total_revenue": ("sum(grand_total)", M.MONEY_SUM),
+    "total_invoices": ("count(id)", T.LongType()),
+    "total_tax": ("sum(tax_total)", M.MONEY_SUM),
+    "total_discount": ("sum(discount_total)", M.MONEY_SUM),
+}
+SALE_DAY = "to_date(created_at)"
+NET_REVENUE = "quantity * unit_price - coalesce(discount, 0)"
+
+
+def measures(*names: str, zero: bool = False) -> list[Column]:
+    """Aggregates by name; ``zero`` gives 0 instead of NULL when nothing matches."""
+    out = []
+    for n in names:
+        sql, kind = MEASURES[n]
+        c = F.expr(sql).cast(kind)
+        out.append((F.coalesce(c, F.lit(0).cast(kind)) if zero else c).alias(n))
+    return out
+
 
 def _scope(invoices: DataFrame, tenant_id, start=None, end=None, customer_id=None,
            paid_only: bool = False) -> DataFrame:
@@ -50,11 +71,7 @@ def sales_summary(invoices: DataFrame, tenant_id=None, start=None, end=None,
     procedure returns one.
     """
     df = _scope(invoices, tenant_id, start, end, customer_id)
-    zero = F.lit(0).cast(M.MONEY_SUM)
-    aggs = [F.coalesce(_msum("grand_total"), zero).alias("total_revenue"),
-            F.count("id").alias("total_invoices"),
-            F.coalesce(_msum("tax_total"), zero).alias("total_tax"),
-            F.coalesce(_msum("discount_total"), zero).alias("total_discount")]
+    aggs = measures("total_revenue", "total_invoices", "total_tax", "total_discount", zero=True)
     keys = _keys(tenant_id)
     if not keys:
         return df.agg(*aggs)
@@ -82,9 +99,8 @@ def daily_sales(invoices: DataFrame, tenant_id=None, start=None, end=None,
     """R2 (v2): revenue and count per day, newest day first."""
     df = _scope(invoices, tenant_id, start, end, customer_id)
     keys = _keys(tenant_id)
-    out = (df.groupBy(*keys, F.to_date("created_at").alias("sale_date"))
-             .agg(_msum("grand_total").alias("total_revenue"),
-                  F.count("id").alias("total_invoices")))
+    out = (df.groupBy(*keys, F.expr(SALE_DAY).alias("sale_date"))
+             .agg(*measures("total_revenue", "total_invoices")))
     return out.orderBy(*keys, pg_desc("sale_date"))
 
 
@@ -104,7 +120,7 @@ def payment_methods(invoices: DataFrame, tenant_id=None, start=None, end=None,
     df = _scope(invoices, tenant_id, start, end, customer_id)
     keys = _keys(tenant_id)
     out = (df.groupBy(*keys, "payment_method")
-             .agg(F.count("id").alias("total_invoices"), _msum("grand_total").alias("total_revenue")))
+             .agg(*measures("total_invoices", "total_revenue")))
     return out.orderBy(*keys, pg_desc("total_revenue"), "payment_method")
 
 
@@ -151,7 +167,7 @@ def _sold_by_product(invoices: DataFrame, lines: DataFrame, tenant_id, line_key:
 
 def _with_names(sold: DataFrame, products: DataFrame) -> DataFrame:
     prod = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"))
-    return sold.join(broadcast_if_small(prod), sold["product_id"] == prod["_pid"], "inner")
+    return sold.join(prod, sold["product_id"] == prod["_pid"], "inner")
 
 
 def top_products(invoices: DataFrame, lines: DataFrame, products: DataFrame, tenant_id=None,
@@ -163,7 +179,7 @@ def top_products(invoices: DataFrame, lines: DataFrame, products: DataFrame, ten
     percent lines (N9); products join by id with no tenant test and group by
     **name**, merging same-named products (N10). Ties break on name (N12).
     """
-    net = F.col("quantity") * F.col("unit_price") - F.coalesce(F.col("discount"), F.lit(0))
+    net = F.expr(NET_REVENUE)
     sold = _sold_by_product(invoices, lines, tenant_id, line_key, net, start, end, customer_id)
     keys = _keys(tenant_id, "product_name")
     g = _with_names(sold, products).groupBy(*keys).agg(

@@ -15,7 +15,8 @@ from tillkit.sources import seeds
 
 _PM = """CASE WHEN substr(o.o_orderpriority, 1, 1) IN ('1', '2') THEN 'cash'
               WHEN substr(o.o_orderpriority, 1, 1) = '3' THEN 'upi'
-              WHEN substr(o.o_orderpriority, 1, 1) IN ('4', '5') THEN 'card' END"""
+              WHEN substr(o.o_orderpriority, 1, 1) = '4' THEN 'card'
+              WHEN substr(o.o_orderpriority, 1, 1) = '5' THEN 'split' END"""
 
 CTE = {
     "tenants": f"""
@@ -43,15 +44,15 @@ products AS (
     "lines": """
 lines AS (
   SELECT l.l_orderkey AS invoice_id, l.l_linenumber AS line_no, l.l_partkey AS product_id,
-         CAST(l.l_quantity AS DECIMAL(12,3)) AS quantity,
-         CAST(p.p_retailprice AS DECIMAL(12,2)) AS unit_price,
-         CAST(CAST(l.l_discount AS DECIMAL(5,2)) * 100 AS DECIMAL(12,2)) AS discount,
+         CAST(l.l_quantity AS DECIMAL(13,4)) AS quantity,
+         CAST(l.l_extendedprice AS DECIMAL(14,4)) AS unit_price,
+         CAST(CAST(l.l_discount AS DECIMAL(5,2)) * 100 AS DECIMAL(14,4)) AS discount,
          'percent' AS discount_type,
-         CAST(CAST(l.l_tax AS DECIMAL(5,2)) * 100 AS DECIMAL(5,2)) AS tax_percent
-  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey)""",
+         CAST(CAST(l.l_tax AS DECIMAL(5,2)) * 100 AS DECIMAL(7,4)) AS tax_percent
+  FROM lineitem l)""",
     "headers": f"""
 headers AS (
-  SELECT o.o_orderkey AS request_id, CAST(c.c_nationkey AS INTEGER) AS tenant_id,
+  SELECT o.o_orderkey AS request_id, CAST(o.o_custkey % {B.TENANT_COUNT} AS INTEGER) AS tenant_id,
          o.o_custkey AS customer_id,
          {_PM} AS payment_method,
          CASE o.o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending'
@@ -59,9 +60,9 @@ headers AS (
          CASE o.o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Draft'
                               WHEN 'P' THEN 'Cancelled' END AS invoice_status,
          CAST(o.o_orderkey % 7 AS DECIMAL(12,2)) AS paid_amount,
-         CAST(o.o_orderkey % 7 AS DECIMAL(30,13)) AS meta_bill_discount,
+         CAST(o.o_orderkey % 7 AS DECIMAL(38,20)) AS meta_bill_discount,
          o.o_orderdate AS created_at
-  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey)""",
+  FROM orders o)""",
     "users": f"""
 users AS (
   SELECT c_custkey AS id, c_name AS username, c_name AS full_name,
@@ -69,7 +70,7 @@ users AS (
          CASE WHEN c_custkey % 3 + 1 = 1 THEN NULL ELSE CAST(c_nationkey AS INTEGER) END
            AS tenant_id,
          CASE WHEN c_custkey % 3 + 1 = 3 AND c_custkey % 2 = 0
-              THEN c_custkey % {B.TENANT_ROLE_SLOTS} END AS tenant_role_id,
+              THEN c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) END AS tenant_role_id,
          c_acctbal >= 0 AS is_active,
          CAST(DATE '{B.USER_EPOCH}' + CAST(c_custkey % {B.USER_DAYS} AS INTEGER) AS DATE)
            AS created_at
@@ -143,33 +144,33 @@ _HUNDREDTH = "CAST(0.01 AS DECIMAL(2,2))"
 
 
 def _line_amounts(version: str) -> str:
-    lt = "CAST(unit_price * quantity AS DECIMAL(25,5))"
-    amount = "CAST(COALESCE(discount, 0) AS DECIMAL(30,9))"
+    lt = "CAST(unit_price * quantity AS DECIMAL(24,8))"
+    amount = "CAST(COALESCE(discount, 0) AS DECIMAL(38,14))"
     default = {"v2": "percent", "v3": "fixed"}.get(version)
     if default is None:
         disc = amount
     else:
-        pct = (f"CAST({lt} * CAST(COALESCE(discount, 0) * {_HUNDREDTH} AS DECIMAL(12,4)) "
-               "AS DECIMAL(30,9))")
+        pct = (f"CAST({lt} * CAST(COALESCE(discount, 0) * {_HUNDREDTH} AS DECIMAL(13,6)) "
+               "AS DECIMAL(38,14))")
         disc = (f"CASE WHEN COALESCE(discount_type, '{default}') = 'percent' "
                 f"THEN {pct} ELSE {amount} END")
     return f"""
 line_amounts AS (
   SELECT invoice_id, product_id, quantity, lt, disc,
-         CAST((lt - disc) * CAST(COALESCE(tax_percent, 0) * {_HUNDREDTH} AS DECIMAL(5,4))
-              AS DECIMAL(37,13)) AS tax
+         CAST(CAST(CAST(lt AS DECIMAL(30,14)) - CAST(disc AS DECIMAL(30,14)) AS DECIMAL(30,14))
+              * CAST(COALESCE(tax_percent, 0) * {_HUNDREDTH} AS DECIMAL(7,6)) AS DECIMAL(38,20)) AS tax
   FROM (SELECT *, {disc} AS disc FROM (SELECT *, {lt} AS lt FROM lines) a) b)"""
 
 
 def _strict(c: str) -> str:
     return (f"CAST(CASE WHEN count(*) FILTER (WHERE {c} IS NULL) > 0 THEN NULL "
-            f"ELSE SUM({c}) END AS DECIMAL(30,13))")
+            f"ELSE SUM({c}) END AS DECIMAL(38,20))")
 
 
 def priced_ctes(version: str = "v3") -> list[str]:
     """CTE names (in order) and text producing ``priced`` (the invoices table)."""
-    bill = "h.meta_bill_discount" if version == "v3" else "CAST(0 AS DECIMAL(30,13))"
-    zero = "CAST(0 AS DECIMAL(30,13))"
+    bill = "h.meta_bill_discount" if version == "v3" else "CAST(0 AS DECIMAL(38,20))"
+    zero = "CAST(0 AS DECIMAL(38,20))"
     grand = f"(s.sub - s.disc - {bill} + s.tax)"
     if version == "v3":
         grand = f"GREATEST({zero}, {grand})"
@@ -191,7 +192,7 @@ priced AS (
          CAST(s.tax AS DECIMAL(12,2)) AS tax_total,
          CAST({grand} AS DECIMAL(12,2)) AS grand_total,
          h.payment_method, h.payment_status, h.paid_amount,
-         CAST({grand} - h.paid_amount AS DECIMAL(38,13)) AS balance,
+         CAST({grand} - h.paid_amount AS DECIMAL(38,20)) AS balance,
          h.invoice_status, {bill} AS bill_discount, h.created_at
   FROM sums s JOIN headers h ON h.request_id = s.request_id)"""
     return ["lines", "headers", _line_amounts(version), totals, sums, priced]

@@ -8,7 +8,8 @@ one stock UPDATE per line. Here a whole batch of requests is posted at once:
    continue the stored counts (B2);
 3. write the batch into its own ``batch_id=<n>`` partition with dynamic
    partition overwrite, so re-running a batch replaces it instead of adding
-   duplicates;
+   duplicates; requests that the stored batch already holds keep their ids and
+   numbers, and new ones come after everything stored;
 4. derive stock from *all* stored invoices (B3), so the product snapshot is a
    pure function of the stored invoices and a rerun gives the same result.
 
@@ -18,17 +19,23 @@ recomputed from them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillkit.operators import pricing
 from tillkit.operators.numbering import assign_ids
+from tillkit.sources.tables import materialize
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored invoices, or None if the path does not exist (any other
+    failure to read is an error)."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -36,16 +43,22 @@ def post_invoices(spark: SparkSession, requests: DataFrame, invoices_path: str,
                   version: str = "v3") -> DataFrame:
     """Price, number and store one batch; returns the stored rows of the batch."""
     stored = _stored(spark, invoices_path)
-    prior = stored.filter(F.col("batch_id") != batch_id) if stored is not None else None
-
     priced = pricing.price_invoices(requests, version).withColumnRenamed("id", "request_id")
-    if prior is not None:
-        priced = assign_ids(priced, ["created_at", "request_id"], start_after=prior.select("id"))
+    if stored is None:
+        out = pricing.number_invoices(assign_ids(priced, ["created_at", "request_id"]))
     else:
-        priced = assign_ids(priced, ["created_at", "request_id"])
-    numbered = pricing.number_invoices(priced, existing=prior)
-
-    out = numbered.withColumn("batch_id", F.lit(batch_id))
+        own = stored.filter(F.col("batch_id") == batch_id).select(
+            F.col("request_id").alias("_req"), F.col("id").alias("_id"),
+            F.col("invoice_number").alias("_number"))
+        known = priced.join(own, priced["request_id"] == own["_req"], "left")
+        again = known.filter(F.col("_req").isNotNull()).withColumns(
+            {"id": F.col("_id"), "invoice_number": F.col("_number")}).drop("_req", "_id", "_number")
+        fresh = assign_ids(known.filter(F.col("_req").isNull()).drop("_req", "_id", "_number"),
+                           ["created_at", "request_id"], start_after=stored.select("id"))
+        fresh = pricing.number_invoices(fresh, existing=stored)
+        # read back before the batch's own partition is replaced
+        out = materialize(again.unionByName(fresh.select(*again.columns)))
+    out = out.withColumn("batch_id", F.lit(batch_id))
     (out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")

@@ -60,7 +60,7 @@ FROM products p LEFT JOIN sold s ON s.tenant_id = p.tenant_id AND s.product_id =
 SQL["B4_settle_drafts"] = _priced("v3") + """
 SELECT id, tenant_id, grand_total,
        CASE WHEN invoice_status = 'Draft' THEN grand_total ELSE paid_amount END AS paid_amount,
-       CASE WHEN invoice_status = 'Draft' THEN CAST(0 AS DECIMAL(38,13)) ELSE balance END
+       CASE WHEN invoice_status = 'Draft' THEN CAST(0 AS DECIMAL(38,20)) ELSE balance END
          AS balance,
        CASE WHEN invoice_status = 'Draft' THEN 'Paid' ELSE invoice_status END AS invoice_status
 FROM priced"""
@@ -114,7 +114,7 @@ SQL["R3_top_products"] = with_ctes(*priced_ctes("v3"), "products") + """
 , g AS (
   SELECT i.tenant_id, p.name AS product_name,
          CAST(SUM(l.quantity) AS DECIMAL(38,3)) AS total_qty,
-         CAST(SUM(l.quantity * l.unit_price - COALESCE(l.discount, 0)) AS DECIMAL(38,5))
+         CAST(SUM(l.quantity * l.unit_price - COALESCE(l.discount, 0)) AS DECIMAL(38,8))
            AS total_revenue
   FROM lines l JOIN priced i ON i.id = l.invoice_id JOIN products p ON p.id = l.product_id
   GROUP BY i.tenant_id, p.name)
@@ -128,7 +128,7 @@ SQL["R3a_top_products_v1"] = with_ctes(*priced_ctes("v3"), "products") + """
 , g AS (
   SELECT i.tenant_id, l.product_id, p.name AS product_name,
          CAST(SUM(l.quantity) AS DECIMAL(38,3)) AS total_qty,
-         CAST(SUM(l.unit_price * l.quantity) AS DECIMAL(38,5)) AS total_revenue
+         CAST(SUM(l.unit_price * l.quantity) AS DECIMAL(38,8)) AS total_revenue
   FROM lines l JOIN priced i ON i.id = l.invoice_id JOIN products p ON p.id = l.product_id
   WHERE i.payment_status = 'paid'
   GROUP BY i.tenant_id, l.product_id, p.name)
@@ -425,3 +425,15 @@ SELECT tenant_id, CAST(created_at AS DATE) AS sale_date,
 FROM priced GROUP BY tenant_id, CAST(created_at AS DATE)"""
 
 SQL["T2_invoice_posting_stream"] = SQL["B1_price_invoices_v3"]
+
+# ------------------------------------------------ request-shaped, provisioning
+
+from tillkit.plans import requests as _requests  # noqa: E402
+
+SQL.update(_requests.SQL)
+SQL["R3_top_products_nested"] = SQL["R3_top_products"]
+
+from tillkit.plans.catalog import PLANS as _PLANS  # noqa: E402
+
+#: Names of all registered plans of the billing tables.
+PLAN_NAMES = tuple(_PLANS)

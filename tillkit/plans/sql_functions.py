@@ -1,87 +1,135 @@
-"""The reference's table-valued procedures as Spark SQL table functions.
+"""The table-valued procedures as Spark SQL table functions.
 
-``register(spark, ...)`` publishes the billing tables as temporary views and
-creates temporary SQL table functions with named parameters and defaults,
-so a SQL user can write, as against the reference::
+``register`` publishes the billing tables as temporary views and creates
+temporary SQL table functions, so a SQL user can write::
 
     SELECT * FROM report_daily_sales(3, DATE'1996-01-01', DATE'1996-12-31');
     SELECT * FROM report_top_products(p_tenant_id => 3);
 
-The functions are inlined into the calling query, so Catalyst folds the
-``p IS NULL OR ...`` tests of absent arguments and pushes the remaining
-filters into the parquet scan, as it does for the DataFrame operators.
+Reports are generated from the measures that the DataFrame reports use
+(``operators.reports``); listings return the columns of the published table,
+whatever they are. Functions are inlined into the calling query, so tests of
+absent arguments fold away and the remaining filters reach the parquet scan.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
-# Time range of the reports: start inclusive, end inclusive of the next
-# midnight (N8).
-_SCOPE = """tenant_id = p_tenant_id
-      AND (p_start_date IS NULL OR created_at >= p_start_date)
-      AND (p_end_date IS NULL OR created_at <= p_end_date + INTERVAL 1 DAY)
-      AND (p_customer_id IS NULL OR customer_id = p_customer_id)"""
-
-_REPORT_ARGS = ("p_tenant_id INT, p_start_date DATE DEFAULT NULL, "
-                "p_end_date DATE DEFAULT NULL, p_customer_id BIGINT DEFAULT NULL")
-
-FUNCTIONS = {
-    "report_sales_summary": f"""
-CREATE OR REPLACE TEMPORARY FUNCTION report_sales_summary({_REPORT_ARGS})
-RETURNS TABLE (total_revenue DECIMAL(38,2), total_invoices BIGINT,
-               total_tax DECIMAL(38,2), total_discount DECIMAL(38,2))
-RETURN SELECT COALESCE(CAST(SUM(grand_total) AS DECIMAL(38,2)), 0), COUNT(id),
-              COALESCE(CAST(SUM(tax_total) AS DECIMAL(38,2)), 0),
-              COALESCE(CAST(SUM(discount_total) AS DECIMAL(38,2)), 0)
-       FROM invoices WHERE {_SCOPE}""",
-    "report_daily_sales": f"""
-CREATE OR REPLACE TEMPORARY FUNCTION report_daily_sales({_REPORT_ARGS})
-RETURNS TABLE (sale_date DATE, total_revenue DECIMAL(38,2), total_invoices BIGINT)
-RETURN SELECT CAST(created_at AS DATE), CAST(SUM(grand_total) AS DECIMAL(38,2)), COUNT(id)
-       FROM invoices WHERE {_SCOPE}
-       GROUP BY CAST(created_at AS DATE) ORDER BY 1 DESC NULLS FIRST""",
-    "report_payment_methods": f"""
-CREATE OR REPLACE TEMPORARY FUNCTION report_payment_methods({_REPORT_ARGS})
-RETURNS TABLE (payment_method STRING, total_invoices BIGINT, total_revenue DECIMAL(38,2))
-RETURN SELECT payment_method, COUNT(id), CAST(SUM(grand_total) AS DECIMAL(38,2))
-       FROM invoices WHERE {_SCOPE}
-       GROUP BY payment_method ORDER BY 3 DESC NULLS FIRST""",
-    "report_top_products": f"""
-CREATE OR REPLACE TEMPORARY FUNCTION report_top_products({_REPORT_ARGS})
-RETURNS TABLE (product_name STRING, total_qty DECIMAL(38,3), total_revenue DECIMAL(38,5))
-RETURN SELECT p.name, CAST(SUM(l.quantity) AS DECIMAL(38,3)),
-              CAST(SUM(l.quantity * l.unit_price - COALESCE(l.discount, 0)) AS DECIMAL(38,5))
-       FROM invoice_lines l
-       JOIN (SELECT id FROM invoices WHERE {_SCOPE}) i ON i.id = l.invoice_id
-       JOIN products p ON p.id = l.product_id
-       GROUP BY p.name ORDER BY 3 DESC NULLS FIRST, 1 LIMIT 10""",
-    "list_products": """
-CREATE OR REPLACE TEMPORARY FUNCTION list_products(p_tenant_id INT)
-RETURNS TABLE (id BIGINT, name STRING, price DECIMAL(12,2), stock_qty DECIMAL(12,3))
-RETURN SELECT id, name, price, stock_qty FROM products
-       WHERE tenant_id = p_tenant_id AND is_active = TRUE ORDER BY id""",
-    "list_customers": """
-CREATE OR REPLACE TEMPORARY FUNCTION list_customers(p_tenant_id INT)
-RETURNS TABLE (id BIGINT, name STRING)
-RETURN SELECT id, name FROM customers
-       WHERE tenant_id = p_tenant_id AND is_active = TRUE ORDER BY id""",
-    "get_invoice": """
-CREATE OR REPLACE TEMPORARY FUNCTION get_invoice(p_invoice_id BIGINT, p_tenant_id INT)
-RETURNS TABLE (id BIGINT, tenant_id INT, grand_total DECIMAL(12,2), invoice_status STRING)
-RETURN SELECT id, tenant_id, grand_total, invoice_status FROM invoices
-       WHERE id = p_invoice_id AND tenant_id = p_tenant_id""",
-}
+from tillkit.functions import money as M
+from tillkit.operators import reports
+
+
+@dataclass(frozen=True)
+class Argument:
+    """A parameter and the condition it stands for; optional ones may be NULL."""
+
+    name: str
+    kind: str
+    condition: str
+    optional: bool = True
+
+    def declared(self) -> str:
+        return f"{self.name} {self.kind}" + (" DEFAULT NULL" if self.optional else "")
+
+    def applied(self) -> str:
+        return f"({self.name} IS NULL OR {self.condition})" if self.optional else self.condition
+
+
+TENANT = Argument("p_tenant_id", "INT", "tenant_id = p_tenant_id", optional=False)
+#: The end date is inclusive up to the next midnight.
+SCOPE = (TENANT,
+         Argument("p_start_date", "DATE", "created_at >= p_start_date"),
+         Argument("p_end_date", "DATE", "created_at <= p_end_date + INTERVAL 1 DAY"),
+         Argument("p_customer_id", "BIGINT", "customer_id = p_customer_id"))
+
+
+def _function(name: str, arguments, returns: str, body: str) -> str:
+    declared = ", ".join(a.declared() for a in arguments)
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({declared}) RETURNS TABLE ({returns}) RETURN {body}"
+
+
+def _where(arguments, *more: str) -> str:
+    tests = [*(a.applied() for a in arguments), *more]
+    return f" WHERE {' AND '.join(tests)}" if tests else ""
+
+
+def _invoice_report(name: str, measures, group=None, order: str = "", zero: bool = False) -> str:
+    """A report over invoices: ``group`` is (name, type, expression) or None."""
+    columns, returns = [], []
+    if group:
+        columns.append(f"{group[2]} AS {group[0]}")
+        returns.append(f"{group[0]} {group[1]}")
+    for m in measures:
+        sql, kind = reports.MEASURES[m]
+        value = f"CAST({sql} AS {kind.simpleString()})"
+        columns.append(f"COALESCE({value}, 0) AS {m}" if zero else f"{value} AS {m}")
+        returns.append(f"{m} {kind.simpleString()}")
+    body = f"SELECT {', '.join(columns)} FROM invoices{_where(SCOPE)}"
+    body += f" GROUP BY {group[2]}" if group else ""
+    return _function(name, SCOPE, ", ".join(returns), body + (f" ORDER BY {order}" if order else ""))
+
+
+def _top_products() -> str:
+    qty, revenue = M.QTY_SUM.simpleString(), M.REVENUE_SUM.simpleString()
+    sold = (f"SELECT product_id, sum(quantity) AS q, sum({reports.NET_REVENUE}) AS r FROM invoice_lines "
+            f"LEFT SEMI JOIN (SELECT id FROM invoices{_where(SCOPE)}) i ON i.id = invoice_id GROUP BY product_id")
+    return _function(
+        "report_top_products", SCOPE, f"product_name STRING, total_qty {qty}, total_revenue {revenue}",
+        f"SELECT name AS product_name, CAST(sum(q) AS {qty}) AS total_qty, CAST(sum(r) AS {revenue}) AS total_revenue "
+        f"FROM ({sold}) s JOIN products ON products.id = product_id GROUP BY name "
+        f"ORDER BY total_revenue DESC NULLS FIRST, product_name LIMIT {reports.TOP_K}")
+
+
+def _listing(name: str, view: str, frame: DataFrame, arguments=(), live: bool = False, order: str = "id") -> str:
+    """Rows of a view, with all of its columns."""
+    returns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+    columns = ", ".join(f"`{c}`" for c in frame.columns)
+    body = f"SELECT {columns} FROM {view}{_where(arguments, *(['is_active = TRUE'] if live else []))}"
+    return _function(name, arguments, returns, f"{body} ORDER BY {order}" if order else body)
+
+
+def definitions(frames: dict[str, DataFrame]) -> dict[str, str]:
+    """The functions that the given tables allow, as SQL by name."""
+    count = ("total_revenue", "total_invoices")
+    out = {
+        "report_sales_summary": _invoice_report(
+            "report_sales_summary", (*count, "total_tax", "total_discount"), zero=True),
+        "report_daily_sales": _invoice_report(
+            "report_daily_sales", count, ("sale_date", "DATE", reports.SALE_DAY), "sale_date DESC NULLS FIRST"),
+        "report_payment_methods": _invoice_report(
+            "report_payment_methods", count[::-1], ("payment_method", "STRING", "payment_method"),
+            "total_revenue DESC NULLS FIRST"),
+        "report_top_products": _top_products(),
+    }
+    invoice = (Argument("p_invoice_id", "BIGINT", "id = p_invoice_id", optional=False), TENANT)
+    listings = {
+        "list_products": ("products", (TENANT,), True, "id"),
+        "list_customers": ("customers", (TENANT,), True, "id"),
+        "list_invoices": ("invoices", (TENANT,), False, "created_at DESC NULLS FIRST, id"),
+        "get_invoice": ("invoices", invoice, False, ""),
+        "list_tenants": ("tenants", (), False, "id"),
+        "list_users": ("users", (TENANT,), False, "id"),
+        "list_tenant_roles": ("tenant_roles", (TENANT,), True, "name"),
+    }
+    for name, (view, arguments, live, order) in listings.items():
+        if view in frames:
+            out[name] = _listing(name, view, frames[view], arguments, live, order)
+    return out
 
 
 def register(spark: SparkSession, invoices: DataFrame, lines: DataFrame, products: DataFrame,
-             customers: DataFrame) -> list[str]:
-    """Create the views ``invoices, invoice_lines, products, customers`` and the
-    SQL table functions over them; returns the function names."""
-    invoices.createOrReplaceTempView("invoices")
-    lines.createOrReplaceTempView("invoice_lines")
-    products.createOrReplaceTempView("products")
-    customers.createOrReplaceTempView("customers")
-    for ddl in FUNCTIONS.values():
+             customers: DataFrame, **more: DataFrame) -> list[str]:
+    """Create views and the functions over them; returns the function names.
+
+    ``more`` may hold ``tenants``, ``users`` and ``tenant_roles``.
+    """
+    frames = {"invoices": invoices, "invoice_lines": lines, "products": products, "customers": customers, **more}
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+    made = definitions(frames)
+    for ddl in made.values():
         spark.sql(ddl)
-    return list(FUNCTIONS)
+    return list(made)

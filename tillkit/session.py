@@ -34,6 +34,11 @@ DEFAULT_CONF = {
     # Date-range reports rely on runtime bloom filters reaching the line scan.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # A join side is broadcast when it is under 32 MiB: by the planner's estimate,
+    # or at run time by the size that adaptive execution measured.
+    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Checkpoints that nothing refers to any more are deleted.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -77,7 +82,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Only reached in local runs and tests: a fresh scratch folder per session.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # Local runs and tests: a fresh scratch folder per session.
         conf_dir = tempfile.mkdtemp(prefix="tillkit-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -10,8 +10,8 @@ billing table            from
 tenants                  nation (id, name); business type by ``key % 5``
 customers                customer; live when ``c_acctbal >= 0``
 products                 part; ``tenant_id = p_partkey % 25``
-invoices (headers)       orders joined to the customer's nation
-invoice lines / items    lineitem, priced at the part's price
+invoices (headers)       orders; ``tenant_id = o_custkey % 25``
+invoice lines / items    lineitem; unit price is ``l_extendedprice``
 users                    customer; role by ``c_custkey % 3 + 1``
 tenant_roles             supplier (one custom role per supplier)
 tenant_role_permissions  supplier joined to a grant template by ``key % 3``
@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillkit.functions.money import MONEY, PRICE, QTY, RATE
-from tillkit.operators.sizing import broadcast_if_small
+from tillkit.functions.money import ITEM_PRICE, ITEM_QTY, MONEY, PRICE, QTY, RATE
 from tillkit.sources import seeds
 from tillkit.sources.schemas import ITEM
-from tillkit.sources.tables import read_table, spread
+from tillkit.sources.tables import read_table
 
 # FIXED VALUES of the binding (shared with the oracle SQL).
 TENANT_COUNT = 25                      # nation rows at every scale factor
@@ -38,7 +37,6 @@ INACTIVE_TENANT_MOD, INACTIVE_TENANT_REM = 7, 6
 THEME_COLOR = "#0EA5E9"
 USER_EPOCH = "2020-01-01"
 USER_DAYS = 1000
-TENANT_ROLE_SLOTS = 10
 
 
 def tenants(spark: SparkSession, base: str) -> DataFrame:
@@ -82,22 +80,17 @@ def products(spark: SparkSession, base: str) -> DataFrame:
 
 
 def invoice_lines(spark: SparkSession, base: str) -> DataFrame:
-    """Flat invoice lines: lineitem priced at the part's catalogue price."""
-    li = spread(read_table(spark, base, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax"),
-        "l_orderkey")
-    price = read_table(spark, base, "part").select(
-        F.col("p_partkey"), F.col("p_retailprice").cast(PRICE).alias("unit_price"))
-    joined = li.join(broadcast_if_small(price), li.l_partkey == price.p_partkey, "left")
-    return joined.select(
+    """Flat invoice lines: one per lineitem, which carries its own price."""
+    li = read_table(spark, base, "lineitem")
+    return li.select(
         F.col("l_orderkey").alias("invoice_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast(QTY).alias("quantity"),
-        F.col("unit_price"),
-        (F.col("l_discount").cast(RATE) * 100).cast(PRICE).alias("discount"),
+        F.col("l_quantity").cast(ITEM_QTY).alias("quantity"),
+        F.col("l_extendedprice").cast(ITEM_PRICE).alias("unit_price"),
+        (F.col("l_discount").cast("decimal(5,2)") * 100).cast(ITEM_PRICE).alias("discount"),
         F.lit("percent").alias("discount_type"),
-        (F.col("l_tax").cast(RATE) * 100).cast(RATE).alias("tax_percent"),
+        (F.col("l_tax").cast("decimal(5,2)") * 100).cast(RATE).alias("tax_percent"),
     )
 
 
@@ -105,25 +98,22 @@ def _payment_method(priority: F.Column) -> F.Column:
     first = F.substring(priority, 1, 1)
     return (F.when(first.isin("1", "2"), "cash")
              .when(first == "3", "upi")
-             .when(first.isin("4", "5"), "card"))
+             .when(first == "4", "card")
+             .when(first == "5", "split"))  # the billing form offers it, the table's check does not
 
 
 def invoice_headers(spark: SparkSession, base: str, variant: bool = True) -> DataFrame:
-    """One invoice request per order; tenant = the customer's nation.
+    """One invoice request per order, with a tenant of its own.
 
     ``variant`` sets bill discount and paid amount to ``o_orderkey % 7``
     (both 0 otherwise).
     """
-    o = spread(read_table(spark, base, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"),
-        "o_orderkey")
-    c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
-    j = o.join(broadcast_if_small(c), o.o_custkey == c.c_custkey, "left")
+    o = read_table(spark, base, "orders")
     amount = (F.col("o_orderkey") % 7) if variant else F.lit(0)
     status = F.col("o_orderstatus")
-    return j.select(
+    return o.select(
         F.col("o_orderkey").alias("request_id"),
-        F.col("c_nationkey").cast("int").alias("tenant_id"),
+        (F.col("o_custkey") % TENANT_COUNT).cast("int").alias("tenant_id"),
         F.lit(None).cast("long").alias("user_id"),
         F.col("o_custkey").alias("customer_id"),
         _payment_method(F.col("o_orderpriority")).alias("payment_method"),
@@ -169,6 +159,8 @@ def invoice_requests(spark: SparkSession, base: str, variant: bool = True) -> Da
 def users(spark: SparkSession, base: str) -> DataFrame:
     c = read_table(spark, base, "customer")
     role = (F.col("c_custkey") % 3 + 1).cast("int")
+    # custom roles are spread over all tenant roles (suppliers)
+    roles = read_table(spark, base, "supplier").select(F.max("s_suppkey") + 1).scalar()
     return c.select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("username"),
@@ -177,7 +169,7 @@ def users(spark: SparkSession, base: str) -> DataFrame:
         F.when(role == 1, F.lit(None).cast("int"))
          .otherwise(F.col("c_nationkey").cast("int")).alias("tenant_id"),
         F.when((role == 3) & (F.col("c_custkey") % 2 == 0),
-               F.col("c_custkey") % TENANT_ROLE_SLOTS).alias("tenant_role_id"),
+               F.col("c_custkey") % roles).alias("tenant_role_id"),
         (F.col("c_acctbal") >= 0).alias("is_active"),
         F.date_add(F.lit(USER_EPOCH).cast("date"),
                    (F.col("c_custkey") % USER_DAYS).cast("int")).alias("created_at"),

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from tillkit.functions.money import MONEY, PRICE, QTY, RATE
+from tillkit.functions.money import ITEM_PRICE, ITEM_QTY, MONEY, PRICE, QTY, RATE
 
 ITEM = T.StructType([
     T.StructField("product_id", T.LongType(), True),
-    T.StructField("quantity", QTY, True),
-    T.StructField("unit_price", PRICE, True),
-    T.StructField("discount", PRICE, True),
+    T.StructField("quantity", ITEM_QTY, True),
+    T.StructField("unit_price", ITEM_PRICE, True),
+    T.StructField("discount", ITEM_PRICE, True),
     T.StructField("discount_type", T.StringType(), True),
     T.StructField("tax_percent", RATE, True),
 ])
@@ -71,10 +71,13 @@ USER = T.StructType([
 
 def parse_items(json_text):
     """Decode a JSON array of invoice lines (the JSONB ``items`` text) into
-    ``array<struct>``; numbers are read into the item's decimal types."""
+    ``array<struct>``; numbers are read into the item's decimal types.
+
+    Text that is no JSON, or a number that is none, fails the query, as a cast
+    to JSONB or NUMERIC does; it never becomes an invoice of 0."""
     from pyspark.sql import functions as F
 
-    return F.from_json(json_text, ITEMS)
+    return F.from_json(json_text, ITEMS, {"mode": "FAILFAST"})
 
 
 def items_json(items):

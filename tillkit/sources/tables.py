@@ -10,64 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# Parquet schema per path, inferred once per process: later reads pass it
-# explicitly and skip reading file footers on the driver.
-_SCHEMAS: dict[str, object] = {}
-
-
-def read_table(spark: SparkSession, base_dir: str, name: str, refresh: bool = False) -> DataFrame:
-    """One parquet table under ``base_dir``.
-
-    The schema is inferred on the first read of a path and reused afterwards;
-    pass ``refresh=True`` after the table's schema has changed.
-    """
-    path = f"{base_dir.rstrip('/')}/{name}.parquet"
-    schema = None if refresh else _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan by ``keys`` only when it has fewer splits than cores.
-
-    A small table stored as one row group is read by a single task; every
-    later per-row expression would then run on one core. When the scan already
-    has at least ``defaultParallelism`` splits (always the case on a large
-    table) the frame is returned unchanged and no shuffle is added. The
-    partitioning is on the key the next join/aggregate uses, so that operator
-    reuses it instead of shuffling again. Set ``tillkit.spreadSmallScans`` to
-    ``false`` to turn it off.
-    """
-    if df.sparkSession.conf.get("tillkit.spreadSmallScans", "true").lower() != "true":
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Connect): leave as is
-        return df
-    return df.repartition(cores, *keys)
+def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    """One parquet table under ``base_dir``."""
+    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
 def append_partitioned(df: DataFrame, path: str, partition_col: str = "tenant_id") -> None:
     """Append rows, one folder per tenant (partition pruning on read).
 
-    Rows are clustered by the partition column first so that each task writes
-    few files per tenant instead of one file per (task, tenant) pair.
+    Rows are rebalanced by the partition column first, so that each task writes
+    few files per tenant instead of one file per (task, tenant) pair; adaptive
+    execution splits a large tenant over several tasks.
     """
-    (df.repartition(partition_col)
+    (df.hint("rebalance", partition_col)
        .write.mode("append")
        .partitionBy(partition_col)
        .parquet(path))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str,
                    mode: str = "overwrite") -> None:
     """Store a table bucketed and sorted by ``key`` (co-located joins).

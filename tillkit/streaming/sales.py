@@ -135,3 +135,18 @@ def replay_line_posting(headers: DataFrame, lines: DataFrame, root: str,
     q = start_line_posting(stream, lines, sink, f"{root.rstrip('/')}/checkpoint", version)
     q.awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
+
+
+def replay_invoice_posting(requests: DataFrame, root: str, version: str = "v3",
+                           files_per_batch: int = 2) -> DataFrame:
+    """Run T2 over finished nested requests: write them as a file source under
+    ``root`` and post them in micro-batches of ``files_per_batch`` files, each
+    priced by itself without any join; returns every posted invoice."""
+    spark = requests.sparkSession
+    base = root.rstrip("/")
+    requests.write.mode("overwrite").parquet(f"{base}/source")
+    stream = (spark.readStream.schema(spark.read.parquet(f"{base}/source").schema)
+              .option("maxFilesPerTrigger", files_per_batch).parquet(f"{base}/source"))
+    start_invoice_posting(stream, f"{base}/sink", f"{base}/checkpoint", version).awaitTermination()
+    posted = spark.read.parquet(f"{base}/sink").drop("batch_id")
+    return posted.withColumn("tenant_id", F.col("tenant_id").cast("int"))
