@@ -8,7 +8,7 @@ from tillkit.llm import rp_forest, topk_search
 from tillkit.llm.common import read
 from tillkit.llm.vectors import best
 
-IS_QUERY = F.col("id") % 5 == 0
+IS_QUERY = "id % 5 = 0"
 SCHEMA = "vec_id long, embedding array<float>"
 
 
@@ -78,7 +78,7 @@ def test_forest_recall(spark):
 def test_hot_leaf_is_dealt(frame, monkeypatch):
     monkeypatch.setattr(rp_forest, "BRANCH_ROWS", 8)
     data = [(i, [1.0, 2.0]) for i in range(40)] + [(40 + i, [float(i), 1.0]) for i in range(5)]
-    got = rp_forest.nearest(frame(data, SCHEMA), F.col("id") == 3, search=1000).collect()
+    got = rp_forest.nearest(frame(data, SCHEMA), "id = 3", search=1000).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [0, 1, 2, 4, 5]
 
 

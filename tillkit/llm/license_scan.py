@@ -86,12 +86,13 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
     prefixed with ``_``.
     """
     names = free_names(files, "license", "score", "via", "license_path")
-    p, t1, t2 = free_names(files, "path_key", "t1", "t2")
-    keyed = files.withColumns({p: F.col(path), t1: F.xxhash64(F.col(text)),
-                               t2: F.xxhash64(F.lit(7), F.col(text), F.lit(11))})
+    inner = {c: f"c{i}__{c}" for i, c in enumerate(files.columns)}  # clear of the names used below
+    path, text = inner[path], inner[text]
+    keyed = files.withColumnsRenamed(inner).withColumns({
+        "path_key": F.col(path), "t1": F.xxhash64(F.col(text)), "t2": F.xxhash64(F.lit(7), F.col(text), F.lit(11))})
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(CUE))
     headers = keyed.where(F.col(text).rlike(CUE)).select(
-        F.col(p).alias("p"), F.col(t1).alias("a"), F.col(t2).alias("b"), F.explode(lines).alias("line"))
+        F.col("path_key").alias("p"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.explode(lines).alias("line"))
     different = headers.groupBy("line").agg(F.count(F.lit(1)).alias("files"))
     matched = match_lines(different, templates(files.sparkSession), least)
     own = headers.join(matched, "line").groupBy("p", "a", "b").agg(
@@ -104,22 +105,23 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
         F.col("best.p").alias("dir_path")))
 
     # nearest ancestor: every prefix of the path of a file without a notice
-    paths = keyed.select(F.col(p).alias("p")).where(F.col(p).isNotNull()).distinct()
+    paths = keyed.select(F.col("path_key").alias("p")).where(F.col("p").isNotNull()).distinct()
     parts = F.split(parent(F.col("p")), "/")
     prefixes = paths.select("p", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).select(
         "p", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("dir"))
     nearest = prefixes.join(spoken, "dir").groupBy("p").agg(
         F.max(F.struct("depth", "dir_license", "dir_score", "dir_path")).alias("near")).select(F.col("p").alias("q"), "near")
 
-    joined = (keyed.join(own, (F.col(p).eqNullSafe(F.col("p"))) & (F.col(t1) == F.col("a")) & (F.col(t2) == F.col("b")),
-                         "left").join(nearest, F.col(p) == F.col("q"), "left"))
+    joined = (keyed.join(own, F.col("path_key").eqNullSafe(F.col("p")) & (F.col("t1") == F.col("a"))
+                         & (F.col("t2") == F.col("b")), "left")
+              .join(nearest, F.col("path_key") == F.col("q"), "left"))
     found, near = F.col("own_license").isNotNull(), F.col("near")
     return joined.select(
-        *[keyed[c] for c in files.columns],
+        *[F.col(v).alias(k) for k, v in inner.items()],
         F.coalesce("own_license", near["dir_license"]).alias(names[0]),
         F.coalesce("own_score", near["dir_score"]).alias(names[1]),
         F.when(found, "header").when(near.isNotNull(), "inherited").alias(names[2]),
-        F.when(found, F.col(p)).otherwise(near["dir_path"]).alias(names[3]))
+        F.when(found, F.col("path_key")).otherwise(near["dir_path"]).alias(names[3]))
 
 
 def document_path(doc_id: str = "doc_id") -> Column:
