@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tillkit.llm.common import staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _done(edges: DataFrame) -> bool:
+    """Whether every node points at one root and no root points on."""
+    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    onward = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return twice.unionByName(onward).isEmpty()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -22,12 +24,10 @@ def connected(links: DataFrame) -> DataFrame:
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .distinct(), "links")
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
+    while not _done(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())

@@ -9,15 +9,15 @@ similarity). Groups are the connected components of the links.
 2. Each text gets ``HASHES`` Order MinHash sketches: the ``TAKE`` least
    occurrence-labelled shingles under one order, kept in the order of the
    text. Texts that share a sketch are candidates. At similarity 0.8 one
-   sketch is shared with probability 0.8**3; all 16 miss with 1e-5.
+   sketch is shared with probability 0.8**5; all 32 miss with 3e-6.
 3. A sketch shared by up to ``CROWD`` texts gives all their pairs (of lengths
-   that can reach the similarity). A more crowded sketch gives a pair of each
-   text with its least, and its texts are sketched anew, ``STRONG_HASHES``
-   times with ``STRONG_TAKE`` shingles: shared passages no longer meet there,
-   while at similarity 0.8 all sketches miss with 4e-7. Crowds that remain
-   after that are families of like texts: each text is aligned with the least,
-   and then all pairs that are not in one component yet.
-4. Candidates are aligned in tasks; links give components by star rounds.
+   that can reach the similarity), which are aligned in tasks.
+4. The texts of a more crowded sketch are dealt into chunks of about ``CHUNK``,
+   and every two chunks meet in a task. It counts the shingles that any two
+   texts share by one matrix product and aligns the pairs that can reach the
+   similarity; only links leave the task. So no pair is dropped, none is a row,
+   and no task holds more than two chunks.
+5. Links give components by star rounds.
 
 Null texts are in no group but their own; a text without a word only equals
 its copies.
@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,11 @@ from tillkit.llm.order_minhash import aligned, shingles, sketch, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-HASHES, TAKE = 16, 3
-STRONG_HASHES, STRONG_TAKE = 80, 8
+HASHES, TAKE = 32, 5
 CROWD = 32
+CHUNK = 256
+#: Shingles in a matrix product at a time.
+COLUMNS = 16384
 
 
 def _shingles(text: str, words: int, pw: Powers) -> np.ndarray:
@@ -78,15 +81,59 @@ def _buckets(sketched: DataFrame) -> DataFrame:
 
 
 def _pairs(buckets: DataFrame, least: float, crowd: int) -> DataFrame:
-    """Candidate pairs (a < b): all of small buckets, each with the least of crowds."""
+    """All candidate pairs (a < b) of buckets of up to ``crowd`` texts."""
     small = buckets.where(F.col("size") <= crowd).select("s", "node", "n")
     other = small.select("s", F.col("node").alias("b"), F.col("n").alias("m"))
-    every = (small.withColumnRenamed("node", "a").join(other, "s")
-             .where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")))
-             .select("a", "b"))
-    star = (buckets.where((F.col("size") > crowd) & (F.col("node") != F.col("lead")))
-            .select(F.col("lead").alias("a"), F.col("node").alias("b")))
-    return every.unionByName(star).distinct()
+    return (small.withColumnRenamed("node", "a").join(other, "s")
+            .where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")))
+            .select("a", "b").distinct())
+
+
+def _links_of(one: list[tuple], two: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Links between texts (node, shingles) of two chunks, or within one (``two`` empty)."""
+    both = one + two
+    _, place = np.unique(np.concatenate([x for _, x in both]), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(x) for _, x in both])
+    shared = np.bincount(place, minlength=1)[place] > 1  # a shingle of one text alone joins nothing
+    _, place = np.unique(place[shared], return_inverse=True)
+    row, order = row[shared], np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((len(one), len(two or one)))
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        at = slice(*np.searchsorted(place, [lo, lo + COLUMNS]))
+        table = np.zeros((len(both), COLUMNS), dtype=np.float32)
+        table[row[at], place[at] - lo] = 1.0
+        common += table[:len(one)] @ (table[len(one):] if two else table).T
+    size = np.array([len(x) for _, x in both], dtype=float)
+    sizes = (size[:len(one)], size[len(one):]) if two else (size, size)
+    need = least / (1 + least) * (sizes[0][:, None] + sizes[1][None, :]) - 1e-6
+    out = []
+    for i, j in zip(*np.nonzero(common >= need)):
+        a, b = one[i], (two or one)[j]
+        if a[0] != b[0] and (two or i < j) and aligned(a[1], b[1], least) >= least - 1e-12:
+            out.append((min(a[0], b[0]), max(a[0], b[0])))
+    return out
+
+
+def _crowd_links(buckets: DataFrame, bodies: DataFrame, least: float, words: int, crowd: int,
+                 chunk: int) -> DataFrame:
+    """Links (a, b) between the texts of crowded buckets."""
+    deal = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    members = (buckets.where(F.col("size") > crowd)
+               .withColumn("chunks", F.ceil(F.col("size") / chunk)).withColumn("c", deal)
+               .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
+               .select("s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node"))
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pw = Powers()
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        body = [(int(n), int(c), _shingles(t, words, pw)) for n, c, t in zip(pdf["node"], pdf["c"], pdf["text"])]
+        one = [(n, x) for n, c, x in body if c == i]
+        two = [(n, x) for n, c, x in body if c == j] if i != j else []
+        found = _links_of(one, two, least) if one and (two or i == j) else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return members.join(bodies, "node").groupBy("s", "i", "j").applyInPandas(task, "a long, b long")
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, least: float, words: int) -> DataFrame:
@@ -115,7 +162,8 @@ def _verify(pairs: DataFrame, bodies: DataFrame, least: float, words: int) -> Da
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
-                     least: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+                     least: float = SIMILARITY, crowd: int = CROWD,
+                     chunk: int = CHUNK) -> DataFrame:
     """Group of every different text: (t1, t2, root, links).
 
     t1 and t2 are the hashes of the text (``common.text_key``), root names the
@@ -126,30 +174,13 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     once = _sketches(texts, ["t1", "t2"], HASHES, TAKE, words).groupBy("t1", "t2").agg(
         F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     sketched = staged(once.withColumn("node", F.monotonically_increasing_id()), "sketches")
-    weak = staged(_buckets(sketched), "buckets")
-    seen = weak.groupBy("node").agg(F.max("size").alias("most")).join(sketched.select("node", "t1", "t2"), "node")
-    bodies = staged(texts.join(seen, ["t1", "t2"]).groupBy("node", "most").agg(F.first("text").alias("text")),
-                    "bodies")
-    crowded = bodies.where(F.col("most") > crowd)
-    strong = staged(_buckets(_sketches(crowded, ["node"], STRONG_HASHES, STRONG_TAKE, words)), "buckets")
-    pairs = _pairs(weak, least, crowd).unionByName(_pairs(strong, least, crowd)).distinct()
-    links = staged(_verify(pairs, bodies, least, words), "pairs")
+    shared = staged(_buckets(sketched), "buckets")
+    seen = shared.select("node").distinct().join(sketched.select("node", "t1", "t2"), "node")
+    bodies = staged(texts.join(seen, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text")), "bodies")
+    links = staged(_verify(_pairs(shared, least, crowd), bodies, least, words)
+                   .unionByName(_crowd_links(shared, bodies, least, words, crowd, chunk)).distinct(), "pairs")
     roots = connected(links)
 
-    # what is left of crowds: pairs of different components
-    left = strong.where(F.col("size") > crowd).join(roots, "node", "left").select(
-        "s", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = left.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    left = staged(left.join(mixed, "s"), "crowds")
-    if not left.isEmpty():
-        other = left.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-        rest = (left.withColumnRenamed("node", "a").join(other, "s")
-                .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other"))
-                       & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")))
-                .select("a", "b").distinct())
-        links = staged(links.unionByName(_verify(rest, bodies, least, words)).distinct(), "pairs")
-        roots = connected(links)
-
     counts = (links.select(F.explode(F.array("a", "b")).alias("node"))
               .groupBy("node").agg(F.count(F.lit(1)).alias("links")))
     return (sketched.select("node", "t1", "t2").join(roots, "node", "left").join(counts, "node", "left")
