@@ -31,10 +31,9 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A character that lost some of its bytes goes too. Null texts stay null.
     """
-    left = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("text").isNotNull(), F.try_validate_utf8(F.decode("kept", "utf-8")))
-    return left.select("doc_id", text.alias("text"), "lang", "source",
-                       F.length(text).cast("long").alias("n_chars"))
+    left = suffix_dedup.remove_repeats(docs, as_text=True)
+    return left.select("doc_id", F.col("kept").alias("text"), "lang", "source",
+                       F.length("kept").cast("long").alias("n_chars"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

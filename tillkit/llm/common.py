@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,3 +156,10 @@ def flat_utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     at = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(p) for p in parts], out=at[1:])
     return np.frombuffer(b"".join(parts), dtype=np.uint8), at
+
+
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the system, as
+    Spark keeps idle Python workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

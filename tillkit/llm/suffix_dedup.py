@@ -17,8 +17,9 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere
    each string of ``length`` bytes, counted with partial aggregation.
 
 Everything is keyed by anchor or by the hash of a text, so no task holds more
-than one anchor's segments (at most ``most``) or one text. A row of a very
-frequent anchor is some 50 bytes, and Spark's window spills them.
+than one anchor's segments (at most ``most``) or one text. Equal segments are
+collapsed in each block before they are shuffled (``anchor_rows``), so a hot
+anchor is a few rows per block; Spark's window over an anchor's rows spills.
 
 Null and empty texts have nothing to remove. Rows that repeat a text are
 copies: all of them lose what the text repeats.
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillkit.llm.anchors import owned_runs
-from tillkit.llm.common import (U64, Powers, blocks, flat_utf8, free_names, mix, prefix_hash, ship,
-                                text_key)
+from tillkit.llm.common import (U64, Powers, blocks, flat_utf8, free_names, mix, prefix_hash, release,
+                                ship, text_key)
 from tillkit.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated.
@@ -50,7 +51,8 @@ MOST = 8192
 #: Symbols after which a suffix array is closed and a new one begun.
 ARRAY = 1 << 15
 
-ANCHORS = "h long, seg long, t1 long, t2 long, place long"
+ANCHORS = "h long, seg long, t1 long, t2 long, place long, many boolean"
+SPANS = "t1 long, t2 long, span long"
 
 
 def _pack(first, width, lead):
@@ -62,8 +64,14 @@ def _unpack(place):
     return place >> 30, (place >> 15) & 32767, place & 32767
 
 
-def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """One row per anchor of each text (columns t1, t2, text)."""
+def anchor_rows(texts: DataFrame, length: int, near: bool) -> DataFrame:
+    """Anchors of each text (columns t1, t2, text), block by block.
+
+    A segment that occurs twice in one block is repeated, whatever other blocks
+    hold. With ``near`` the spans of those are returned; without, one row per
+    different segment of a block, ``many`` if it stands for several. So a line
+    that every text repeats is one row per block where rows meet by anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
@@ -73,14 +81,26 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             for part in blocks(np.array([len(t) for t in text]), BLOCK):
                 data, at = flat_utf8(text[part])
                 got = owned_runs(data, at, length, pw)
-                place = _pack(got["first"], got["last"] - got["first"], got.get("lead", got["first"]))
-                cols = [got["h"], got["seg"], t1[part][got["doc"]], t2[part][got["doc"]], place]
-                for i in range(0, len(place), 65536):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[i:i + 65536], pa.int64()) for c in cols],
-                        ["h", "seg", "t1", "t2", "place"])
-
-    return texts.mapInArrow(run, ANCHORS)
+                if not len(got["h"]):
+                    continue
+                order = np.lexsort((got["seg"], got["h"]))
+                h, seg = got["h"][order], got["seg"][order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])))
+                count = np.diff(np.append(first, len(order)))
+                take = order[np.repeat(count > 1, count)] if near else order[first]
+                start, width, doc = got["first"][take], (got["last"] - got["first"])[take], got["doc"][take]
+                cols = [t1[part][doc], t2[part][doc]]
+                if near:
+                    cols += [(start << 24) | (width + length)]
+                else:
+                    cols = [h[first], seg[first], *cols, _pack(start, width, got["lead"][take]), count > 1]
+                names = [c.split()[0] for c in (SPANS if near else ANCHORS).split(", ")]
+                for i in range(0, len(take), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65536]) for c in cols], names)
+        del pw
+        release()
+
+    return texts.mapInArrow(run, SPANS if near else ANCHORS)
 
 
 # --- the strings of one anchor's segments ---------------------------------
@@ -272,20 +292,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH,
     ship(docs.sparkSession)
     texts = docs.select("*", *text_key(text))
     long_enough = texts.where(F.octet_length(text) >= length)
-    anchors = anchor_rows(long_enough.select("t1", "t2", F.col(text).alias("text")), length)
-    by_h = Window.partitionBy("h")
-    by_seg = Window.partitionBy("h", "seg")
-    ranked = (anchors.repartition("h")
-              .withColumn("c", F.count(F.lit(1)).over(by_seg))
+    bodies = long_enough.select("t1", "t2", F.col(text).alias("text"))
+    by_h, by_seg = Window.partitionBy("h"), Window.partitionBy("h", "seg")
+    times = F.when(F.col("many"), 2).otherwise(1)
+    ranked = (anchor_rows(bodies, length, near=False).repartition("h")
+              .withColumn("c", F.sum(times).over(by_seg))
               .withColumn("r", F.row_number().over(by_seg.orderBy("t1", "t2", "place")))
-              .withColumn("n", F.count(F.lit(1)).over(by_h))
+              .withColumn("n", F.sum(times).over(by_h))
               .withColumn("d", F.sum(F.when(F.col("r") == 1, 1).otherwise(0)).over(by_h))
               .where("n > 1"))
     start = F.shiftright("place", 30)
     width = F.shiftright("place", 15).bitwiseAND(F.lit(32767))
     whole = ranked.where("c > 1").select(
-        "t1", "t2", (F.shiftleft(start, 24) + width + F.lit(length)).alias("span"))
-    wanted = ranked.where("d > 1 and r = 1").select("h", "t1", "t2", "place", (F.col("c") == 1).alias("open"), "d")
+        "t1", "t2", (F.shiftleft(start, 24) + width + F.lit(length)).alias("span")).unionByName(
+        anchor_rows(bodies, length, near=True))
+    wanted = ranked.where("d > 1 and r = 1").select(
+        "h", "t1", "t2", "place", (F.col("c") == 1).alias("open"), "d")
     sources = texts.withColumnRenamed(text, "text") if text != "text" else texts
     bodies = _bodies(sources, wanted, length)
     spans = (whole.unionByName(_sorted_spans(bodies.where(F.col("d") <= most), length))
@@ -304,10 +326,11 @@ def merge(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH,
-                   most: int = MOST) -> DataFrame:
+                   most: int = MOST, as_text: bool = False) -> DataFrame:
     """``docs`` with what is left of each text.
 
-    Adds ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and
+    Adds ``kept`` (the remaining bytes; with ``as_text`` the characters that
+    are whole, null for a null text), ``n_bytes``, ``n_removed`` and
     ``n_spans`` (maximal removed runs); a clashing column of ``docs`` keeps its
     name and the new one is prefixed with ``_``. Null texts count as empty.
     """
@@ -319,7 +342,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH,
     joined = texts.join(spans, ["t1", "t2"], "left").drop("t1", "t2")
     kept, n_bytes, n_removed, n_spans = names = free_names(docs, "kept", "n_bytes", "n_removed", "n_spans")
     schema = T.StructType([f for f in safe.schema.fields] + [
-        T.StructField(kept, T.BinaryType()), T.StructField(n_bytes, T.LongType()),
+        T.StructField(kept, T.StringType() if as_text else T.BinaryType()), T.StructField(n_bytes, T.LongType()),
         T.StructField(n_removed, T.LongType()), T.StructField(n_spans, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,8 +360,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH,
                 out.append((left, len(body), len(body) - len(left), len(lo)))
             cols = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "spans"]
             new = list(zip(*out)) or [[]] * 4
+            left = pa.array(new[0], pa.binary())
+            if as_text:
+                nulls = batch.column(batch.schema.get_field_index(key)).is_null().to_pylist()
+                left = pa.array([None if n else b.decode("utf-8", "ignore") for n, b in zip(nulls, new[0])], pa.string())
             yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(new[0], pa.binary())] + [pa.array(c, pa.int64()) for c in new[1:]],
+                cols + [left] + [pa.array(c, pa.int64()) for c in new[1:]],
                 [n for n in batch.schema.names if n != "spans"] + names)
 
     return joined.mapInArrow(run, schema).withColumnsRenamed({v: k for k, v in back.items()})
