@@ -35,7 +35,9 @@ from tillkit.llm.common import Powers, blocks, free_names, ship
 from tillkit.llm.words import split_words
 
 #: Characters of text whose distinct words are encoded together.
-BLOCK = 3 << 20
+BLOCK = 3 << 18
+#: Words whose ids a task remembers from one block to the next.
+REMEMBERED = 1 << 17
 RANK_BINS = 1 << 15
 NO_RANK = 1 << 30
 
@@ -229,11 +231,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, pw = Merger(sent.value), Powers()
+        known: dict[str, bytes] = {}
+
+        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            new = [w for w in words if w not in known]
+            flat, many = merger.encode([w.encode("utf-8", "surrogatepass") for w in new])
+            edge = np.cumsum(many).tolist()
+            fresh = {w: flat[a:b].tobytes() for w, a, b in zip(new, [0, *edge], edge)}
+            every = [fresh.get(w) or known[w] for w in words]
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+            if len(fresh) <= REMEMBERED:
+                known.update(fresh)
+            return (np.frombuffer(b"".join(every), dtype="<u4"),
+                    np.array([len(e) >> 2 for e in every], dtype=np.int64))
+
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for part in blocks(np.array([len(t) for t in texts]), BLOCK):
                 found = split_words(texts[part], pw)
-                flat, many = merger.encode([w.encode("utf-8", "surrogatepass") for w in found.words])
+                flat, many = ids_of(found.words)
                 own = many[found.index]
                 body = flat[_ragged((np.cumsum(many) - many)[found.index], own)].tobytes()
                 per_row = np.bincount(found.text, weights=own, minlength=part.stop - part.start).astype(np.int64) * 4

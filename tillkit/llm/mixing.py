@@ -226,7 +226,8 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     taken = plan.groupBy("doc_id", "source", "t1", "t2").agg(F.first("shards").alias("shards"))
     rows = docs.withColumnsRenamed(names).withColumns({
         "t1": F.xxhash64(F.col(names[text])), "t2": F.xxhash64(F.lit(7), F.col(names[text]), F.lit(11))})
-    joined = rows.join(taken.withColumnsRenamed({"t1": "p1", "t2": "p2"}),
+    # the texts need no sort for this join: the plan's rows are hashed instead
+    joined = rows.join(taken.withColumnsRenamed({"t1": "p1", "t2": "p2"}).hint("shuffle_hash"),
                        (F.col("t1") == F.col("p1")) & (F.col("t2") == F.col("p2"))
                        & F.col(names[doc_id]).eqNullSafe(F.col("doc_id"))
                        & F.col(names[source]).eqNullSafe(F.col("source")))
