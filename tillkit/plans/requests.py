@@ -292,7 +292,7 @@ def m7_uoms(spark, d):
 
 SQL["M7_provision_uoms"] = f"""WITH {_SHOPS}, {_TYPES},
 units(name, abbreviation) AS (SELECT * FROM {_values(seeds.UOMS, ['n', 'a'])})
-SELECT {len(seeds.UOMS)} + row_number() OVER (ORDER BY s.id, u.abbreviation) AS id, s.id AS tenant_id, u.name,
+SELECT CAST({len(seeds.UOMS)} + row_number() OVER (ORDER BY s.id, u.abbreviation) AS INTEGER) AS id, s.id AS tenant_id, u.name,
        u.abbreviation
 FROM shops s JOIN business_types b ON b.name = s.business_type CROSS JOIN units u WHERE s.is_active"""
 
