@@ -92,6 +92,29 @@ def test_groups_equal_brute_force(frame, crowd):
     assert sorted(r.doc_id for r in left.collect()) == sorted({g for g in want})
 
 
+def brief(seed):
+    """Bases of 1 to 32 words with a word added, cut or changed, and a phrase that many share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    phrase = [word() for _ in range(12)]
+    texts = []
+    for n in [8, 9, 10] * 4 + list(range(1, 33)):
+        base = [word() for _ in range(n)]
+        texts += [base, [word(), *base], [*base, word()], base[1:], base[:-1], [*base[:-1], word()],
+                  [*base, word(), word()], phrase + base[:n % 4], base[:n % 5] + phrase]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("crowd", [32, 3])
+def test_brief_texts_equal_brute_force(frame, crowd):
+    rows = brief(crowd)
+    for i in (0, 9, 18):  # 8 and 9, 9 and 10, 10 and 11 words
+        assert similarity(rows[i][1], rows[i + 1][1]) >= 0.8
+    got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(
+        frame(rows, "doc_id long, text string", {"s": 1, "f": 2}), crowd=crowd).collect()}
+    assert [got[i] for i, _ in rows] == groups(rows)
+
+
 def test_repeated_rows_and_null_ids(frame):
     text = " ".join(f"w{i}" for i in range(30))
     docs = frame([(3, text), (3, text), (None, text), (5, None), (5, None)], "doc_id long, text string")

@@ -9,8 +9,12 @@ similarity). Groups are the connected components of the links.
 2. Each text gets ``HASHES`` Order MinHash sketches: the ``TAKE`` least
    occurrence-labelled shingles under one order, kept in the order of the
    text. Texts that share a sketch are candidates. At similarity 0.8 one
-   sketch is shared with probability 0.8**5; all 32 miss with 3e-6.
-3. A sketch shared by up to ``CROWD`` texts gives all their pairs (of lengths
+   sketch of long texts is shared with probability 0.8**5; all 32 miss with
+   3e-6, and with 1.2e-5 at worst for shorter ones (24 of 30 shingles shared).
+   Texts of up to ``BRIEF`` shingles have no sketches: they and all texts that
+   can reach the similarity to one share a shingle of their prefix, the
+   rarest ones that a partner cannot all lack. So these pairs are exact.
+3. A sketch or prefix shingle shared by up to ``CROWD`` texts gives all their pairs (of lengths
    that can reach the similarity), which are aligned in tasks.
 4. The texts of a more crowded sketch are dealt into chunks of about ``CHUNK``,
    and every two chunks meet in a task. It counts the shingles that any two
@@ -40,6 +44,8 @@ from tillkit.llm.order_minhash import aligned, shingles, sketch, word_hashes
 WORDS = 5
 SIMILARITY = 0.8
 HASHES, TAKE = 32, 5
+#: Shingles up to which a text meets its partners by prefixes alone.
+BRIEF = 4 * TAKE
 CROWD = 32
 CHUNK = 256
 #: Shingles in a matrix product at a time.
@@ -51,31 +57,59 @@ def _shingles(text: str, words: int, pw: Powers) -> np.ndarray:
     return shingles(word_hashes(data, pw), words)
 
 
-def _sketches(texts: DataFrame, keys: list[str], hashes: int, take: int, words: int) -> DataFrame:
-    """``keys`` (long), n (shingles) and the sketches of each row's text."""
+def _longest(least: float) -> int:
+    """Shingles of the longest text that can reach ``least`` to one of ``BRIEF``."""
+    return int(BRIEF / least + 1e-9)
+
+
+def _sketches(texts: DataFrame, keys: list[str], hashes: int, take: int, words: int, least: float) -> DataFrame:
+    """``keys`` (long), n (shingles), the sketches and the brief of each row's text.
+
+    The brief is all shingles of a text of up to ``_longest`` ones.
+    """
+    longest = _longest(least)
+    none = np.empty(0, np.int64)
+
+    def lists(found: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+        flat = np.concatenate(found) if found else none
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
         for batch in batches:
-            found, counts = [], []
+            found, brief, counts = [], [], []
             for t in batch.column("text").to_pylist():
                 labelled = _shingles(t, words, pw)
                 counts.append(len(labelled))
-                found.append(sketch(labelled, hashes, take) if len(labelled) else np.empty(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.empty(0, np.int64)
+                found.append(sketch(labelled, hashes, take) if len(labelled) > BRIEF else none)
+                brief.append(labelled.view(np.int64) if len(labelled) <= longest else none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in keys] + [pa.array(counts, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                [*keys, "n", "sketches"])
+                [batch.column(k) for k in keys] + [pa.array(counts, pa.int64()), lists(found), lists(brief)],
+                [*keys, "n", "sketches", "brief"])
 
     kinds = ", ".join(f"{k} long" for k in keys)
-    return texts.select(*keys, "text").mapInArrow(run, f"{kinds}, n long, sketches array<long>")
+    return texts.select(*keys, "text").mapInArrow(run, f"{kinds}, n long, sketches array<long>, brief array<long>")
+
+
+def _prefixes(sketched: DataFrame, least: float) -> DataFrame:
+    """(s, node, n): the prefix shingles of each brief.
+
+    Two texts of ``least`` share at least ceil(least * n) shingles of each, so
+    they share one of the first n - ceil(least * n) + 1 in any common order.
+    Rare ones come first: a phrase of many texts brings few of them together.
+    """
+    rows = sketched.select(F.explode("brief").alias("s"), "node", "n")
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
+    ranked = rows.join(often, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
+    first = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int")
+    return (ranked.select("node", "n", F.explode(F.slice("x", F.lit(1), first)).alias("x"))
+            .where("x.f > 1").select(F.col("x.s").alias("s"), "node", "n"))
 
 
-def _buckets(sketched: DataFrame) -> DataFrame:
-    """(s, node, n, size, lead) of every sketch that several nodes share."""
-    rows = sketched.select(F.explode("sketches").alias("s"), "node", "n")
+def _buckets(sketched: DataFrame, least: float) -> DataFrame:
+    """(s, node, n, size, lead) of every sketch or prefix shingle that several nodes share."""
+    rows = sketched.select(F.explode("sketches").alias("s"), "node", "n").unionByName(_prefixes(sketched, least))
     shared = rows.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1")
     return rows.join(shared, "s")
 
@@ -171,10 +205,10 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     ship(docs.sparkSession)
     texts = docs.where(F.col(text).isNotNull()).select(*text_key(text), F.col(text).alias("text"))
-    once = _sketches(texts, ["t1", "t2"], HASHES, TAKE, words).groupBy("t1", "t2").agg(
-        F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    once = _sketches(texts, ["t1", "t2"], HASHES, TAKE, words, least).groupBy("t1", "t2").agg(
+        F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("brief").alias("brief"))
     sketched = staged(once.withColumn("node", F.monotonically_increasing_id()), "sketches")
-    shared = staged(_buckets(sketched), "buckets")
+    shared = staged(_buckets(sketched, least), "buckets")
     seen = shared.select("node").distinct().join(sketched.select("node", "t1", "t2"), "node")
     bodies = staged(texts.join(seen, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text")), "bodies")
     links = staged(_verify(_pairs(shared, least, crowd), bodies, least, words)
