@@ -105,6 +105,32 @@ def test_license_scan(frame):
     assert license_scan.scan(frame([], "path string, text string")).collect() == []
 
 
+def test_license_blocks_and_texts(frame):
+    from tillkit.llm.license_notices import TEXTS, notices
+
+    mit = next(t for n, t in notices() if n == "MIT" and "NONINFRINGEMENT" in t)
+    bsd2 = next(t for n, t in notices() if n == "BSD-2-Clause" and "DISCLAIMED" in t)
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was",
+           "not distributed with this file, You can obtain one at", "https://mozilla.org/MPL/2.0/."]
+    gpl2 = next(t for n, t in notices() if n == "GPL-2.0" and "MERCHANTABILITY" in t).split("\n")
+    files = {
+        "/a.py": ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nimport os\n"),
+        "/b.c": ("MIT", "// SPDX-License-Identifier: MIT\nint x;\n"),
+        "/c.js": ("MPL-2.0", "/* " + "\n * ".join(mpl) + " */\nlet x = 1;\n"),
+        "/d.c": ("GPL-2.0", "int y;\n/*\n" + "\n".join(gpl2) + "\n*/\nint z;"),
+        "/e.txt": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification,"),
+        "/f.sh": ("MIT", "#!/bin/sh\n\n# Copyright (c) 2020 A. Body\n#\n" + "".join(f"# {x}\n" for x in mit.split("\n"))),
+        "/g.txt": ("BSD-2-Clause", "Notes\n\n" + bsd2 + "\n\nmore words of another kind"),
+        "/h.c": (None, "// SPDX-License-Identifier: Zlib\n"), "/i.c": (None, "/* open comment\n// of the\n\n\n" * 50),
+        "/j.c": (None, "# the of and to\n" * 3000 + "the source code of this program is in the files"),
+    }
+    files |= {f"/{p.stem}/LICENSE": (p.stem, p.read_text()) for p in TEXTS.glob("*.txt")}
+    files |= {f"/{p.stem}/x.c": (p.stem, "int x;") for p in TEXTS.glob("*.txt")}
+    got = {r.path: r.license for r in license_scan.scan(
+        frame([(k, t) for k, (_, t) in files.items()], "path string, text string", {"h1": 1, "words": 2})).collect()}
+    assert got == {k: name for k, (name, _) in files.items()}
+
+
 def test_license_plan_has_no_python(spark):
     from tillkit.llm.queries import PLANS
 

@@ -6,7 +6,11 @@
    document frequencies over all such lines of all files. Products meet by a
    join on the word, and a line takes the template of the highest cosine, if
    it is ``LEAST`` or more.
-3. A file has the license of its best line. A licence file (``NAMES``) also
+3. Comment blocks, paragraphs and whole licence files, cue or not, meet the
+   headers, SPDX ids and full texts of ``license_notices`` in the same way,
+   with the document frequencies of those. Blocks with too many other words
+   for ``LEAST`` (by a bound that holds for all weights) leave before the join.
+4. A file has the license of its best line or block. A licence file (``NAMES``) also
    speaks for its directory: files without a notice inherit from the nearest
    ancestor directory that has one, by a join on path prefixes.
 
@@ -19,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillkit.llm.common import free_names
+from tillkit.llm.common import free_names, staged
+from tillkit.llm.license_notices import vectors
 
 #: Notices of common licences.
 TEMPLATES = [
@@ -37,6 +42,9 @@ CUE = "(?i)licen[cs]e|copyright|spdx|public domain"
 WORD = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 NAMES = "(?i)^(licen[cs]e|copying|notice|copyright)([.].*)?$"
 LEAST = 0.6
+#: Runs of lines with a comment mark, and comments between two marks.
+COMMENTS = r"(?m)(?:^[ \t]*(?:#|//|/?\*|--|;|%|dnl\b|(?i:rem)\b)[^\n]*(?:\n|\z))++"
+ENCLOSED = r'(?s)/\*.*?\*/|<!--.*?-->|""".*?"""'
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -74,6 +82,49 @@ def match_lines(lines: DataFrame, known: DataFrame, least: float = LEAST) -> Dat
     return best.select("line", F.col("b.license").alias("license"), (-F.col("b.m")).alias("score"))
 
 
+def blocks(path: Column, text: Column) -> Column:
+    """Header blocks, paragraphs and lines with a cue of a file, and a licence file as a whole."""
+    whole = F.when(F.element_at(F.split(path, "/"), -1).rlike(NAMES), F.array(text))
+    return F.array_distinct(F.concat(
+        F.split(text, r"\n\s*\n"), F.regexp_extract_all(text, F.lit(COMMENTS), F.lit(0)),
+        F.regexp_extract_all(text, F.lit(ENCLOSED), F.lit(0)),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)), F.coalesce(whole, F.array().cast("array<string>"))))
+
+
+def match_blocks(files: DataFrame, least: float = LEAST) -> DataFrame:
+    """(p, a, b, license, score) of the blocks of files (p, a, b, body) that match a notice."""
+    spark = files.sparkSession
+    idf, unit, other = vectors(WORD)
+    listed = ", ".join(f"'{w}'" for w, _ in idf)
+    # K of D words are in notices: |known|**2 <= K * (1 + ln(n / K))**2 * other**2 (the square is concave in n)
+    n, d, k = F.size("words"), F.size("set"), F.col("k")
+    room = F.lit((1 - least ** 2) / least ** 2 * (1 + 1e-9)) * k * F.pow(1 + F.log((n - d + k) / k), 2)
+    near = staged(
+        files.select("p", "a", "b", F.explode(blocks(F.col("p"), F.col("body"))).alias("block"))
+        .select("p", "a", "b", F.regexp_extract_all(F.lower("block"), F.lit(WORD), F.lit(0)).alias("words"))
+        .withColumn("set", F.array_distinct("words"))
+        .withColumn("k", F.expr(f"size(filter(set, x -> x in ({listed})))"))
+        .where((k > 0) & (d - k <= room))
+        .select("p", "a", "b", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words", F.lit(11)).alias("h2"),
+                "words"), "blocks")
+    terms = (near.groupBy("h1", "h2").agg(F.first("words").alias("words"))
+             .select("h1", "h2", F.explode("words").alias("word")).groupBy("h1", "h2", "word")
+             .agg(F.count(F.lit(1)).alias("n")))
+    known = F.broadcast(spark.createDataFrame(idf, "word string, idf double"))
+    theirs = F.broadcast(spark.createDataFrame(unit, "notice string, word string, t double"))
+    mine = terms.join(known, "word", "left").select(
+        "h1", "h2", "word", ((1 + F.log("n")) * F.coalesce("idf", F.lit(other))).alias("w"))
+    norm = mine.groupBy("h1", "h2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
+    product = mine.join(theirs, "word").groupBy("h1", "h2", "notice").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    best = (product.join(norm, ["h1", "h2"])
+            .select("h1", "h2", F.split("notice", " ")[0].alias("license"),
+                    F.round(F.col("dot") / F.col("wn"), 6).alias("score"))
+            .where(F.col("score") >= least).groupBy("h1", "h2")
+            .agg(F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("top")))
+    return near.select("p", "a", "b", "h1", "h2").join(best, ["h1", "h2"]).select(
+        "p", "a", "b", F.col("top.license").alias("license"), (-F.col("top.m")).alias("score"))
+
+
 def parent(path: Column) -> Column:
     """The directory of a path ('' at the root)."""
     return F.regexp_replace(path, "/[^/]*$", "")
@@ -95,7 +146,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
         F.col("path_key").alias("p"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.explode(lines).alias("line"))
     different = headers.groupBy("line").agg(F.count(F.lit(1)).alias("files"))
     matched = match_lines(different, templates(files.sparkSession), least)
-    own = headers.join(matched, "line").groupBy("p", "a", "b").agg(
+    whole = match_blocks(keyed.where(F.col(text).isNotNull()).select(
+        F.col("path_key").alias("p"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.col(text).alias("body")), least)
+    of_lines = headers.join(matched, "line").select("p", "a", "b", "license", "score")
+    own = of_lines.unionByName(whole).groupBy("p", "a", "b").agg(
         F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("best")).select(
         "p", "a", "b", F.col("best.license").alias("own_license"), (-F.col("best.m")).alias("own_score"))
     name = F.element_at(F.split("p", "/"), -1)
