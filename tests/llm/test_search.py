@@ -75,6 +75,18 @@ def test_forest_recall(spark):
     assert len(got & truth) >= 0.9 * len(truth)
 
 
+def test_forest_recall_of_middle_size(frame):
+    x = np.random.default_rng(8).normal(size=(8000, 64))
+    got = {(r.query_id, r.vec_id) for r in rp_forest.nearest(
+        frame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("id") % 80 == 0).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = np.arange(0, 8000, 80)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -2
+    truth = {(int(a), int(b)) for a, near in zip(q, np.argsort(-scores, axis=1)[:, :5]) for b in near}
+    assert len(got & truth) >= 0.94 * len(truth)
+
+
 def test_hot_leaf_is_dealt(frame, monkeypatch):
     monkeypatch.setattr(rp_forest, "BRANCH_ROWS", 8)
     data = [(i, [1.0, 2.0]) for i in range(40)] + [(40 + i, [float(i), 1.0]) for i in range(5)]

@@ -10,8 +10,9 @@ branches of about ``BRANCH_ROWS`` rows of a tree, which give the nearest rows
 of the leaves by exact cosine; the best of all are scored again on the
 original vectors.
 
-``SEARCH_SHARE`` is what recall 0.9 takes on vectors without any structure
-(uniform on a sphere of 64 dimensions); clustered vectors need far less.
+``budget`` is what recall 0.9 takes with a margin, at every size, on vectors
+without any structure (uniform on a sphere of 64 dimensions); clustered vectors
+need far less. It counts a row once for each tree that shows it.
 
 A leaf of more than ``BRANCH_ROWS`` rows (equal vectors) is dealt over several
 tasks. Vectors that are null, empty, zero or hold null or non-finite
@@ -36,8 +37,13 @@ TREES = 12
 SAMPLE = 16384
 LEAF = 48
 BRANCH_ROWS = 16384
-#: Share of all rows that a query's leaves hold together, and the least number.
-SEARCH_SHARE, SEARCH_LEAST = 0.5, 4000
+#: Rows of a query's leaves as a share of all, and what shallow trees of few rows take more, by the square root.
+SEARCH_SHARE, SEARCH_ROOT = 0.8, 25.0
+
+
+def budget(n: int) -> int:
+    """Rows that the leaves of a query hold together, in a table of ``n``."""
+    return int(np.ceil(SEARCH_SHARE * n + SEARCH_ROOT * np.sqrt(n)))
 
 
 class Forest:
@@ -107,13 +113,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
 
     ``is_query`` is a condition on the column ``id``; candidates are all other
     rows, ties go to the smaller id. ``search`` rows are looked at per query
-    (default: ``SEARCH_SHARE`` of all, at least ``SEARCH_LEAST``).
+    (default: ``budget``), a row as often as trees show it.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = staged(usable(vectors, vec_id, vector).where(F.exists("v", lambda e: e != 0)), "vectors")
     n = rows.count()
-    search = search or max(SEARCH_LEAST, int(SEARCH_SHARE * n))
+    search = search or budget(n)
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     sample = matrix(picked["v"])
     if not len(sample):
