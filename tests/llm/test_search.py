@@ -108,3 +108,14 @@ def test_best_breaks_ties_by_id():
     for i in range(30):
         want = sorted(range(20), key=lambda j: (-scores[i, j], ids[j]))[:4]
         assert col[row == i].tolist() == want
+
+
+def test_forest_ties_of_copies_go_to_the_least_ids(frame):
+    rng = np.random.default_rng(4)
+    x, kind = rng.normal(size=(30, 64)), rng.permutation(np.repeat(np.arange(30), 50))
+    rows = [(i, x[c].tolist()) for i, c in enumerate(kind)]
+    got = rp_forest.nearest(frame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: [int(i) for i in np.flatnonzero(kind == c) if i != q][:5] for q, c in enumerate(kind)}

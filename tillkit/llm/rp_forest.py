@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillkit.llm.common import ship, staged
-from tillkit.llm.vectors import best, dot, matrix, usable
+from tillkit.llm.vectors import dot, matrix, usable
 
 TREES = 12
 SAMPLE = 16384
@@ -39,6 +39,8 @@ LEAF = 48
 BRANCH_ROWS = 16384
 #: Rows of a query's leaves as a share of all, and what shallow trees of few rows take more, by the square root.
 SEARCH_SHARE, SEARCH_ROOT = 0.8, 25.0
+#: Matrix products of equal vectors differ by less; all so near to the k-th score stay until the exact one.
+NEAR = 1e-12
 
 
 def budget(n: int) -> int:
@@ -46,6 +48,15 @@ def budget(n: int) -> int:
     return int(np.ceil(SEARCH_SHARE * n + SEARCH_ROOT * np.sqrt(n)))
 
 
+def least_copies(body: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the ``most`` least ids of each different row."""
+    rows = np.ascontiguousarray(body + 0.0)  # -0.0 is 0.0
+    _, kind = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).reshape(-1), return_inverse=True)
+    order = np.lexsort((ids, kind))
+    nth = np.arange(len(order)) - np.searchsorted(kind[order], kind[order])
+    return np.sort(order[nth < most])
+
+
 class Forest:
     """Normals and thresholds of perfect binary trees, in heap order."""
 
@@ -183,9 +194,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
         asked, body = matrix(q["v"]), matrix(x["v"])
         width = max(body.shape[1], asked.shape[1])
         asked, body = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (asked, body))
+        own, ids, leaf = q["id"].to_numpy(), x["id"].to_numpy(), x["leaf"].to_numpy()
+        kept = least_copies(body, ids, k + 1)  # a query itself may be one of them
+        body, ids, leaf = body[kept], ids[kept], leaf[kept]
         asked /= np.linalg.norm(asked, axis=1, keepdims=True)
         body /= np.linalg.norm(body, axis=1, keepdims=True)
-        own, ids, leaf = q["id"].to_numpy(), x["id"].to_numpy(), x["leaf"].to_numpy()
         of_leaf: dict[int, list[int]] = {}
         for i, leaves in enumerate(q["leaves"]):
             for one in leaves:
@@ -197,7 +210,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
             member, some = np.flatnonzero(leaf == one), np.array(some)
             scores = asked[some] @ body[member].T
             scores[own[some][:, None] == ids[member][None, :]] = -np.inf
-            row, col = best(scores, ids[member], k)
+            nth = max(len(member) - k, 0)
+            edge = np.partition(scores, nth, axis=1)[:, nth]
+            row, col = np.nonzero((scores >= edge[:, None] - NEAR) & (scores > -np.inf))
             at.append(some[row])
             found.append(ids[member][col])
             score.append(scores[row, col])
@@ -206,7 +221,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
         out = pd.DataFrame({"query_id": own[np.concatenate(at)], "vec_id": np.concatenate(found),
                             "about": np.concatenate(score)})
         out = out.sort_values(["query_id", "about", "vec_id"], ascending=[True, False, True])
-        return out[out.groupby("query_id").cumcount() < 2 * k]
+        first = out[out.groupby("query_id").cumcount() < k].groupby("query_id")["about"].min()
+        return out[out["about"] >= out["query_id"].map(first) - NEAR]
 
     keys = ["tree", "branch", "share"]
     asked = rows.where(is_query).mapInArrow(
@@ -216,8 +232,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
              .applyInPandas(rerank, "query_id long, vec_id long, about double")
              .groupBy("query_id", "vec_id").agg(F.max("about").alias("about")))
     near = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    short = (found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * k)
-             .select("query_id", "vec_id"))
+    edge = F.min(F.when(F.col("r") <= k, F.col("about"))).over(Window.partitionBy("query_id"))
+    short = (found.withColumn("r", F.row_number().over(near)).withColumn("edge", edge)
+             .where(F.col("about") >= F.col("edge") - F.lit(NEAR)).select("query_id", "vec_id"))
     zero = F.lit(0.0)
     q = rows.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
     x = rows.select(F.col("id").alias("vec_id"), F.col("v").alias("xv"))
