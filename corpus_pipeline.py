@@ -42,10 +42,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids and their number, for every document of the mix."""
+    """doc_id, source, token ids, their number and a digest of the bytes they decode to, for every document of the mix."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks)
-    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks).drop("text"), ranks)
+    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("repeat_removal", repeat_removal),
