@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillkit.llm import (byte_bpe, language_mix, license_scan, mixing, near_dup, quality_knn, rp_forest,
-                         suffix_dedup, token_counts, topk_search)
+from tillkit.llm import (byte_bpe, language_mix, license_scan, merkle, mixing, near_dup, quality_knn, rp_forest,
+                         simhash, spelling, sql, suffix_dedup, token_counts, topk_search)
 from tillkit.llm.common import read
 
 COUNT_TOKENIZER = "byte_bpe_50k.json"
@@ -81,15 +81,41 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mix.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "langs", "shares")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document.
+
+    Of every third document (by CRC) someone holds a text in lower case.
+    """
+    docs = read(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    claimed = merkle.digest(*[text if f == "text" else F.col(f) for f in merkle.FIELDS])
+    return merkle.audit(docs, claimed).withColumnRenamed("key", "doc_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of the vocabulary of all texts."""
+    return spelling.variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    found = simhash.simhash_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search, op2_license_scan, op3_order_minhash, op4_token_counts, op5_source_mix, op6_quality_knn,
-        op7_suffix_dedup, op8_byte_bpe, op9_rp_forest, op10_language_mix)}
+        op7_suffix_dedup, op8_byte_bpe, op9_rp_forest, op10_language_mix, op11_merkle_manifest,
+        op12_spelling_variants, op13_simhash_dedup)}
 
 _TEMPLATES = ", ".join("('%s', '%s')" % t for t in license_scan.TEMPLATES)
 
 #: Mixtures, hashes, EM, suffix order and BPE are outside SQL: tests hold those against brute force.
 SQL: dict[str, str] = {
+    "op11_merkle_manifest": sql.merkle(),
+    "op12_spelling_variants": sql.spelling(),
     "op1_topk_search": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
