@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tillkit.functions import predicates as P
 from tillkit.operators.numbering import assign_ids
 from tillkit.sources import seeds
+from tillkit.sources.tables import materialize
 
 _MARK = "_chg"
 
@@ -275,6 +276,19 @@ def grant_by_predicate(permissions: DataFrame, menus: DataFrame, role_id, routes
     return insert_ignore(permissions, rows, [role_col, "menu_id"])
 
 
+def grant_to_roles(permissions: DataFrame, menus: DataFrame, roles: DataFrame, routes: Iterable[str],
+                   flags: Sequence[bool], role_col: str) -> DataFrame:
+    """M13 for many roles (one column): the menus of the routes, where a role has no row for them yet.
+
+    Menus are a fixed list: their ids are one array, exploded for each role.
+    """
+    ids = menus.filter(P.route_in(routes)).agg(F.collect_set("id").alias("ids")).scalar()
+    kinds = dict(permissions.dtypes)
+    rows = roles.select(F.col(roles.columns[0]).cast(kinds[role_col]).alias(role_col), F.explode(ids).alias("menu_id"))
+    return insert_ignore(permissions, rows.select(
+        "*", *[F.lit(v).alias(c) for c, v in zip(seeds.PERMISSION_FIELDS, flags)]), [role_col, "menu_id"])
+
+
 def update_where(table: DataFrame, predicate: Column,
                  assignments: Mapping[str, Column | object]) -> DataFrame:
     """``UPDATE t SET c = v WHERE predicate`` (NULL predicate = no change)."""
@@ -296,39 +310,63 @@ def add_column(table: DataFrame, name: str, default, data_type: str) -> DataFram
 
 # -------------------------------------------------------------------- M7 / J5
 
+#: Levels after which a tree is taken to be broken.
+DEEPEST = 64
+
+
+def category_paths(categories: DataFrame) -> DataFrame:
+    """``categories`` with ``path`` (names from the top down) and ``depth``.
+
+    Goes down a level at a time: the children of the last level are found by one
+    equi-join on ``parent_id``, within the same tenant and business type. What
+    hangs on no top (a circle, or a missing parent) is never reached and is not
+    in the result.
+    """
+    rows = materialize(categories)
+    tops = rows.filter(F.col("parent_id").isNull())
+    frontier = tops.withColumns({"path": F.array("name"), "depth": F.lit(0)})
+    found, kids = frontier, rows.filter(F.col("parent_id").isNotNull())
+    for depth in range(1, DEEPEST + 1):
+        above = frontier.select(F.col("id").alias("_pid"), F.col("path").alias("_pp"),
+                                F.col("tenant_id").alias("_pt"), F.col("business_type_id").alias("_pb"))
+        same = ((kids["parent_id"] == above["_pid"]) & kids["tenant_id"].eqNullSafe(above["_pt"])
+                & kids["business_type_id"].eqNullSafe(above["_pb"]))
+        frontier = materialize(kids.join(above, same).select(
+            *categories.columns, F.concat("_pp", F.array("name")).alias("path"), F.lit(depth).alias("depth")))
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
+    raise ValueError(f"categories of more than {DEEPEST} levels, or an id that occurs twice")
+
+
 def provision_categories(worklist: DataFrame, categories: DataFrame) -> DataFrame:
     """M7 (categories) with J5: copy business-type templates to each tenant.
 
-    ``worklist`` holds (tenant_id, business_type_id). Top-level templates are
-    copied first; children are re-linked to the copied parent of the same
-    name (self-join twice). Built as intended (N13): idempotent on
-    (tenant_id, name, parent), so a second run adds nothing.
+    ``worklist`` holds (tenant_id, business_type_id). A template of any depth is
+    copied below the tenant's category of its parent's path, an own one or one
+    copied now. Built as intended (N13): idempotent on (tenant_id, path), so a
+    second run adds nothing. Templates whose parents form a circle, are dead, or
+    are of another business type are not copied.
+
+    Levels are walked over the templates and over what tenants have; the copies
+    of all levels are made in one step, numbered level by level.
     """
-    tmpl = categories.filter(F.col("tenant_id").isNull() & P.is_live())
-    wl = worklist.select(F.col("tenant_id").alias("_wt"), F.col("business_type_id").alias("_wb"))
-
-    tops = tmpl.filter(F.col("parent_id").isNull())
-    new_tops = (tops.join(wl, tops["business_type_id"] == wl["_wb"])
-                .select("name", F.lit(None).cast("int").alias("parent_id"),
-                        F.col("_wt").alias("tenant_id"), "business_type_id",
-                        F.lit(True).alias("is_active")))
-    own_tops = categories.filter(F.col("parent_id").isNull())
-    new_tops = missing_only(new_tops, own_tops, ["tenant_id", "name"])
-    with_tops = _append_with_ids(categories, new_tops, ["tenant_id", "name"])
-
-    subs = tmpl.filter(F.col("parent_id").isNotNull())
-    tparent = tmpl.select(F.col("id").alias("_tp_id"), F.col("name").alias("_tp_name"))
-    nparent = with_tops.filter(F.col("tenant_id").isNotNull() & F.col("parent_id").isNull()).select(
-        F.col("id").alias("_np_id"), F.col("name").alias("_np_name"),
-        F.col("tenant_id").alias("_np_t"))
-    kids = (subs.join(wl, subs["business_type_id"] == wl["_wb"])
-            .join(tparent, F.col("parent_id") == F.col("_tp_id"))
-            .join(nparent, (F.col("_np_name") == F.col("_tp_name")) & (F.col("_np_t") == F.col("_wt")))
-            .select("name", F.col("_np_id").cast("int").alias("parent_id"),
-                    F.col("_wt").alias("tenant_id"), "business_type_id",
-                    F.lit(True).alias("is_active")))
-    kids = missing_only(kids, with_tops, ["tenant_id", "name", "parent_id"])
-    return _append_with_ids(with_tops, kids, ["tenant_id", "name", "parent_id"])
+    live = categories.filter(F.col("tenant_id").isNull() & P.is_live())
+    shelf = category_paths(live).groupBy("business_type_id", "path").agg(
+        F.first("depth").alias("depth"), F.first("name").alias("name"))
+    wl = worklist.select(F.col("tenant_id").alias("_wt"), F.col("business_type_id").alias("_wb")).distinct()
+    rows = shelf.join(wl, shelf["business_type_id"] == wl["_wb"]).select(
+        "name", F.col("_wt").alias("tenant_id"), "business_type_id", F.lit(True).alias("is_active"), "path", "depth")
+    own = category_paths(categories.filter(F.col("tenant_id").isNotNull())).groupBy("tenant_id", "path").agg(
+        F.min("id").alias("id"))
+    rows = missing_only(rows, own, ["tenant_id", "path"])
+    new = materialize(assign_ids(rows, ["depth", "tenant_id", "path", "business_type_id"],
+                                 start_after=categories.select("id")))
+    above = new.groupBy("tenant_id", "path").agg(F.min("id").alias("id")).unionByName(own).select(
+        F.col("tenant_id").alias("_at"), F.col("path").alias("_ap"), F.col("id").alias("_aid"))
+    up = F.slice("path", F.lit(1), F.col("depth"))
+    linked = new.join(above, (new["tenant_id"] == above["_at"]) & (up == above["_ap"]), "left")
+    return categories.unionByName(_align(linked.withColumn("parent_id", F.col("_aid")), categories))
 
 
 def _append_with_ids(table: DataFrame, rows: DataFrame, order: Sequence[str],

@@ -20,7 +20,7 @@ With no group columns it numbers the whole frame (surrogate keys, W2).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillkit.sources.tables import materialize
@@ -28,12 +28,13 @@ from tillkit.sources.tables import materialize
 BLOCK_ROWS = 5_000_000
 
 
-def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
+def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
                     out: str = "seq", num_blocks: int | None = None,
                     skew_safe: bool = True) -> DataFrame:
     """1-based ``row_number`` per group ordered by ``order_cols`` (ascending).
 
-    ``order_cols`` must be a total order within a group (end with a key).
+    ``order_cols`` must be a total order within a group (end with a key); a
+    Column says itself how it is sorted and where its NULLs go.
     ``skew_safe=False`` uses a plain window (one task per group).
     """
     if not skew_safe:
@@ -43,7 +44,7 @@ def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     if num_blocks is None:
         num_blocks = max(1, -(-df.count() // BLOCK_ROWS),
                          int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = [F.col(c).asc_nulls_first() for c in group_cols + order_cols]
+    keys = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in [*group_cols, *order_cols]]
     # sorted blocks: the low bits of the row id are the position in the block
     blocked = materialize(
         df.repartitionByRange(num_blocks, *keys).sortWithinPartitions(*keys)
@@ -67,6 +68,16 @@ def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                   .drop("_blk", "_row", "_off", "_o_blk", *[f"_o_{c}" for c in group_cols]))
 
 
+def with_position(df: DataFrame, *order: str | Column, within: tuple[str, ...] = (),
+                  out: str = "position") -> DataFrame:
+    """The 1-based place of each row in the given order (per ``within``).
+
+    What a sorted listing shows only by its sequence becomes a column, without
+    sorting everything in one task.
+    """
+    return sequence_within(df, list(within), list(order), out)
+
+
 def assign_ids(df: DataFrame, order_cols: list[str], start_after=None,
                out: str = "id", skew_safe: bool = True) -> DataFrame:
     """``SERIAL ... RETURNING id``: ids continue after ``start_after``.

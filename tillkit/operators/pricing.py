@@ -164,25 +164,29 @@ def price_invoice_lines(headers: DataFrame, lines: DataFrame, version="v3",
 
 
 def number_invoices(invoices: DataFrame, existing: DataFrame | None = None,
-                    skew_safe: bool = True) -> DataFrame:
+                    skew_safe: bool = True, seq: str | None = None) -> DataFrame:
     """``INV-<tenant>-<YYYYMMDD>-<seq4>`` per tenant and day.
 
-    ``seq`` = invoices that tenant already has that day (from ``existing``) +
+    ``seq`` = the greatest number that tenant already has that day (``existing``
+    must hold it under the same name; without one, the count of its rows) +
     position in the batch by (created_at, id). The reference counts at insert
-    time; doing the whole batch in one job has no count-then-insert race.
+    time; doing the whole batch in one job has no count-then-insert race, and a
+    stored batch that shrank leaves no number to be given twice.
     """
     df = invoices.withColumn("_day", F.to_date("created_at"))
-    seq = sequence_within(df, ["tenant_id", "_day"], ["created_at", "id"], "_seq",
-                          skew_safe=skew_safe)
+    out = sequence_within(df, ["tenant_id", "_day"], ["created_at", "id"], "_seq", skew_safe=skew_safe)
     if existing is not None:
+        last = F.max(seq) if seq in existing.columns else F.count(F.lit(1))
         prior = (existing.groupBy(F.col("tenant_id").alias("_pt"),
                                   F.to_date("created_at").alias("_pd"))
-                         .agg(F.count(F.lit(1)).alias("_prior")))
-        cond = seq["tenant_id"].eqNullSafe(prior["_pt"]) & (seq["_day"] == prior["_pd"])
-        seq = (seq.join(prior, cond, "left")
+                         .agg(last.alias("_prior")))
+        cond = out["tenant_id"].eqNullSafe(prior["_pt"]) & (out["_day"] == prior["_pd"])
+        out = (out.join(prior, cond, "left")
                   .withColumn("_seq", F.col("_seq") + F.coalesce(F.col("_prior"), F.lit(0)))
                   .drop("_pt", "_pd", "_prior"))
-    return (seq.withColumn("invoice_number",
+    if seq is not None:
+        out = out.withColumn(seq, F.col("_seq"))
+    return (out.withColumn("invoice_number",
                            invoice_number(F.col("tenant_id"), F.col("created_at"), F.col("_seq")))
                .drop("_day", "_seq"))
 

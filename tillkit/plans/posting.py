@@ -3,18 +3,17 @@
 The reference posts one invoice per transaction: price, number, insert, then
 one stock UPDATE per line. Here a whole batch of requests is posted at once:
 
-1. price every request (B1, nested form: no shuffle);
-2. give ids after the stored max (W2) and numbers per tenant and day that
-   continue the stored counts (B2);
-3. write the batch into its own ``batch_id=<n>`` partition with dynamic
-   partition overwrite, so re-running a batch replaces it instead of adding
-   duplicates; requests that the stored batch already holds keep their ids and
+1. price every request once (B1, nested form: no shuffle) and keep the result;
+2. give ids from a range reserved for the batch (W2, ``sources.ids``) and
+   numbers per tenant and day that continue the greatest stored one (B2);
+3. write the batch into its own ``batch_id=<n>`` folder, so re-running a batch
+   replaces it (by nothing, if it is empty) instead of adding duplicates; requests that the stored batch already holds keep their ids and
    numbers, and new ones come after everything stored;
-4. derive stock from *all* stored invoices (B3), so the product snapshot is a
-   pure function of the stored invoices and a rerun gives the same result.
+4. add what the batch sold to the stock ledger (B3, ``operators.ledger``), which
+   reads the batch and the last totals only.
 
-There is no multi-table transaction: invoices are written first, stock is
-recomputed from them.
+There is no multi-table transaction: invoices are written first, the ledger's
+part of the batch is a pure function of them, and a rerun replaces both.
 """
 
 from __future__ import annotations
@@ -24,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillkit.operators import pricing
+from tillkit.operators.ledger import StockLedger
 from tillkit.operators.numbering import assign_ids
+from tillkit.sources.ids import IdRegister
 from tillkit.sources.tables import materialize
 
 
@@ -39,37 +40,57 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def register_path(invoices_path: str) -> str:
+    return f"{invoices_path.rstrip('/')}-ids"
+
+
+def ledger_path(invoices_path: str) -> str:
+    return f"{invoices_path.rstrip('/')}-stock"
+
+
+def _with_ids(spark: SparkSession, fresh: DataFrame, invoices_path: str, batch_id: int) -> DataFrame:
+    """Ids of a range that only this set of requests holds, in (time, request) order."""
+    found = fresh.agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("a"), F.max("request_id").alias("b"),
+                      F.bit_xor(F.xxhash64("request_id")).alias("x")).first()
+    if not found.n:
+        return fresh.withColumn("id", F.lit(None).cast("long"))
+    owner = f"batch-{batch_id}-{found.n}-{found.a}-{found.b}-{found.x}"
+    first = IdRegister(spark, register_path(invoices_path)).reserve(owner, found.n)
+    return assign_ids(fresh, ["created_at", "request_id"], start_after=first - 1)
+
+
 def post_invoices(spark: SparkSession, requests: DataFrame, invoices_path: str, batch_id: int,
                   version: str = "v3") -> DataFrame:
-    """Price, number and store one batch; returns the stored rows of the batch."""
+    """Price, number and store one batch, and post its sales to the stock ledger.
+
+    Returns the stored rows of the batch; ``day_seq`` is the number within the
+    tenant's day, which the printed one cuts to four digits (N5).
+    """
     stored = _stored(spark, invoices_path)
-    priced = pricing.price_invoices(requests, version).withColumnRenamed("id", "request_id")
+    priced = materialize(pricing.price_invoices(requests, version).withColumnRenamed("id", "request_id"))
     if stored is None:
-        out = pricing.number_invoices(assign_ids(priced, ["created_at", "request_id"]))
+        out = pricing.number_invoices(_with_ids(spark, priced, invoices_path, batch_id), seq="day_seq")
     else:
         own = stored.filter(F.col("batch_id") == batch_id).select(
             F.col("request_id").alias("_req"), F.col("id").alias("_id"),
-            F.col("invoice_number").alias("_number"))
+            F.col("invoice_number").alias("_number"), F.col("day_seq").alias("_seq"))
         known = priced.join(own, priced["request_id"] == own["_req"], "left")
         again = known.filter(F.col("_req").isNotNull()).withColumns(
-            {"id": F.col("_id"), "invoice_number": F.col("_number")}).drop("_req", "_id", "_number")
-        fresh = assign_ids(known.filter(F.col("_req").isNull()).drop("_req", "_id", "_number"),
-                           ["created_at", "request_id"], start_after=stored.select("id"))
-        fresh = pricing.number_invoices(fresh, existing=stored)
+            {"id": F.col("_id"), "invoice_number": F.col("_number"), "day_seq": F.col("_seq")}
+        ).drop("_req", "_id", "_number", "_seq")
+        new = known.filter(F.col("_req").isNull()).drop("_req", "_id", "_number", "_seq")
+        fresh = pricing.number_invoices(_with_ids(spark, new, invoices_path, batch_id), existing=stored, seq="day_seq")
         # read back before the batch's own partition is replaced
         out = materialize(again.unionByName(fresh.select(*again.columns)))
-    out = out.withColumn("batch_id", F.lit(batch_id))
-    (out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(invoices_path))
-    return spark.read.parquet(invoices_path).filter(F.col("batch_id") == batch_id)
+    out.write.mode("overwrite").parquet(f"{invoices_path.rstrip('/')}/batch_id={batch_id}")
+    posted = spark.read.parquet(invoices_path).filter(F.col("batch_id") == batch_id)
+    lines = pricing.explode_items(posted, keep=("id", "tenant_id"))
+    StockLedger(spark, ledger_path(invoices_path)).post(batch_id, lines)
+    return posted
 
 
 def stock_snapshot(spark: SparkSession, products: DataFrame, invoices_path: str) -> DataFrame:
-    """B3 over every stored invoice: the product table after all sales."""
-    stored = _stored(spark, invoices_path)
-    if stored is None:
+    """B3 over every posted batch: the product table after all sales, from the ledger's totals."""
+    if _stored(spark, invoices_path) is None:
         return products
-    lines = pricing.explode_items(stored, keep=("id", "tenant_id"))
-    return pricing.deduct_stock(products, lines)
+    return StockLedger(spark, ledger_path(invoices_path)).stock(products)

@@ -353,6 +353,12 @@ def s8(spark, d):
                     F.col("stock_qty").between(10, 500).alias("stock_ok"))
 
 
+_CODES = f"FROM shops s, range(1, {generate.PRODUCTS_PER_TENANT + 1}) t(i)"
+SQL["S8_synthetic_products"] = f"""WITH {_SHOPS}
+SELECT s.id AS tenant_id, 'SKU-' || s.id || '-' || lpad(CAST(i AS VARCHAR), 4, '0') AS sku,
+       '8901234' || lpad(CAST(i AS VARCHAR), 6, '0') AS barcode, TRUE AS price_ok, TRUE AS stock_ok {_CODES}"""
+
+
 # ------------------------------------------------------------ storage, quality
 
 @plan("S4_append_and_read")

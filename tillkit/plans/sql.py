@@ -433,6 +433,12 @@ from tillkit.plans import requests as _requests  # noqa: E402
 SQL.update(_requests.SQL)
 SQL["R3_top_products_nested"] = SQL["R3_top_products"]
 
+from tillkit.plans import masters as _masters  # noqa: E402
+from tillkit.plans import stored as _stored  # noqa: E402
+
+SQL.update(_stored.SQL)
+SQL.update(_masters.SQL)
+
 from tillkit.plans.catalog import PLANS as _PLANS  # noqa: E402
 
 #: Names of all registered plans of the billing tables.

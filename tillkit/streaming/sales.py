@@ -1,6 +1,14 @@
-"""Structured Streaming forms of daily sales (T1) and invoice posting.
+"""Structured Streaming forms of daily sales (T1), invoice posting (T2) and numbering (B2).
 
-Both write with ``foreachBatch`` into a folder of per-batch parts:
+* ``append_daily_sales`` emits a (tenant, day) once, when the watermark has
+  passed it, and its state leaves; later invoices of that day are dropped.
+* ``number_stream`` keeps the last number of each (tenant, day) in the state
+  store, so numbers go on over micro-batches; the state of a day leaves when
+  the watermark has passed it.
+* ``arrive`` replays a finished table as it would have come in: a slice is
+  added to the file source, the stream takes what is there, and so on.
+
+The other two write with ``foreachBatch`` into a folder of per-batch parts:
 ``<sink>/batch_id=<n>/``. Each micro-batch overwrites only its own part, so
 a batch retried after a failure (or an executor loss) replaces its earlier
 attempt instead of adding duplicates: the sink is exactly-once on top of the
@@ -10,11 +18,16 @@ a cluster they must name shared storage.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tillkit.functions.money import MONEY_SUM
+from tillkit.functions.text import invoice_number
 from tillkit.operators import pricing
 
 DAY = "1 day"
@@ -150,3 +163,87 @@ def replay_invoice_posting(requests: DataFrame, root: str, version: str = "v3",
     start_invoice_posting(stream, f"{base}/sink", f"{base}/checkpoint", version).awaitTermination()
     posted = spark.read.parquet(f"{base}/sink").drop("batch_id")
     return posted.withColumn("tenant_id", F.col("tenant_id").cast("int"))
+
+
+# ------------------------------------------------- finished days, numbers
+
+def append_daily_sales(invoices: DataFrame, sink: str, checkpoint: str,
+                       watermark: str = "2 days") -> StreamingQuery:
+    """T1 in append mode: each (tenant, day) is written once, when it is over.
+
+    A day is over when the watermark (the latest invoice time of earlier
+    micro-batches, less the delay) is past its end. Its state then leaves the
+    store; an invoice that comes later still is dropped and counted in the
+    progress of the query (``numRowsDroppedByWatermark``). The Parquet sink
+    commits a micro-batch once.
+    """
+    return (daily_sales_updates(invoices, watermark).writeStream.outputMode("append").format("parquet")
+            .option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def _local_event_time(df: DataFrame) -> DataFrame:
+    """``_event_time``: the instant whose UTC wall clock is ``created_at``."""
+    tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    return df.withColumn("_event_time", F.from_utc_timestamp(F.col("created_at").cast("timestamp"), tz))
+
+
+def _numbered(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of a (tenant, day) in a micro-batch, numbered on from the state."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last = state.get[0] if state.exists else 0
+    rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
+    rows["seq"] = range(last + 1, last + 1 + len(rows))
+    state.update((last + len(rows),))
+    over = int((pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
+    if over > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(over)
+    yield rows[["id", "tenant_id", "created_at", "seq"]]
+
+
+def number_stream(invoices: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """B2 over a stream: id, tenant_id, created_at, invoice_number.
+
+    The state of a (tenant, day) is its last number; within a micro-batch rows
+    are numbered by (created_at, id), after those of earlier ones. A task holds
+    one tenant's day of one micro-batch, which the source's limits bound. State
+    leaves when the watermark is a day's end; an invoice that comes later than
+    that starts its day anew, so the delay must cover the lateness.
+    """
+    rows = _local_event_time(invoices.select("id", "tenant_id", "created_at")).withWatermark("_event_time", watermark)
+    keyed = rows.withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+    seq = keyed.groupBy("tenant_id", "day").applyInPandasWithState(
+        _numbered, "id long, tenant_id int, created_at timestamp_ntz, seq long", "last long", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    return seq.withColumn("invoice_number", invoice_number(F.col("tenant_id"), F.col("created_at"), F.col("seq"))
+                          ).drop("seq")
+
+
+def start_numbering(invoices: DataFrame, sink: str, checkpoint: str, watermark: str = "2 days") -> StreamingQuery:
+    """``number_stream`` into a Parquet sink that commits each micro-batch once."""
+    return (number_stream(invoices, watermark).writeStream.outputMode("append").format("parquet")
+            .option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def arrive(rows: DataFrame, by: str, root: str,
+           start: Callable[[DataFrame, str, str], StreamingQuery]) -> list[dict]:
+    """Let a finished table come in slice after slice; returns the progress of every micro-batch.
+
+    ``by`` numbers the slices. They are written once, by slice; then each is
+    added to the stream's file source and the stream, begun by ``start`` on
+    (stream, sink, checkpoint), takes all that is there. So slices arrive in
+    order, whatever the number of their files.
+    """
+    spark, base = rows.sparkSession, root.rstrip("/")
+    rows.write.partitionBy(by).parquet(f"{base}/slices")
+    stored = spark.read.parquet(f"{base}/slices")
+    plain = stored.drop(by)
+    progress = []
+    for (value,) in sorted(stored.select(by).distinct().collect()):
+        stored.filter(F.col(by) == value).drop(by).write.mode("append").parquet(f"{base}/source")
+        stream = spark.readStream.schema(plain.schema).parquet(f"{base}/source")
+        query = start(stream, f"{base}/sink", f"{base}/checkpoint")
+        query.awaitTermination()
+        progress += [p for p in query.recentProgress]
+    return progress
