@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from hashlib import blake2b
 
 import numpy as np
 
 from tillkit.llm.common import BASE, U64, Powers, mix, prefix_hash, span_hash
 
+#: Bytes from which a word has a cryptographic hash: polynomial ones collide on long words of a pattern.
+LONG = 128
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -21,7 +24,10 @@ def word_hashes(data: np.ndarray, pw: Powers) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     up, down = pw.upto(len(data) + 1)
     sums = prefix_hash(data.astype(U64) + U64(1), up)
-    return mix(span_hash(sums, down, start, end))
+    out = mix(span_hash(sums, down, start, end))
+    for i in np.flatnonzero(end - start >= LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -202,14 +203,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
-        source = spark.sparkContext.broadcast(f.read())
+        content = f.read()
+    source, name = spark.sparkContext.broadcast(content), sha256(content.encode()).hexdigest()
     names = free_names(docs, "n_bytes", "n_tokens", "over_limit")
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()),
                            T.StructField(names[1], T.LongType()), T.StructField(names[2], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _MADE.get("id") != source.value[:64] + str(len(source.value)):
-            _MADE["id"], _MADE["counter"] = source.value[:64] + str(len(source.value)), Counter(source.value)
+        if _MADE.get("id") != name:
+            _MADE["id"], _MADE["counter"] = name, Counter(source.value)
         counter = _MADE["counter"]
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]

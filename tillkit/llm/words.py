@@ -1,4 +1,8 @@
-"""Distinct words of a block of texts, split by the transducer of ``pretoken``."""
+"""Distinct words of a block of texts, split by the transducer of ``pretoken``.
+
+Words meet by a hash; each occurrence is then compared with the word that it
+stands for, so words of equal hash stay apart.
+"""
 
 from __future__ import annotations
 
@@ -36,4 +40,25 @@ def split_words(texts: list[str], pw: Powers) -> Words:
     hashes = mix(span_hash(sums, down, start, stop) + (stop - start).astype(U64))
     _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
     words = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
+    other = _unequal(points, start, stop, first[index])
+    if len(other):
+        index = index.copy()
+        place: dict[str, int] = {}
+        for i in other.tolist():
+            word = joined[start[i]:stop[i]]
+            if word not in place:
+                place[word] = len(words)
+                words.append(word)
+            index[i] = place[word]
     return Words(words, index, np.searchsorted(ends, start))
+
+
+def _unequal(points: np.ndarray, start: np.ndarray, stop: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Places of words that differ from the word at place ``like`` of the same list."""
+    size = stop - start
+    same = np.flatnonzero((size == size[like]) & (like != np.arange(len(like))))
+    n = size[same]
+    at = np.repeat(start[same] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    wrong = points[at] != points[at + np.repeat(start[like[same]] - start[same], n)]
+    return np.union1d(np.flatnonzero(size != size[like]), np.repeat(same, n)[wrong] if wrong.any() else [])
