@@ -15,7 +15,6 @@ no language is ``und`` with score 0 and no languages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ PENALTY = 3.0
 ROUNDS = 15
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ONLY_LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
@@ -133,7 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         for batch in batches:
             out = []
             for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                if not langs or t is None or not _LETTER.search(t):
+                if not langs or t is None or not any(map(str.isalpha, t)):
                     out.append((UNKNOWN, 0.0, [], []))
                     continue
                 found, pi = mixture(trigrams(t), by_bin, logs)
