@@ -96,7 +96,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Model from all documents' term counts and a bounded sample of labels.
 
     ``labels`` has one row per labelled document (null labels are skipped; of
-    several labels of one id the least counts).
+    several labels of one id the least counts, and of several texts the one of
+    least hash).
     """
     ship(docs.sparkSession)
     frequency, n = document_frequencies(docs, text)
@@ -105,7 +106,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         F.col(doc_id).alias("id")).agg(F.min(label).alias("label"))
     some = [one.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(sample) for v in (0, 1)]
     picked = some[0].unionByName(some[1])
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
+    rows = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
+            .groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+            .select("id", "label", "least.text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     got = (rows.select("text", F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"))
            .mapInArrow(run, "id long, label long, at array<int>, n array<long>")
-           .dropDuplicates(["id"]).toPandas().sort_values("id"))
+           .toPandas().sort_values("id"))
     if not len(got):
         return {"idf": idf, "basis": None, "prior": 0.5}
     x = np.zeros((len(got), TERMS))
