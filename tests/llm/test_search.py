@@ -43,8 +43,18 @@ def test_top_k_equals_brute_force(frame, monkeypatch, n, dims, blocks):
 
 
 def test_exact_beyond_double():
-    big = np.array([[2.0 ** 30 + 1, 1.0]])
-    assert topk_search._local(big, big)[0, 0] == float((2 ** 30 + 1) ** 2 + 1)
+    big = np.array([[2 ** 30 + 1, 1]])
+    assert int(topk_search._local(big, big)[0, 0]) == (2 ** 30 + 1) ** 2 + 1
+
+
+def test_scores_beyond_double_end_to_end(spark):
+    """Components around 2**27 after scaling: sums above 2**53, and a near tie that doubles cannot tell."""
+    a, b = float(2 ** 19 + 3), float(2 ** 18 + 1)
+    data = [(0, [a, b]), (1, [a, b]), (2, [a, b + 1 / 256]), (3, [a + 1 / 256, b]), (4, [-a, -b]), (5, [-a, b])]
+    got = topk_search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") == 0, k=5).collect()
+    whole = {i: [int(x * 256) for x in v] for i, v in data}
+    want = sorted(((-sum(x * y for x, y in zip(whole[0], v)), i) for i, v in whole.items() if i), )[:5]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
 
 
 def test_forest_on_small_tables(frame):

@@ -38,14 +38,21 @@ QUERIES = 2048
 SLICE = 256
 
 
+#: Stands for a pair that is no candidate.
+NONE = np.iinfo(np.int64).min
+
+
 def _local(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of two blocks."""
+    """Exact integer inner products of two blocks of whole numbers.
+
+    Sums must fit 64 bits. Below 2**53 doubles are exact and faster.
+    """
     width = max(queries.shape[1], rows.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, rows))
-    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * width
     if most < 2 ** 53:
-        return q @ x.T
-    return (q.astype(np.int64) @ x.astype(np.int64).T).astype(np.float64)
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    return q @ x.T
 
 
 def _phase(rows: DataFrame, queries: DataFrame, run) -> DataFrame:
@@ -55,15 +62,15 @@ def _phase(rows: DataFrame, queries: DataFrame, run) -> DataFrame:
     def task(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
-            ids, body = x["id"].to_numpy(), matrix(x["part"])
+            ids, body = x["id"].to_numpy(), matrix(x["part"], np.int64)
             for lo in range(0, len(q), SLICE):
                 some = q.iloc[lo:lo + SLICE]
-                scores = _local(matrix(some["part"]), body)
-                scores[some["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                scores = _local(matrix(some["part"], np.int64), body)
+                scores[some["id"].to_numpy()[:, None] == ids[None, :]] = NONE
                 row, col = run(scores, ids, some)
                 out.append(pd.DataFrame({
                     "query_id": some["id"].to_numpy()[row], "list": int(q["list"].iloc[0]),
-                    "vec_id": ids[col], "local": scores[row, col].astype(np.int64)}))
+                    "vec_id": ids[col], "local": scores[row, col]}))
         return pd.concat(out) if out else pd.DataFrame(
             {"query_id": [], "list": [], "vec_id": [], "local": []}).astype("int64")
 
@@ -108,29 +115,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                                .withColumn("rblock", every(rblocks)))
 
     # 1: local score lists, and the cutoff that they prove
-    given = _phase(listed, asked(queries), lambda scores, ids, _: best(scores, ids, k))
+    given = _phase(listed, asked(queries), lambda scores, ids, _: best(scores, ids, k, NONE))
     in_list = Window.partitionBy("query_id", "list").orderBy(F.desc("local"), "vec_id")
     seen = (given.withColumn("r", F.row_number().over(in_list)).where(F.col("r") <= k)
             .select("query_id", "vec_id").distinct())
     cutoffs = _totals(seen, rows).groupBy("query_id").agg(
         F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("cutoff"))
-    asking = staged(queries.join(cutoffs.withColumnRenamed("query_id", "id"), "id", "left"), "cutoffs")
+    # a candidate that reaches the cutoff has this much in one list at least (the quotient, rounded up)
+    need = F.expr(f"cutoff div {LISTS} + if(cutoff % {LISTS} > 0, 1, 0)")
+    asking = staged(queries.join(cutoffs.withColumnRenamed("query_id", "id"), "id", "left")
+                    .withColumn("need", F.coalesce(need, F.lit(int(NONE) + 1))), "cutoffs")
 
     # 2: entries that reach the uniform threshold
     def reach(scores: np.ndarray, ids: np.ndarray, some: pd.DataFrame):
-        cutoff = some["cutoff"].astype(float).fillna(-np.inf).to_numpy()
-        return np.nonzero((scores * LISTS >= cutoff[:, None]) & (scores > -np.inf))
+        return np.nonzero(scores >= some["need"].to_numpy()[:, None])
 
-    entries = _phase(listed, asked(asking, "cutoff"), reach)
+    entries = _phase(listed, asked(asking, "need"), reach)
     summed = entries.groupBy("query_id", "vec_id").agg(
         F.sum("local").alias("part"), F.count(F.lit(1)).alias("lists"))
-    bounded = staged(summed.join(asking.select(F.col("id").alias("query_id"), "cutoff"), "query_id"), "entries")
+    bounded = staged(summed.join(asking.select(F.col("id").alias("query_id"), "cutoff", "need"), "query_id"), "entries")
 
     # 3: drop what cannot reach the k-th known total, resolve the rest
     whole = Window.partitionBy("query_id").orderBy(F.desc("part"), "vec_id")
     known = (bounded.where(F.col("lists") == LISTS).withColumn("r", F.row_number().over(whole))
              .where(F.col("r") == k).select("query_id", F.col("part").alias("floor")))
-    most = F.col("part") + (LISTS - F.col("lists")) * F.ceil(F.col("cutoff") / F.lit(float(LISTS)))
+    most = F.col("part") + (LISTS - F.col("lists")) * F.col("need")
     left = (bounded.join(known, "query_id", "left")
             .where(F.col("floor").isNull() | F.col("cutoff").isNull() | (most >= F.col("floor"))))
     done = left.where(F.col("lists") == LISTS).select("query_id", "vec_id", F.col("part").alias("score"))

@@ -26,11 +26,11 @@ def block_of(column: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(blocks)).cast("int")
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, kind=np.float64) -> np.ndarray:
     """Rows of numbers as one matrix; shorter rows end in zeros."""
-    rows = [np.asarray(r, dtype=np.float64) for r in column]
+    rows = [np.asarray(r, dtype=kind) for r in column]
     width = max((len(r) for r in rows), default=0)
-    out = np.zeros((len(rows), width))
+    out = np.zeros((len(rows), width), dtype=kind)
     for i, r in enumerate(rows):
         out[i, :len(r)] = r
     return out
@@ -42,13 +42,13 @@ def dot(a: Column, b: Column, zero: Column) -> Column:
     return F.aggregate(parts, zero, lambda s, x: s + x)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indexes of each row's k highest scores (-inf: none), ties to smaller ids."""
+def best(scores: np.ndarray, ids: np.ndarray, k: int, none=-np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column indexes of each row's k highest scores (``none``: no candidate), ties to smaller ids."""
     k = min(k, scores.shape[1])
     if not k:
         return np.empty(0, int), np.empty(0, int)
     edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    row, col = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+    row, col = np.nonzero((scores >= edge[:, None]) & (scores > none))
     order = np.lexsort((ids[col], -scores[row, col], row))
     row, col = row[order], col[order]
     nth = np.arange(len(row)) - np.searchsorted(row, row)
