@@ -45,6 +45,8 @@ LEAST = 0.6
 #: Runs of lines with a comment mark, and comments between two marks.
 COMMENTS = r"(?m)(?:^[ \t]*(?:#|//|/?\*|--|;|%|dnl\b|(?i:rem)\b)[^\n]*(?:\n|\z))++"
 ENCLOSED = r'(?s)/\*.*?\*/|<!--.*?-->|""".*?"""'
+#: Marks that open and close a comment.
+PAIRS = (("/*", "*/"), ("<!--", "-->"))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -82,12 +84,33 @@ def match_lines(lines: DataFrame, known: DataFrame, least: float = LEAST) -> Dat
     return best.select("line", F.col("b.license").alias("license"), (-F.col("b.m")).alias("score"))
 
 
+def _closed(text: Column) -> Column:
+    """``text`` without the opening marks that nothing closes: those after the last closing mark.
+
+    So a match of ``ENCLOSED`` always ends, and the whole text is gone through once.
+    """
+    for opens, closes in PAIRS:
+        tail = F.substring_index(text, closes, -1)
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+        text = F.concat(head, F.replace(tail, F.lit(opens), F.lit(" " * len(opens))))
+    return text
+
+
+def _enclosed(text: Column) -> Column:
+    """Comments between two marks."""
+    marked = text.contains('"""')
+    for _, closes in PAIRS:
+        marked = marked | text.contains(closes)
+    return F.when(marked, F.regexp_extract_all(_closed(text), F.lit(ENCLOSED), F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def blocks(path: Column, text: Column) -> Column:
     """Header blocks, paragraphs and lines with a cue of a file, and a licence file as a whole."""
     whole = F.when(F.element_at(F.split(path, "/"), -1).rlike(NAMES), F.array(text))
     return F.array_distinct(F.concat(
         F.split(text, r"\n\s*\n"), F.regexp_extract_all(text, F.lit(COMMENTS), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(ENCLOSED), F.lit(0)),
+        _enclosed(text),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)), F.coalesce(whole, F.array().cast("array<string>"))))
 
 
