@@ -16,6 +16,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def any_of(*preds: Column) -> Column:
+    """OR of the given predicates; FALSE when there is none."""
+    return reduce(lambda a, b: a | b, preds, F.lit(False))
+
+
 def all_of(*preds: Column | None) -> Column:
     """AND of the given predicates, skipping ``None``; TRUE when none is left."""
     kept = [p for p in preds if p is not None]

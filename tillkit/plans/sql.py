@@ -438,6 +438,37 @@ from tillkit.plans import stored as _stored  # noqa: E402
 
 SQL.update(_stored.SQL)
 SQL.update(_masters.SQL)
+SQL["R1_summary_per_row"] = SQL["R1_sales_summary"]
+SQL["R2_daily_per_row"] = SQL["R2_daily_sales"]
+SQL["R3_top_products_per_row"] = f"SELECT * EXCLUDE (rank) FROM ({SQL['R3_top_products']})"
+SQL["R4_methods_per_row"] = SQL["R4_payment_methods"]
+
+
+def _calls() -> str:
+    from tillkit.sources import seeds
+
+    of_three = {
+        "list_products": "L2_list_products", "list_customers": "L3_list_customers", "list_invoices": "L4_list_invoices",
+        "list_tenant_roles": "L10_list_tenant_roles", "report_daily_sales": "R2_daily_sales",
+        "tenant_daily_sales": "R2_daily_sales", "report_daily_sales_v1": "R2a_daily_sales_v1",
+        "report_payment_methods": "R4_payment_methods", "tenant_payment_methods": "R4_payment_methods",
+        "report_payment_methods_v1": "R4a_payment_methods_v1", "report_top_products": "R3_top_products",
+        "tenant_top_products": "R3_top_products"}
+    rows = {n: f"({SQL[q]}) x WHERE tenant_id = 3" for n, q in of_three.items()}
+    rows |= {n: "(SELECT 1) x" for n in ("report_sales_summary", "tenant_sales_summary", "report_sales_summary_v1")}
+    rows |= {
+        "get_invoice": f"({with_ctes('headers')} SELECT * FROM headers) x WHERE request_id = 11 AND tenant_id = 3",
+        "get_menus": f"({SQL['J3_user_menus']}) x WHERE user_id = 11",
+        "list_menus_for_tenant_role": f"({SQL['J4_role_menu_configs']}) x WHERE tenant_role_id = 3",
+        "get_tenant_features": f"({with_ctes('tenant_features')} SELECT * FROM tenant_features) x WHERE tenant_id = 3",
+        "list_users": f"({with_ctes('users')} SELECT * FROM users) x WHERE tenant_id = 3",
+        "list_tenants": "nation", "list_business_types": f"range({len(seeds.BUSINESS_TYPES)})",
+        "list_uom": f"range({len(seeds.UOMS)})", "list_hsn": f"range({len(seeds.HSNS)})",
+        "list_categories": f"range({sum(len(x) for x in seeds.CATEGORY_TEMPLATES.values())})"}
+    return " UNION ALL ".join(f"SELECT '{n}' AS function, count(*) AS rows FROM {r}" for n, r in sorted(rows.items()))
+
+
+SQL["Function_calls"] = _calls()
 
 from tillkit.plans.catalog import PLANS as _PLANS  # noqa: E402
 

@@ -6,6 +6,11 @@ temporary SQL table functions, so a SQL user can write::
     SELECT * FROM report_daily_sales(3, DATE'1996-01-01', DATE'1996-12-31');
     SELECT * FROM report_top_products(p_tenant_id => 3);
 
+The ``tenant_*`` functions take a tenant alone and may be called for each row of
+a table; Spark turns such calls into joins (no nested loop)::
+
+    SELECT t.id, r.* FROM tenants t, LATERAL tenant_top_products(t.id) r;
+
 Reports are generated from the measures that the DataFrame reports use
 (``operators.reports``); listings return the columns of the published table,
 whatever they are. Functions are inlined into the calling query, so tests of
@@ -39,6 +44,8 @@ class Argument:
 
 
 TENANT = Argument("p_tenant_id", "INT", "tenant_id = p_tenant_id", optional=False)
+#: Masters: templates for no tenant, else the tenant's own.
+STRICT = Argument("p_tenant_id", "INT", "tenant_id <=> p_tenant_id", optional=False)
 #: The end date is inclusive up to the next midnight.
 SCOPE = (TENANT,
          Argument("p_start_date", "DATE", "created_at >= p_start_date"),
@@ -56,7 +63,8 @@ def _where(arguments, *more: str) -> str:
     return f" WHERE {' AND '.join(tests)}" if tests else ""
 
 
-def _invoice_report(name: str, measures, group=None, order: str = "", zero: bool = False) -> str:
+def _invoice_report(name: str, measures, group=None, order: str = "", zero: bool = False,
+                    arguments=SCOPE, more: tuple[str, ...] = ()) -> str:
     """A report over invoices: ``group`` is (name, type, expression) or None."""
     columns, returns = [], []
     if group:
@@ -67,9 +75,21 @@ def _invoice_report(name: str, measures, group=None, order: str = "", zero: bool
         value = f"CAST({sql} AS {kind.simpleString()})"
         columns.append(f"COALESCE({value}, 0) AS {m}" if zero else f"{value} AS {m}")
         returns.append(f"{m} {kind.simpleString()}")
-    body = f"SELECT {', '.join(columns)} FROM invoices{_where(SCOPE)}"
+    body = f"SELECT {', '.join(columns)} FROM invoices{_where(arguments, *more)}"
     body += f" GROUP BY {group[2]}" if group else ""
-    return _function(name, SCOPE, ", ".join(returns), body + (f" ORDER BY {order}" if order else ""))
+    return _function(name, arguments, ", ".join(returns), body + (f" ORDER BY {order}" if order else ""))
+
+
+def _tenant_top_products() -> str:
+    """As ``report_top_products``, with the tenant's test where a call per row can be turned into a join."""
+    qty, revenue = M.QTY_SUM.simpleString(), M.REVENUE_SUM.simpleString()
+    sold = (f"SELECT i.tenant_id, product_id, sum(quantity) AS q, sum({reports.NET_REVENUE}) AS r FROM invoice_lines "
+            "JOIN (SELECT id, tenant_id FROM invoices) i ON i.id = invoice_id GROUP BY i.tenant_id, product_id")
+    return _function(
+        "tenant_top_products", (TENANT,), f"product_name STRING, total_qty {qty}, total_revenue {revenue}",
+        f"SELECT name AS product_name, CAST(sum(q) AS {qty}) AS total_qty, CAST(sum(r) AS {revenue}) AS total_revenue "
+        f"FROM ({sold}) s JOIN products ON products.id = product_id WHERE s.tenant_id = p_tenant_id GROUP BY name "
+        f"ORDER BY total_revenue DESC NULLS FIRST, product_name LIMIT {reports.TOP_K}")
 
 
 def _top_products() -> str:
@@ -103,7 +123,18 @@ def definitions(frames: dict[str, DataFrame]) -> dict[str, str]:
             "report_payment_methods", count[::-1], ("payment_method", "STRING", "payment_method"),
             "total_revenue DESC NULLS FIRST"),
         "report_top_products": _top_products(),
+        "tenant_top_products": _tenant_top_products(),
     }
+    day, method = ("sale_date", "DATE", reports.SALE_DAY), ("payment_method", "STRING", "payment_method")
+    totals = (*count, "total_tax", "total_discount")
+    paid = ("payment_status = 'paid'",)
+    for name, measures, group, zero, more in (
+            ("tenant_sales_summary", totals, None, True, ()), ("tenant_daily_sales", count, day, False, ()),
+            ("tenant_payment_methods", count[::-1], method, False, ()),
+            # the earlier forms: paid invoices only, NULL sums when there are none
+            ("report_sales_summary_v1", totals, None, False, paid), ("report_daily_sales_v1", count, day, False, paid),
+            ("report_payment_methods_v1", count, method, False, paid)):
+        out[name] = _invoice_report(name, measures, group, zero=zero, arguments=(TENANT,), more=more)
     invoice = (Argument("p_invoice_id", "BIGINT", "id = p_invoice_id", optional=False), TENANT)
     listings = {
         "list_products": ("products", (TENANT,), True, "id"),
@@ -113,6 +144,15 @@ def definitions(frames: dict[str, DataFrame]) -> dict[str, str]:
         "list_tenants": ("tenants", (), False, "id"),
         "list_users": ("users", (TENANT,), False, "id"),
         "list_tenant_roles": ("tenant_roles", (TENANT,), True, "name"),
+        "list_business_types": ("business_types", (), True, "label"),
+        "list_uom": ("uoms", (STRICT,), True, "name"),
+        "list_hsn": ("hsns", (STRICT,), True, "hsn_code"),
+        "list_categories": ("categories", (STRICT,), True, "parent_id NULLS FIRST, name"),
+        "get_tenant_features": ("tenant_features", (TENANT,), False, ""),
+        "list_tables": ("restaurant_tables", (TENANT,), False, "id"),
+        "get_menus": ("user_menus", (Argument("p_user_id", "BIGINT", "user_id = p_user_id", optional=False),), False, ""),
+        "list_menus_for_tenant_role": (
+            "role_menus", (Argument("p_role_id", "BIGINT", "tenant_role_id = p_role_id", optional=False),), False, ""),
     }
     for name, (view, arguments, live, order) in listings.items():
         if view in frames:
@@ -124,7 +164,10 @@ def register(spark: SparkSession, invoices: DataFrame, lines: DataFrame, product
              customers: DataFrame, **more: DataFrame) -> list[str]:
     """Create views and the functions over them; returns the function names.
 
-    ``more`` may hold ``tenants``, ``users`` and ``tenant_roles``.
+    ``more`` may hold ``tenants``, ``users``, ``tenant_roles``, ``business_types``,
+    ``uoms``, ``hsns``, ``categories``, ``tenant_features``, ``restaurant_tables``,
+    ``user_menus`` (``access.user_menus``) and ``role_menus``
+    (``access.tenant_role_menu_configs``).
     """
     frames = {"invoices": invoices, "invoice_lines": lines, "products": products, "customers": customers, **more}
     for name, frame in frames.items():

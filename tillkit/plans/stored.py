@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillkit.functions.ordering import nulls_first, pg_asc, pg_desc
-from tillkit.operators import listing, maintenance, reports
+from tillkit.functions import predicates as P
+from tillkit.operators import access, listing, maintenance, reports
 from tillkit.operators.numbering import with_position
-from tillkit.plans import posting
+from tillkit.plans import posting, sql_functions
 from tillkit.plans.catalog import plan, priced
 from tillkit.plans.oracle import priced_ctes, with_ctes
 from tillkit.session import ensure_checkpoint_dir
 from tillkit.sources import binding as B
-from tillkit.sources import variants
+from tillkit.sources import seeds, variants
 from tillkit.sources.buckets import BucketTable
-from tillkit.sources.tables import read_table
+from tillkit.sources.tables import append_partitioned, read_table, write_bucketed
 from tillkit.streaming import sales
 
 SQL: dict[str, str] = {}
@@ -281,3 +282,105 @@ SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY sale_date DESC NULL
   SELECT tenant_id, CAST(created_at AS DATE) AS sale_date, CAST(SUM(grand_total) AS DECIMAL(38,2)) AS total_revenue,
          COUNT(id) AS total_invoices
   FROM priced GROUP BY ALL)"""
+
+
+# ------------------------------------------------------------ pruned look-ups
+
+KIND = "bakery"
+
+
+@plan("F1_products_of_live_bakeries")
+def f1_pruned(spark, d):
+    """F1 on products stored by tenant folder: only folders of the tenants that the small side leaves are read."""
+    path = f"{run_folder(spark, 'f1')}/products"
+    append_partitioned(B.products(spark, d), path)
+    some = B.tenants(spark, d).filter(P.is_live() & (F.col("business_type") == KIND)).select(F.col("id").alias("tenant_id"))
+    return spark.read.parquet(path).join(F.broadcast(some), "tenant_id").select("id", "tenant_id", "name")
+
+
+SQL["F1_products_of_live_bakeries"] = with_ctes("products", "tenants") + f"""
+SELECT p.id, p.tenant_id, p.name FROM products p JOIN tenants t ON t.id = p.tenant_id
+WHERE t.is_active AND t.business_type = '{KIND}'"""
+
+#: Invoices that are looked up; each by its own tenant, the last by another's.
+ASKED = [(11, None), (512, None), (1203, None), (1400, 99)]
+
+
+@plan("F11_stored_look_up")
+def f11_pruned(spark, d):
+    """F11 on invoices stored in buckets by id: only the buckets of the ids asked for are read."""
+    folder = run_folder(spark, "f11")
+    name = folder.rsplit("/", 1)[-1].replace("-", "_")
+    inv = B.invoice_headers(spark, d).withColumnRenamed("request_id", "id").select(
+        "id", "tenant_id", "customer_id", "invoice_status", "created_at")
+    write_bucketed(inv, name, "id", 32, f"{folder}/invoices")
+    asked = [F.col("id") == i if t is None else (F.col("id") == i) & (F.col("tenant_id") == t) for i, t in ASKED]
+    return spark.table(name).filter(F.col("id").isin([i for i, _ in ASKED]) & P.any_of(*asked))
+
+
+SQL["F11_stored_look_up"] = with_ctes("headers") + f"""
+SELECT request_id AS id, tenant_id, customer_id, invoice_status, created_at FROM headers
+WHERE request_id IN ({', '.join(str(i) for i, t in ASKED if t is None)})
+   OR (request_id = {ASKED[-1][0]} AND tenant_id = {ASKED[-1][1]})"""
+
+
+# ------------------------------------------------------------ table functions
+
+def publish(spark, d) -> list[str]:
+    """All tables of the binding as views, with every table function over them."""
+    users, menus = B.users(spark, d), seeds.menus(spark)
+    roles, grants = B.tenant_roles(spark, d), B.tenant_role_permissions(spark, d)
+    return sql_functions.register(
+        spark, priced(spark, d), B.invoice_lines(spark, d), B.products(spark, d), B.customers(spark, d),
+        tenants=B.tenants(spark, d), users=users, tenant_roles=roles, business_types=seeds.business_types(spark),
+        uoms=seeds.uom_templates(spark), hsns=seeds.hsn_templates(spark), categories=seeds.category_templates(spark),
+        tenant_features=B.tenant_features(spark, d),
+        user_menus=access.user_menus(users, menus, seeds.role_grants(spark), grants),
+        role_menus=access.tenant_role_menu_configs(menus, roles, grants))
+
+
+def _for_each(spark, d, function: str) -> DataFrame:
+    publish(spark, d)
+    return spark.sql(f"SELECT t.id AS tenant_id, r.* FROM tenants t, LATERAL {function}(t.id) r")
+
+
+@plan("R1_summary_per_row")
+def r1_lateral(spark, d):
+    """2.11: the summary function called for every tenant of a table."""
+    return _for_each(spark, d, "tenant_sales_summary")
+
+
+@plan("R2_daily_per_row")
+def r2_lateral(spark, d):
+    return _for_each(spark, d, "tenant_daily_sales")
+
+
+@plan("R3_top_products_per_row")
+def r3_lateral(spark, d):
+    return _for_each(spark, d, "tenant_top_products")
+
+
+@plan("R4_methods_per_row")
+def r4_lateral(spark, d):
+    return _for_each(spark, d, "tenant_payment_methods")
+
+
+@plan("L2_products_per_row")
+def l2_lateral(spark, d):
+    """RETURNS SETOF: all columns of the product table, for every tenant of a table."""
+    publish(spark, d)
+    return spark.sql("SELECT r.* FROM tenants t, LATERAL list_products(t.id) r WHERE t.is_active")
+
+
+SQL["L2_products_per_row"] = with_ctes("products", "tenants") + """
+SELECT p.* FROM products p JOIN tenants t ON t.id = p.tenant_id WHERE t.is_active AND p.is_active"""
+
+
+@plan("Function_calls")
+def calls(spark, d):
+    """One call of each one-tenant function: how many rows it returns."""
+    made = publish(spark, d)
+    arguments = {"get_invoice": "11, 3", "get_menus": "11", "list_menus_for_tenant_role": "3", "list_tenants": "",
+                 "list_business_types": "", **{n: "CAST(NULL AS INT)" for n in ("list_uom", "list_hsn", "list_categories")}}
+    parts = [f"SELECT '{n}' AS function, count(*) AS rows FROM {n}({arguments.get(n, '3')})" for n in sorted(made)]
+    return spark.sql(" UNION ALL ".join(parts))
