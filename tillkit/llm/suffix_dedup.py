@@ -19,7 +19,8 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere
 Everything is keyed by anchor or by the hash of a text, so no task holds more
 than one anchor's segments (at most ``most``) or one text. Equal segments are
 collapsed in each block before they are shuffled (``anchor_rows``), so a hot
-anchor is a few rows per block; Spark's window over an anchor's rows spills.
+anchor is a few rows per block. Texts are cut once: the anchors, and the bytes
+that are fetched for them, are written to the shared folder.
 
 Null and empty texts have nothing to remove. Rows that repeat a text are
 copies: all of them lose what the text repeats.
@@ -33,26 +34,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillkit.llm.anchors import owned_runs
 from tillkit.llm.common import (U64, Powers, blocks, flat_utf8, free_names, mix, prefix_hash, release,
-                                ship, text_key)
+                                ship, staged, text_key)
 from tillkit.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
 #: Bytes of text handled at a time in a task.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Differing segments of one anchor that one suffix array takes.
 MOST = 8192
 #: Symbols after which a suffix array is closed and a new one begun.
 ARRAY = 1 << 15
 
-ANCHORS = "h long, seg long, t1 long, t2 long, place long, many boolean"
-SPANS = "t1 long, t2 long, span long"
+ANCHORS = "h long, seg long, t1 long, t2 long, place long, many boolean, near boolean"
 
 
 def _pack(first, width, lead):
@@ -64,17 +64,18 @@ def _unpack(place):
     return place >> 30, (place >> 15) & 32767, place & 32767
 
 
-def anchor_rows(texts: DataFrame, length: int, near: bool) -> DataFrame:
-    """Anchors of each text (columns t1, t2, text), block by block.
+def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+    """Anchors of each text (columns t1, t2, text), block by block, in one pass.
 
     A segment that occurs twice in one block is repeated, whatever other blocks
-    hold. With ``near`` the spans of those are returned; without, one row per
+    hold: each of its places is a row with ``near``. The other rows are one per
     different segment of a block, ``many`` if it stands for several. So a line
     that every text repeats is one row per block where rows meet by anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
+        names = [c.split()[0] for c in ANCHORS.split(", ")]
         for batch in batches:
             text = batch.column("text").to_pylist()
             t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t1", "t2"))
@@ -87,20 +88,18 @@ def anchor_rows(texts: DataFrame, length: int, near: bool) -> DataFrame:
                 h, seg = got["h"][order], got["seg"][order]
                 first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])))
                 count = np.diff(np.append(first, len(order)))
-                take = order[np.repeat(count > 1, count)] if near else order[first]
-                start, width, doc = got["first"][take], (got["last"] - got["first"])[take], got["doc"][take]
-                cols = [t1[part][doc], t2[part][doc]]
-                if near:
-                    cols += [(start << 24) | (width + length)]
-                else:
-                    cols = [h[first], seg[first], *cols, _pack(start, width, got["lead"][take]), count > 1]
-                names = [c.split()[0] for c in (SPANS if near else ANCHORS).split(", ")]
-                for i in range(0, len(take), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65536]) for c in cols], names)
+                for near, take, many in ((False, first, count > 1), (True, np.flatnonzero(np.repeat(count > 1, count)), None)):
+                    own = order[take]
+                    place = _pack(got["first"][own], (got["last"] - got["first"])[own], got["lead"][own])
+                    doc = got["doc"][own]
+                    flags = [np.ones(len(own), bool) if many is None else many, np.full(len(own), near)]
+                    cols = [h[take], seg[take], t1[part][doc], t2[part][doc], place, *flags]
+                    for i in range(0, len(own), 65536):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65536]) for c in cols], names)
         del pw
         release()
 
-    return texts.mapInArrow(run, SPANS if near else ANCHORS)
+    return texts.mapInArrow(run, ANCHORS)
 
 
 # --- the strings of one anchor's segments ---------------------------------
@@ -292,24 +291,25 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH,
     ship(docs.sparkSession)
     texts = docs.select("*", *text_key(text))
     long_enough = texts.where(F.octet_length(text) >= length)
-    bodies = long_enough.select("t1", "t2", F.col(text).alias("text"))
-    by_h, by_seg = Window.partitionBy("h"), Window.partitionBy("h", "seg")
-    times = F.when(F.col("many"), 2).otherwise(1)
-    ranked = (anchor_rows(bodies, length, near=False).repartition("h")
-              .withColumn("c", F.sum(times).over(by_seg))
-              .withColumn("r", F.row_number().over(by_seg.orderBy("t1", "t2", "place")))
-              .withColumn("n", F.sum(times).over(by_h))
-              .withColumn("d", F.sum(F.when(F.col("r") == 1, 1).otherwise(0)).over(by_h))
-              .where("n > 1"))
+    rows = staged(anchor_rows(long_enough.select("t1", "t2", F.col(text).alias("text")), length), "anchors")
     start = F.shiftright("place", 30)
     width = F.shiftright("place", 15).bitwiseAND(F.lit(32767))
-    whole = ranked.where("c > 1").select(
-        "t1", "t2", (F.shiftleft(start, 24) + width + F.lit(length)).alias("span")).unionByName(
-        anchor_rows(bodies, length, near=True))
-    wanted = ranked.where("d > 1 and r = 1").select(
-        "h", "t1", "t2", "place", (F.col("c") == 1).alias("open"), "d")
+    span = (F.shiftleft(start, 24) + width + F.lit(length)).alias("span")
+
+    # rows of anchors that occur twice; all counts are partial sums, so a hot anchor is not one task's rows
+    times = F.when(F.col("many"), 2).otherwise(1)
+    anchors = rows.where(~F.col("near")).drop("near")
+    often = anchors.groupBy("h").agg(F.sum(times).alias("n")).where("n > 1").select("h")
+    shared = staged(anchors.join(often, "h"), "shared")
+    segments = staged(shared.groupBy("h", "seg").agg(
+        F.sum(times).alias("c"), F.min(F.struct("t1", "t2", "place")).alias("at")), "segments")
+    whole = (shared.join(segments.where("c > 1").select("h", "seg"), ["h", "seg"]).select("t1", "t2", span)
+             .unionByName(rows.where("near").select("t1", "t2", span)))
+    differing = segments.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    wanted = segments.join(differing, "h").select(
+        "h", "at.t1", "at.t2", "at.place", (F.col("c") == 1).alias("open"), "d")
     sources = texts.withColumnRenamed(text, "text") if text != "text" else texts
-    bodies = _bodies(sources, wanted, length)
+    bodies = staged(_bodies(sources.select("t1", "t2", "text"), wanted, length), "bodies")
     spans = (whole.unionByName(_sorted_spans(bodies.where(F.col("d") <= most), length))
              .unionByName(_hashed_spans(bodies.where(F.col("d") > most), length)))
     return texts, spans.groupBy("t1", "t2").agg(F.collect_list("span").alias("spans"))
