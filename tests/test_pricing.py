@@ -189,3 +189,33 @@ def test_items_as_json_text(spark):
     assert (r.subtotal, r.discount_total, r.tax_total, r.grand_total) == (
         D("100.00"), D("10.00"), D("4.50"), D("94.50"))
     assert [x.product_id for x in pricing.explode_items(df).collect()] == [1]
+
+
+# ------------------------------------------------------------ item scale
+
+def test_five_places_are_not_rounded(spark):
+    """1000 x 1.00005 is 1000.05: more places than an item holds fail, none are cut."""
+    base = "select 1L request_id, 1 tenant_id, 1L customer_id, 1L user_id, 'cash' payment_method, 0.00BD paid_amount, " \
+           "'Paid' invoice_status, null notes, '{}' metadata, null table_id, null kot_id, timestamp_ntz'2024-01-01' created_at"
+    req = spark.sql(base)
+    text = '[{"product_id":1,"quantity":%s,"unit_price":%s,"discount":%s,"tax_percent":%s}]'
+    for values, ok in ((("1000", "1.0001", "0", "0"), True), (("1000", "1.00005", "0", "0"), False),
+                       (("1.00001", "1", "0", "0"), False), (("1", "1", "0.12345", "0"), False),
+                       (("1", "1", "0", "12.34567"), False), (("1", "1.00000", "0", "5.00"), True),
+                       (("99999999999", "1", "0", "0"), False)):
+        priced = pricing.price_invoices(req.withColumn("items", F.lit(text % values)))
+        if ok:
+            assert priced.first().subtotal == (D(values[0]) * D(values[1])).quantize(D("0.01"))
+        else:
+            with pytest.raises(Exception, match="does not fit"):
+                priced.collect()
+
+
+def test_wide_lines_must_fit(spark):
+    lines = spark.createDataFrame([(1, 1, D("1000"), D("1.00005"), None, None, D("0"))],
+                                  "invoice_id long, product_id long, quantity decimal(20,6), unit_price decimal(20,6), "
+                                  "discount decimal(20,6), discount_type string, tax_percent decimal(20,6)")
+    with pytest.raises(Exception, match="does not fit"):
+        pricing.line_totals(lines).collect()
+    fits = lines.withColumn("unit_price", F.lit("1.0005").cast("decimal(20,6)"))
+    assert pricing.line_totals(fits).first()._sub == D("1000.5")

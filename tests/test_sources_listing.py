@@ -3,6 +3,7 @@ import json
 import os
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillkit.functions import predicates as P
@@ -16,12 +17,14 @@ from tillkit.sources.tables import append_partitioned, as_json_rows
 def test_items_json_round_trip_and_explode(spark):
     text = json.dumps([{"product_id": 5, "quantity": 2.5, "unit_price": 10.1, "discount": 0.0,
                         "discount_type": "percent", "tax_percent": 18.0},
-                       {"product_id": 6, "quantity": 1.23456, "unit_price": 3}])
+                       {"product_id": 6, "quantity": 1.2346, "unit_price": 3}])
     df = spark.createDataFrame([(1, 7, text)], "request_id long, tenant_id int, items_text string")
     parsed = df.withColumn("items", parse_items(F.col("items_text")))
     it = parsed.first().items
     assert it[0].quantity == D("2.500") and it[0].unit_price == D("10.10")
-    assert it[1].quantity == D("1.2346")         # items keep 4 places; more are reported by quality.item_scale_violations
+    assert it[1].quantity == D("1.2346")         # items keep 4 places; more fail the query, none are cut
+    with pytest.raises(Exception, match="does not fit"):
+        df.select(parse_items(F.lit(text.replace("1.2346", "1.23456")))).collect()
     assert it[1].discount_type is None
     rows = pricing.explode_items(parsed).collect()
     assert [(r.request_id, r.product_id) for r in rows] == [(1, 5), (1, 6)]

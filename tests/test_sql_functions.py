@@ -43,3 +43,16 @@ def test_listings_and_pushdown(spark, views):
     inv_id = spark.sql("SELECT id, tenant_id FROM invoices LIMIT 1").first()
     assert spark.sql(f"SELECT * FROM get_invoice({inv_id.id}, {inv_id.tenant_id})").count() == 1
     assert spark.sql(f"SELECT * FROM get_invoice({inv_id.id}, 99)").count() == 0
+
+
+def test_calls_per_row_equal_the_reports(spark, views):
+    inv, lines, prods, _ = views
+    B.tenants(spark, SF).createOrReplaceTempView("tenants")
+    each = lambda f: spark.sql(f"SELECT t.id AS tenant_id, r.* FROM tenants t, LATERAL {f}(t.id) r")
+    assert rows(each("tenant_daily_sales")) == rows(reports.daily_sales(inv))
+    assert rows(each("tenant_sales_summary")) == rows(reports.sales_summary(inv, tenants=B.tenants(spark, SF)))
+    top = reports.top_products(inv, lines, prods).drop("rank")
+    assert rows(each("tenant_top_products")) == rows(top.select(each("tenant_top_products").columns))
+    v1 = spark.sql("SELECT * FROM report_sales_summary_v1(3)").first()
+    want = reports.sales_summary_v1(inv, tenant_id=3).first()
+    assert all(v1[c] == want[c] for c in want.asDict())

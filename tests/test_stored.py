@@ -261,3 +261,41 @@ def test_positions_show_where_nulls_go(spark):
                       (F.col("v").desc_nulls_first(), [1, 4, 2, 5, 3])):
         got = with_position(df, key, F.col("id").asc())
         assert [r.id for r in sorted(got.collect(), key=lambda r: r.position)] == want
+
+
+# ------------------------------------------------------------ pruned look-ups, functions per row
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_look_ups_read_what_is_asked_for(spark):
+    from tillkit.plans.catalog import PLANS
+
+    assert "dynamicpruning" in plan_text(PLANS["F1_products_of_live_bakeries"](spark, SF))
+    auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"  # off: the plan text shows the buckets that are read
+    spark.conf.set(auto, "false")
+    try:
+        buckets = plan_text(PLANS["F11_stored_look_up"](spark, SF)).split("SelectedBucketsCount: ")[1]
+    finally:
+        spark.conf.unset(auto)
+    assert int(buckets.split(" out of ")[0]) <= 4 and buckets.split(" out of ")[1].startswith("32")
+
+
+def test_functions_per_row_are_joins(spark):
+    from tillkit.plans.catalog import PLANS
+
+    for name in ("R1_summary_per_row", "R2_daily_per_row", "R3_top_products_per_row", "R4_methods_per_row"):
+        text = plan_text(PLANS[name](spark, SF))
+        assert "NestedLoop" not in text and "Cartesian" not in text and "Join" in text
+
+
+def test_full_product_table(spark):
+    from tillkit.sources import products
+
+    short = spark.createDataFrame([(1, 2, "a", D("3.00"))], "id long, tenant_id int, name string, price decimal(12,2)")
+    row = products.full(short).first()
+    assert len(row) == 29 and row.variants == "{}" and row.discount_type == "percent" and row.tax_percent == 0 and row.is_active
+    new = spark.createDataFrame([(2, "b", D("1.00"))], "tenant_id int, name string, price decimal(12,2)")
+    made = products.create(products.full(short), new, ["name"], "2024-01-01 00:00:00").filter("id = 2").first()
+    assert made.variants == "{}" and made.discount_type is None and made.tax_percent is None and made.is_active

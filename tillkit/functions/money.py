@@ -24,8 +24,9 @@ stored totals   decimal(12,2)      rounded HALF_UP on store (N1)
 ==============  =================  ==========================================
 
 Inputs are rounded by no step before the store. A line total has room for 16
-digits before the point, an invoice for 18. JSON numbers of more than 4 places
-are reported by ``quality.item_scale_violations``.
+digits before the point, an invoice for 18. An item whose numbers have more places
+fails the query (``exact``); ``quality.item_scale_violations`` reports those of
+JSON items beforehand.
 
 The three versions of the pricing procedure are selected by ``PricingVersion``.
 """
@@ -88,6 +89,13 @@ V3 = PricingVersion("v3", True, "fixed", True, True, True)
 VERSIONS = {"v1": V1, "v2": V2, "v3": V3}
 
 
+def exact(c: Column, kind: T.DecimalType) -> Column:
+    """``c`` as ``kind``, failing the query if that would change the value."""
+    as_kind = c.try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit("a number does not fit " + kind.simpleString() + ": "), c.cast("string")))
+    return F.when(c.isNull() | (as_kind == c), as_kind).otherwise(wrong.cast(kind))
+
+
 def line_total(unit_price: Column, quantity: Column) -> Column:
     """unit_price * quantity, exact (NULL when either is NULL, N3)."""
     return (unit_price.cast(ITEM_PRICE) * quantity.cast(ITEM_QTY)).cast(LINE)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tillkit.functions import money as M
 from tillkit.functions.text import invoice_number
 from tillkit.operators.numbering import sequence_within
-from tillkit.sources.schemas import ITEM, parse_items
+from tillkit.sources.schemas import ITEM, exact_items, parse_items
 
 BALANCE = M.WORK
 
@@ -97,10 +97,12 @@ def _finalize(df: DataFrame, version: M.PricingVersion, key: str, as_of=None) ->
 
 def _items(requests: DataFrame) -> F.Column:
     """The ``items`` column as ``array<struct>``; JSON text (the reference's
-    JSONB) is decoded into the item schema (S2)."""
-    if isinstance(requests.schema["items"].dataType, T.StringType):
+    JSONB) is decoded into the item schema (S2), other decimal types must fit it."""
+    kind = requests.schema["items"].dataType
+    if isinstance(kind, T.StringType):
         return parse_items(F.col("items"))
-    return F.col("items")
+    same = {f.name: f.dataType for f in kind.elementType.fields} == {f.name: f.dataType for f in ITEM.fields}
+    return F.col("items") if same else exact_items(F.col("items"))
 
 
 def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
@@ -129,8 +131,11 @@ def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
 def line_totals(lines: DataFrame, version="v3", key: str = "invoice_id") -> DataFrame:
     """Per-invoice folded sums of normalised lines (partial aggregation)."""
     v = _version(version)
-    lt, disc, tax = M.line_amounts(F.col("unit_price"), F.col("quantity"), F.col("discount"),
-                                   F.col("discount_type"), F.col("tax_percent"), v)
+    kinds = {f.name: f.dataType for f in ITEM.fields if isinstance(f.dataType, T.DecimalType)}
+    price, qty, discount, rate = (
+        F.col(c) if lines.schema[c].dataType == kinds[c] else M.exact(F.col(c), kinds[c])
+        for c in ("unit_price", "quantity", "discount", "tax_percent"))
+    lt, disc, tax = M.line_amounts(price, qty, discount, F.col("discount_type"), rate, v)
     return (lines.select(F.col(key).alias("_key"), lt.alias("_lt"), disc.alias("_d"),
                          tax.alias("_t"))
                  .groupBy("_key")

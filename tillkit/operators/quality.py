@@ -104,7 +104,8 @@ def item_scale_violations(requests: DataFrame, items_col: str = "items_text",
                           key: str = "request_id") -> DataFrame:
     """Lines of a JSON ``items`` text whose numbers carry more decimal places
     than the stored columns keep (quantity 3, price and discount 2, tax rate
-    2); decoding into the item schema would round them.
+    2). Decoding into the item schema fails on more than 4: this finds them
+    beforehand.
 
     The text is decoded with a wide decimal type first, so nothing is lost
     before the comparison; one row per offending (invoice, line, field).

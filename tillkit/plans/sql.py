@@ -448,14 +448,9 @@ def _calls() -> str:
     from tillkit.sources import seeds
 
     of_three = {
-        "list_products": "L2_list_products", "list_customers": "L3_list_customers", "list_invoices": "L4_list_invoices",
-        "list_tenant_roles": "L10_list_tenant_roles", "report_daily_sales": "R2_daily_sales",
-        "tenant_daily_sales": "R2_daily_sales", "report_daily_sales_v1": "R2a_daily_sales_v1",
-        "report_payment_methods": "R4_payment_methods", "tenant_payment_methods": "R4_payment_methods",
-        "report_payment_methods_v1": "R4a_payment_methods_v1", "report_top_products": "R3_top_products",
-        "tenant_top_products": "R3_top_products"}
+        "list_products": "L2_list_products", "list_customers": "L3_list_customers",
+        "list_tenant_roles": "L10_list_tenant_roles"}
     rows = {n: f"({SQL[q]}) x WHERE tenant_id = 3" for n, q in of_three.items()}
-    rows |= {n: "(SELECT 1) x" for n in ("report_sales_summary", "tenant_sales_summary", "report_sales_summary_v1")}
     rows |= {
         "get_invoice": f"({with_ctes('headers')} SELECT * FROM headers) x WHERE request_id = 11 AND tenant_id = 3",
         "get_menus": f"({SQL['J3_user_menus']}) x WHERE user_id = 11",

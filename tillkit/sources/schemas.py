@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from tillkit.functions.money import ITEM_PRICE, ITEM_QTY, MONEY, PRICE, QTY, RATE
+from tillkit.functions.money import ITEM_PRICE, ITEM_QTY, MONEY, PRICE, QTY, RATE, exact
 
 ITEM = T.StructType([
     T.StructField("product_id", T.LongType(), True),
@@ -20,6 +20,9 @@ ITEM = T.StructType([
 ])
 
 ITEMS = T.ArrayType(ITEM, True)
+#: Items as JSON has them: numbers of up to 20 digits before the point and 18 after it.
+WIDE_ITEM = T.StructType([T.StructField(f.name, T.DecimalType(38, 18) if isinstance(f.dataType, T.DecimalType) else f.dataType)
+                          for f in ITEM.fields])
 
 # One row per invoice to post (the 11 arguments of sp_create_invoice, plus the
 # request id and time that NOW() / SERIAL supply in the reference).
@@ -71,13 +74,24 @@ USER = T.StructType([
 
 def parse_items(json_text):
     """Decode a JSON array of invoice lines (the JSONB ``items`` text) into
-    ``array<struct>``; numbers are read into the item's decimal types.
+    ``array<struct>``.
 
-    Text that is no JSON, or a number that is none, fails the query, as a cast
-    to JSONB or NUMERIC does; it never becomes an invoice of 0."""
+    Numbers are read with 18 places and must fit the item's types as they are: a
+    number of more places than those hold fails the query (``money.exact``), it
+    is not rounded. Text that is no JSON, or a number that is none, fails it
+    too, as a cast to JSONB or NUMERIC does; it never becomes an invoice of 0."""
     from pyspark.sql import functions as F
 
-    return F.from_json(json_text, ITEMS, {"mode": "FAILFAST"})
+    return exact_items(F.from_json(json_text, T.ArrayType(WIDE_ITEM), {"mode": "FAILFAST"}))
+
+
+def exact_items(items):
+    """An array of items of any decimal types, in the item's own; nothing is rounded."""
+    from pyspark.sql import functions as F
+
+    return F.transform(items, lambda x: F.when(x.isNotNull(), F.struct(*[
+        (exact(x[f.name], f.dataType) if isinstance(f.dataType, T.DecimalType) else x[f.name]).alias(f.name)
+        for f in ITEM.fields])))
 
 
 def items_json(items):
