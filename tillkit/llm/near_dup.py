@@ -14,13 +14,18 @@ similarity). Groups are the connected components of the links.
    Texts of up to ``BRIEF`` shingles have no sketches: they and all texts that
    can reach the similarity to one share a shingle of their prefix, the
    rarest ones that a partner cannot all lack. So these pairs are exact.
-3. A sketch or prefix shingle shared by up to ``CROWD`` texts gives all their pairs (of lengths
-   that can reach the similarity), which are aligned in tasks.
-4. The texts of a more crowded sketch are dealt into chunks of about ``CHUNK``,
-   and every two chunks meet in a task. It counts the shingles that any two
-   texts share by one matrix product and aligns the pairs that can reach the
-   similarity; only links leave the task. So no pair is dropped, none is a row,
-   and no task holds more than two chunks.
+3. The least text of each bucket (a sketch or prefix shingle that several texts
+   share) is aligned with the others. That joins most of a group at the cost of
+   one pair per text and bucket; a pair whose texts are joined already changes
+   no group and is not compared again.
+4. Buckets that still hold several components: up to ``CROWD`` texts give all
+   pairs of different components (of lengths that can reach the similarity),
+   which are aligned in tasks. The texts of a more crowded one are dealt into
+   chunks of about ``CHUNK``, and every two chunks with several components meet
+   in a task. It counts the shingles that any two texts share by one matrix
+   product and aligns those pairs of different components that can reach the
+   similarity. So every candidate pair is aligned or joined already: the
+   groups are those of all links, and no task holds more than two chunks.
 5. Links give components by star rounds.
 
 Null texts are in no group but their own; a text without a word only equals
@@ -114,20 +119,39 @@ def _buckets(sketched: DataFrame, least: float) -> DataFrame:
     return rows.join(shared, "s")
 
 
+def _stars(buckets: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) of the least node of each bucket with its other ones."""
+    lead = sketched.select(F.col("node").alias("lead"), F.col("n").alias("m"))
+    first = buckets.where("node <> lead").select(F.col("node").alias("b"), "lead", "n").distinct()
+    return (first.join(lead, "lead").where(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
+            .select(F.col("lead").alias("a"), "b"))
+
+
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets that hold texts of several components, with ``root``."""
+    tagged = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = tagged.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s")
+    return tagged.join(several, "s")
+
+
 def _pairs(buckets: DataFrame, least: float, crowd: int) -> DataFrame:
-    """All candidate pairs (a < b) of buckets of up to ``crowd`` texts."""
-    small = buckets.where(F.col("size") <= crowd).select("s", "node", "n")
-    other = small.select("s", F.col("node").alias("b"), F.col("n").alias("m"))
-    return (small.withColumnRenamed("node", "a").join(other, "s")
-            .where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")))
+    """All candidate pairs (a < b) of different components in buckets of up to ``crowd`` texts."""
+    small = buckets.where(F.col("size") <= crowd).select("s", F.col("node").alias("a"), "n", "root")
+    other = small.select("s", F.col("a").alias("b"), F.col("n").alias("m"), F.col("root").alias("q"))
+    return (small.join(other, (small["s"] == other["s"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("q"))
+                       & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")))
             .select("a", "b").distinct())
 
 
 def _links_of(one: list[tuple], two: list[tuple], least: float) -> list[tuple[int, int]]:
-    """Links between texts (node, shingles) of two chunks, or within one (``two`` empty)."""
+    """Links between texts (node, shingles, root) of two chunks, or within one (``two`` empty).
+
+    Only links that join what is not joined yet: roots that a link has met
+    count as one from then on.
+    """
     both = one + two
-    _, place = np.unique(np.concatenate([x for _, x in both]), return_inverse=True)
-    row = np.repeat(np.arange(len(both)), [len(x) for _, x in both])
+    _, place = np.unique(np.concatenate([x[1] for x in both]), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(x[1]) for x in both])
     shared = np.bincount(place, minlength=1)[place] > 1  # a shingle of one text alone joins nothing
     _, place = np.unique(place[shared], return_inverse=True)
     row, order = row[shared], np.argsort(place, kind="stable")
@@ -138,32 +162,43 @@ def _links_of(one: list[tuple], two: list[tuple], least: float) -> list[tuple[in
         table = np.zeros((len(both), COLUMNS), dtype=np.float32)
         table[row[at], place[at] - lo] = 1.0
         common += table[:len(one)] @ (table[len(one):] if two else table).T
-    size = np.array([len(x) for _, x in both], dtype=float)
+    size = np.array([len(x[1]) for x in both], dtype=float)
     sizes = (size[:len(one)], size[len(one):]) if two else (size, size)
     need = least / (1 + least) * (sizes[0][:, None] + sizes[1][None, :]) - 1e-6
+    top = {x[2]: x[2] for x in both}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
     out = []
     for i, j in zip(*np.nonzero(common >= need)):
         a, b = one[i], (two or one)[j]
-        if a[0] != b[0] and (two or i < j) and aligned(a[1], b[1], least) >= least - 1e-12:
+        if a[0] != b[0] and (two or i < j) and root(a[2]) != root(b[2]) and aligned(a[1], b[1], least) >= least - 1e-12:
+            top[root(a[2])] = root(b[2])
             out.append((min(a[0], b[0]), max(a[0], b[0])))
     return out
 
 
 def _crowd_links(buckets: DataFrame, bodies: DataFrame, least: float, words: int, crowd: int,
                  chunk: int) -> DataFrame:
-    """Links (a, b) between the texts of crowded buckets."""
+    """Links (a, b) that join components among the texts of crowded buckets."""
     deal = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     members = (buckets.where(F.col("size") > crowd)
                .withColumn("chunks", F.ceil(F.col("size") / chunk)).withColumn("c", deal)
                .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
-               .select("s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node"))
+               .select("s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "root"))
+    several = members.groupBy("s", "i", "j").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    members = members.join(several.select("s", "i", "j"), ["s", "i", "j"])
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pw = Powers()
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        body = [(int(n), int(c), _shingles(t, words, pw)) for n, c, t in zip(pdf["node"], pdf["c"], pdf["text"])]
-        one = [(n, x) for n, c, x in body if c == i]
-        two = [(n, x) for n, c, x in body if c == j] if i != j else []
+        body = [(int(c), (int(n), _shingles(t, words, pw), int(r)))
+                for n, c, t, r in zip(pdf["node"], pdf["c"], pdf["text"], pdf["root"])]
+        one = [x for c, x in body if c == i]
+        two = [x for c, x in body if c == j] if i != j else []
         found = _links_of(one, two, least) if one and (two or i == j) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -198,10 +233,10 @@ def _verify(pairs: DataFrame, bodies: DataFrame, least: float, words: int) -> Da
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                      least: float = SIMILARITY, crowd: int = CROWD,
                      chunk: int = CHUNK) -> DataFrame:
-    """Group of every different text: (t1, t2, root, links).
+    """Group of every different text: (t1, t2, root).
 
     t1 and t2 are the hashes of the text (``common.text_key``), root names the
-    group and links counts the verified links of the text to other texts.
+    group.
     """
     ship(docs.sparkSession)
     texts = docs.where(F.col(text).isNotNull()).select(*text_key(text), F.col(text).alias("text"))
@@ -211,20 +246,19 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shared = staged(_buckets(sketched, least), "buckets")
     seen = shared.select("node").distinct().join(sketched.select("node", "t1", "t2"), "node")
     bodies = staged(texts.join(seen, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text")), "bodies")
-    links = staged(_verify(_pairs(shared, least, crowd), bodies, least, words)
-                   .unionByName(_crowd_links(shared, bodies, least, words, crowd, chunk)).distinct(), "pairs")
-    roots = connected(links)
-
-    counts = (links.select(F.explode(F.array("a", "b")).alias("node"))
-              .groupBy("node").agg(F.count(F.lit(1)).alias("links")))
-    return (sketched.select("node", "t1", "t2").join(roots, "node", "left").join(counts, "node", "left")
-            .select("t1", "t2", F.coalesce("root", "node").alias("root"),
-                    F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    # first the least text of each bucket with the others; what that joins needs no more comparing
+    first = staged(_verify(_stars(shared, sketched, least), bodies, least, words), "stars")
+    left = staged(_open(shared, connected(first)), "open")
+    more = _verify(_pairs(left, least, crowd), bodies, least, words).unionByName(
+        _crowd_links(left, bodies, least, words, crowd, chunk))
+    roots = connected(first.unionByName(more))
+    return (sketched.select("node", "t1", "t2").join(roots, "node", "left")
+            .select("t1", "t2", F.coalesce("root", "node").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                     least: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, group_id, group_size, links, kept.
+    """One row per row of ``docs``: doc_id, group_id, group_size, kept.
 
     group_id is the least doc_id of the group; rows that repeat a doc_id are
     rows of their own. ``kept`` marks the rows with that id and the least text
@@ -239,14 +273,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min(F.struct("first", "t1", "t2")).alias("best"), F.min("first").alias("group_id"),
         F.sum("rows").alias("group_size"))
     each = named.join(total, "root").select(
-        "t1", "t2", "group_id", "group_size", "links",
+        "t1", "t2", "group_id", "group_size",
         ((F.col("t1") == F.col("best.t1")) & (F.col("t2") == F.col("best.t2"))).alias("lead"))
     grouped = texts.where(~F.col("bare")).join(each, ["t1", "t2"]).select(
-        "doc_id", "group_id", "group_size", "links",
+        "doc_id", "group_id", "group_size",
         (F.col("lead") & F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("kept"))
     alone = texts.where("bare").select(
         "doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(0).cast("long").alias("links"), F.lit(True).alias("kept"))
+        F.lit(True).alias("kept"))
     return grouped.unionByName(alone)
 
 

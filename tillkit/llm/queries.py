@@ -29,7 +29,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, group_id (least doc_id of its near duplicates), group_size, links, kept."""
+    """doc_id, group_id (least doc_id of its near duplicates), group_size, kept."""
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -65,7 +65,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes they decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path(ENCODE_RANKS))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks).drop("text"), ranks)
+    coded = byte_bpe.encode_and_decode(docs, ranks)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
