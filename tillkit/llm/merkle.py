@@ -39,6 +39,8 @@ from tillkit.llm.common import staged
 from tillkit.operators.numbering import sequence_within
 
 FAN = 8
+#: Ranks of a group that meet its size under one key.
+STRIPE = 4096
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -70,12 +72,13 @@ def leaves(docs: DataFrame, leaf: Column, group: str = "lang", key: str = "doc_i
 def _ranked(nodes: DataFrame, group: list[str], order: list[str]) -> tuple[DataFrame, int]:
     """``nodes`` with the interval of their rank and the size of their tree; the greatest size."""
     placed = staged(sequence_within(nodes, group, order, "hi").withColumn("lo", F.col("hi") - 1), "ranks")
-    sizes = placed.groupBy(*[F.col(g).alias(f"s_{g}") for g in group]).agg(F.max("hi").alias("size"))
-    same = [F.col(g) == F.col(f"s_{g}") for g in group] or [F.lit(True)]
+    sizes = staged(placed.groupBy(*group).agg(F.max("hi").alias("size")), "sizes")
     most = sizes.agg(F.max("size")).first()[0] or 0
     if not group:
         return placed.withColumn("size", F.lit(most).cast("long")), most
-    return placed.join(sizes, same).drop(*[f"s_{g}" for g in group]), most
+    # a size for each stripe of ranks: a group with most of the rows is many keys of the join
+    striped = sizes.withColumn("stripe", F.explode(F.expr(f"sequence(0, (size - 1) div {STRIPE})")))
+    return placed.withColumn("stripe", F.expr(f"lo div {STRIPE}")).join(striped, [*group, "stripe"]).drop("stripe"), most
 
 
 def _above(nodes: DataFrame, level: int, fan: int) -> DataFrame:
