@@ -201,11 +201,16 @@ def test_numbers_go_on_over_micro_batches(spark, scratch, slices):
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 6
 
 
-def test_state_of_old_days_leaves_numbering(spark, scratch):
-    rows = [(d, 9, 1, d // 5) for d in range(25)]
-    progress = sales.arrive(stream_rows(spark, rows), "slice", scratch, sales.start_numbering)
+def test_state_of_old_months_leaves_numbering(spark, scratch):
+    rows = [(0, 9, t, 0) for t in range(6)] + [(0, 9, 1, 1), (50, 9, 1, 1), (50, 10, 1, 2), (120, 9, 1, 3)]
+    df = spark.createDataFrame(
+        [(i, t, dt.datetime(2024, 1, 1, h) + dt.timedelta(days=d), s) for i, (d, h, t, s) in enumerate(rows)],
+        "id long, tenant_id int, created_at timestamp_ntz, slice int")
+    progress = sales.arrive(df, "slice", scratch, sales.start_numbering)
     held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
-    assert max(held) >= 5 and held[-1] <= 4, held
+    assert max(held) >= 6 and held[-1] == 1, held
+    got = {r.id: r.invoice_number[-4:] for r in spark.read.parquet(f"{scratch}/sink").collect()}
+    assert got == {**{i: "0001" for i in range(6)}, 6: "0002", 7: "0001", 8: "0002", 9: "0001"}
 
 
 # ------------------------------------------------------------ variants

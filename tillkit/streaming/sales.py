@@ -2,8 +2,8 @@
 
 * ``append_daily_sales`` emits a (tenant, day) once, when the watermark has
   passed it, and its state leaves; later invoices of that day are dropped.
-* ``number_stream`` keeps the last number of each (tenant, day) in the state
-  store, so numbers go on over micro-batches; the state of a day leaves when
+* ``number_stream`` keeps the last number of each tenant's days in the state
+  store, so numbers go on over micro-batches; the state of a month leaves when
   the watermark has passed it.
 * ``arrive`` replays a finished table as it would have come in: a slice is
   added to the file source, the stream takes what is there, and so on.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,33 +189,36 @@ def _local_event_time(df: DataFrame) -> DataFrame:
 
 
 def _numbered(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of a (tenant, day) in a micro-batch, numbered on from the state."""
+    """The rows of a (tenant, month) in a micro-batch, numbered on by day from the state."""
     if state.hasTimedOut:
         state.remove()
         return
-    last = state.get[0] if state.exists else 0
+    last = np.array(state.get[0] if state.exists else [0] * 31, dtype=np.int64)
     rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
-    rows["seq"] = range(last + 1, last + 1 + len(rows))
-    state.update((last + len(rows),))
-    over = int((pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
-    if over > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(over)
+    day = rows["created_at"].dt.day.fillna(1).astype(np.int64).to_numpy() - 1
+    rows["seq"] = last[day] + rows.groupby(day).cumcount().to_numpy() + 1
+    state.update(((last + np.bincount(day, minlength=31)).tolist(),))
+    if key[1] is not None:
+        over = int((pd.Timestamp(f"{key[1]}-01", tz="UTC") + pd.offsets.MonthBegin(1)).timestamp() * 1000)
+        if over > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(over)
     yield rows[["id", "tenant_id", "created_at", "seq"]]
 
 
 def number_stream(invoices: DataFrame, watermark: str = "2 days") -> DataFrame:
     """B2 over a stream: id, tenant_id, created_at, invoice_number.
 
-    The state of a (tenant, day) is its last number; within a micro-batch rows
-    are numbered by (created_at, id), after those of earlier ones. A task holds
-    one tenant's day of one micro-batch, which the source's limits bound. State
-    leaves when the watermark is a day's end; an invoice that comes later than
-    that starts its day anew, so the delay must cover the lateness.
+    The state of a (tenant, month) is the last number of each day; within a
+    micro-batch rows are numbered by (created_at, id), after those of earlier
+    ones. A task holds one tenant's month of one micro-batch, which the source's
+    limits bound. (A key of a month, as a call per key costs more than its rows.)
+    State leaves when the watermark is the month's end; an invoice that comes
+    later than that starts its day anew, so the delay must cover the lateness.
     """
     rows = _local_event_time(invoices.select("id", "tenant_id", "created_at")).withWatermark("_event_time", watermark)
-    keyed = rows.withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
-    seq = keyed.groupBy("tenant_id", "day").applyInPandasWithState(
-        _numbered, "id long, tenant_id int, created_at timestamp_ntz, seq long", "last long", "append",
+    keyed = rows.withColumn("month", F.date_format("created_at", "yyyy-MM"))
+    seq = keyed.groupBy("tenant_id", "month").applyInPandasWithState(
+        _numbered, "id long, tenant_id int, created_at timestamp_ntz, seq long", "last array<bigint>", "append",
         GroupStateTimeout.EventTimeTimeout)
     return seq.withColumn("invoice_number", invoice_number(F.col("tenant_id"), F.col("created_at"), F.col("seq"))
                           ).drop("seq")
