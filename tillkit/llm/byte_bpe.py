@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillkit.llm.common import Powers, blocks, free_names, ship
+from tillkit.llm.common import Powers, blocks, free_names, release, ship
 from tillkit.llm.words import split_words
 
 #: Characters of text whose distinct words are encoded together.
@@ -221,16 +222,31 @@ class Merger:
         return np.fromiter(itertools.chain.from_iterable(out), dtype="<u4", count=int(count.sum())), count
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the text's token ids, little-endian unsigned 32-bit."""
+class Pieces:
+    """Decodes ids to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        pieces = {rank: piece for piece, rank in ranks.items()}
+        every = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.sizes = np.array([len(p) for p in every])
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(every), dtype=np.uint8)
+
+    def decode(self, ids: bytes | None) -> bytes:
+        """The bytes of little-endian 32-bit ids, one piece after the other."""
+        at = np.frombuffer(ids or b"", dtype="<u4")
+        return self.data[_ragged(self.start[at], self.sizes[at])].tobytes()
+
+
+def _run(docs: DataFrame, ranks: dict[bytes, int], text: str, back: bool) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    (ids,) = free_names(docs, "ids")
-    names = [*docs.columns, ids]
+    added = free_names(docs, "ids", "decoded")[:2 if back else 1]
+    names = [*docs.columns, *added]
     sent = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, pw = Merger(sent.value), Powers()
+        merger, pw, pieces = Merger(sent.value), Powers(), Pieces(sent.value) if back else None
         known: dict[str, bytes] = {}
 
         def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,19 +263,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> Data
                     np.array([len(e) >> 2 for e in every], dtype=np.int64))
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for part in blocks(np.array([len(t) for t in texts]), BLOCK):
-                found = split_words(texts[part], pw)
+            column = batch.column(batch.schema.get_field_index(text))
+            size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+            for part in blocks(size, BLOCK):
+                rows = part.stop - part.start
+                found = split_words([t or "" for t in column.slice(part.start, rows).to_pylist()], pw)
                 flat, many = ids_of(found.words)
                 own = many[found.index]
                 body = flat[_ragged((np.cumsum(many) - many)[found.index], own)].tobytes()
-                per_row = np.bincount(found.text, weights=own, minlength=part.stop - part.start).astype(np.int64) * 4
+                per_row = np.bincount(found.text, weights=own, minlength=rows).astype(np.int64) * 4
+                del found, flat, own
                 at = np.concatenate([[0], np.cumsum(per_row)]).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(part.start, part.stop - part.start) for c in batch.columns),
-                     pa.array([body[a:b] for a, b in zip(at, at[1:])], pa.binary())], names)
+                ids = [body[a:b] for a, b in zip(at, at[1:])]
+                new = [pa.array(ids, pa.binary())]
+                if back:
+                    new.append(pa.array([pieces.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(part.start, rows) for c in batch.columns), *new], names)
+        release()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, T.BinaryType()) for n in added]]))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
+    """``docs`` with ``ids``: the text's token ids, little-endian unsigned 32-bit."""
+    return _run(docs, ranks, text, back=False)
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, the bytes that the ids turn back to.
+
+    Both in one pass: one worker, one table of ranks and one block at a time.
+    """
+    return _run(docs, ranks, text, back=True)
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -267,19 +302,12 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFr
     spark = docs.sparkSession
     ship(spark)
     (name,) = free_names(docs, "decoded")
-    pieces = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
+    sent = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = max(pieces.value) + 1
-        every = [pieces.value.get(i, b"") for i in range(most)]
-        sizes = np.array([len(p) for p in every])
-        start = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(every), dtype=np.uint8)
+        pieces = Pieces(sent.value)
         for batch in batches:
-            out = []
-            for body in batch.column(batch.schema.get_field_index(ids)).to_pylist():
-                at = np.frombuffer(body or b"", dtype="<u4")
-                out.append(data[_ragged(start[at], sizes[at])].tobytes())
+            out = [pieces.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              [*batch.schema.names, name])
 
