@@ -128,14 +128,24 @@ def split(node: Column, key: Column) -> Column:
     return F.aggregate(node, state, draw, lambda s: s["out"])
 
 
+#: Levels of the tree that a task goes down before its nodes are dealt to others.
+DEEP = 6
+
+
 def tree(quotas: DataFrame, levels: int) -> DataFrame:
-    """(shard, place, quota) from one row of ``quotas`` (array, by place)."""
+    """(shard, place, quota) from one row of ``quotas`` (array, by place).
+
+    Every ``DEEP`` levels the nodes are dealt out anew, so that the lower levels
+    are drawn by many tasks.
+    """
     nodes = quotas.select(F.lit(0).alias("shard"), F.col("quotas").alias("node"))
     for level in range(levels):
         halves = nodes.select("shard", "node", split(F.col("node"), F.struct(F.lit(level), F.col("shard"))).alias("left"))
         nodes = halves.select(F.posexplode(F.array(
             F.col("left"), F.zip_with("node", "left", lambda a, b: a - b))).alias("side", "node"), "shard").select(
             (F.col("shard") * 2 + F.col("side")).alias("shard"), "node")
+        if level % DEEP == DEEP - 1 and level + 1 < levels:
+            nodes = nodes.repartition("shard")
     return nodes.select("shard", F.posexplode("node").alias("place", "quota"))
 
 
