@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -19,6 +20,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,14 +63,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of the shared store for all that is ``staged`` within, deleted at the end.
+
+    What was computed from it must be written elsewhere before.
+    """
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.remove(path)
+        remove(spark, path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder (or the ``scratch`` one) and read it back.
 
     Cuts the lineage: what is read twice is computed once, and a lost executor
     costs no more than the tasks it ran.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
