@@ -276,6 +276,7 @@ def plan_text(df):
 
 def test_look_ups_read_what_is_asked_for(spark):
     from tillkit.plans.catalog import PLANS
+    import tillkit.plans.sql  # noqa: F401 - registers all plans
 
     assert "dynamicpruning" in plan_text(PLANS["F1_products_of_live_bakeries"](spark, SF))
     auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"  # off: the plan text shows the buckets that are read
@@ -289,6 +290,7 @@ def test_look_ups_read_what_is_asked_for(spark):
 
 def test_functions_per_row_are_joins(spark):
     from tillkit.plans.catalog import PLANS
+    import tillkit.plans.sql  # noqa: F401 - registers all plans
 
     for name in ("R1_summary_per_row", "R2_daily_per_row", "R3_top_products_per_row", "R4_methods_per_row"):
         text = plan_text(PLANS[name](spark, SF))
