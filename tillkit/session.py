@@ -40,6 +40,8 @@ DEFAULT_CONF = {
     # Checkpoints that nothing refers to any more are deleted.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # On, every column expression asks the JVM several times more, to name its Python line in errors.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
