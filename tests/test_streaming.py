@@ -62,3 +62,18 @@ def test_line_posting_stream_equals_batch(spark, scratch):
     assert spark.read.parquet(os.path.join(scratch, "t2", "sink")).select("batch_id").distinct().count() >= 3
     cols = sorted(want.columns)
     assert _same(got.select(cols), want.select(cols))
+
+
+def test_posting_plan_gives_every_core_a_file(spark, monkeypatch):
+    from tillkit.plans.catalog import PLANS
+    from tillkit.session import ensure_checkpoint_dir
+
+    cores = spark.sparkContext.defaultParallelism
+    ask = B.invoice_requests
+    monkeypatch.setattr(B, "invoice_requests", lambda s, d: ask(s, d).repartition(2 * cores))
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    rows = PLANS["T2_invoice_posting_stream"](spark, SF).count()
+    (root,) = [x for x in set(os.listdir(base)) - before if x.startswith("tillkit-t2-")]
+    parts = [x for x in os.listdir(os.path.join(base, root, "sink")) if x.startswith("batch_id=")]
+    assert rows == ask(spark, SF).count() and len(parts) == 2  # of 2 * cores files

@@ -485,8 +485,11 @@ def t1(spark, d):
 @plan("T2_invoice_posting_stream")
 def t2(spark, d):
     """T2 end to end: nested invoice requests replayed as a file stream, each
-    micro-batch priced from its own items in ``foreachBatch`` (no join)."""
+    micro-batch priced from its own items in ``foreachBatch`` (no join).
+
+    A file is a task, so a micro-batch takes as many files as there are cores."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillkit-t2-{uuid.uuid4().hex}"
-    posted = sales.replay_invoice_posting(B.invoice_requests(spark, d), root)
+    posted = sales.replay_invoice_posting(B.invoice_requests(spark, d), root,
+                                          files_per_batch=max(2, spark.sparkContext.defaultParallelism))
     return posted.select(*_PRICED_COLS, "paid_amount", "balance", "invoice_status",
                          "bill_discount")
