@@ -2,8 +2,12 @@ import datetime as dt
 import os
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
 
-from tillkit.plans import posting
+
+from tillkit.operators import numbering
+from tillkit.plans import posting, stored
+from tillkit.sources import binding as B
 from tillkit.sources.schemas import INVOICE_REQUEST
 
 T0 = dt.datetime(2024, 3, 1, 9, 0)
@@ -42,3 +46,43 @@ def test_post_batches_and_rerun(spark, scratch):
     assert snap == {10: D("97.000"), 11: D("4.000")}
     snap2 = {r.id: r.stock_qty for r in posting.stock_snapshot(spark, products, path).collect()}
     assert snap2 == snap
+
+
+def test_numbering_moves_no_items(spark, scratch, monkeypatch):
+    """What is sorted and kept for ids and numbers holds keys and times only."""
+    seen, keep = [], numbering.materialize
+    for module in (numbering, posting):
+        monkeypatch.setattr(module, "materialize", lambda df: seen.append(set(df.columns)) or keep(df))
+    path = os.path.join(scratch, "invoices")
+    rows = [(i, 1, [it(10, "1", "5.00")], T0 + dt.timedelta(hours=i)) for i in (1, 2)]
+    posting.post_invoices(spark, _req(spark, rows), path, 1)
+    posting.post_invoices(spark, _req(spark, rows[1:]), path, 1)
+    got = spark.read.parquet(path).first()
+    assert (got.request_id, got.id, got.invoice_number, len(got["items"])) == (2, 2, "INV-1-20240301-0002", 1)
+    assert len(seen) >= 4 and not any("items" in columns for columns in seen)
+
+
+def test_requests_that_repeat_or_lack_an_id_are_all_posted(spark, scratch):
+    path = os.path.join(scratch, "invoices")
+    rows = [(i, 1, [it(10, q, "1.00")], T0) for i, q in ((5, "1"), (5, "2"), (None, "3"), (None, "4"), (6, "5"))]
+    df = _req(spark, [(r[0] or 0, *r[1:]) for r in rows]).withColumn("request_id", F.expr("nullif(request_id, 0)"))
+    got = posting.post_invoices(spark, df, path, 1).collect()
+    assert sorted(r.id for r in got) == [1, 2, 3, 4, 5]
+    assert sorted(int(r.invoice_number[-4:]) for r in got) == [1, 2, 3, 4, 5]
+    assert sorted(r.grand_total for r in got) == [D(x) for x in (1, 2, 3, 4, 5)]
+    assert sorted((r.request_id or 0) for r in got) == [0, 0, 5, 5, 6]
+
+
+def test_batches_group_their_lines_once(spark, monkeypatch):
+    """The plans over posted batches build the requests once, not once per batch."""
+    built = spark.sparkContext.accumulator(0)
+    few = B.invoice_requests(spark, "/root/testdata/sf0.001").where("request_id < 200")
+
+    def seen(i):
+        built.add(1)
+        return i
+
+    monkeypatch.setattr(B, "invoice_requests", lambda s, d: few.withColumn("request_id", F.udf(seen, "long")("request_id")))
+    got = spark.read.parquet(stored._posted(spark, "/root/testdata/sf0.001"))
+    cancelled = few.where("year(created_at) in (1994, 1995) and invoice_status = 'Cancelled'").count()
+    assert got.count() == few.count() - cancelled and built.value == few.count()

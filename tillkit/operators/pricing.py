@@ -55,7 +55,7 @@ def _created_at(df: DataFrame, as_of) -> F.Column:
     return F.col("created_at")
 
 
-def _finalize(df: DataFrame, version: M.PricingVersion, key: str, as_of=None) -> DataFrame:
+def _finalize(df: DataFrame, version: M.PricingVersion, key: str, as_of=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Invoice-level totals from the three folded sums ``_sub, _disc, _tax``."""
     sub, disc, tax = F.col("_sub"), F.col("_disc"), F.col("_tax")
     zero = F.lit(0).cast(M.WORK)
@@ -91,7 +91,7 @@ def _finalize(df: DataFrame, version: M.PricingVersion, key: str, as_of=None) ->
         cols["metadata"] = F.coalesce(F.col("metadata"), F.lit("{}"))
     if version.bill_discount:
         cols["bill_discount"] = bill
-    extra = [c for c in df.columns if c == "items"]
+    extra = [c for c in df.columns if c == "items" or c in keep]
     return df.select(*[v.alias(k) for k, v in cols.items()], *extra)
 
 
@@ -106,10 +106,11 @@ def _items(requests: DataFrame) -> F.Column:
 
 
 def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
-                   as_of=None) -> DataFrame:
+                   as_of=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """B1 on nested requests; one output row per request, no shuffle.
 
     Requests without ``created_at`` are stamped ``as_of`` (default: now).
+    ``keep``: columns beside the invoice's that go through as they are.
     """
     v = _version(version)
     zero = F.lit(0).cast(M.WORK)
@@ -125,7 +126,7 @@ def price_invoices(requests: DataFrame, version="v3", key: str = "request_id",
     items = F.coalesce(_items(requests), F.array().cast(T.ArrayType(ITEM)))
     folded = requests.withColumn("_acc", F.aggregate(items, init, step)).withColumns(
         {"_sub": F.col("_acc.sub"), "_disc": F.col("_acc.disc"), "_tax": F.col("_acc.tax")})
-    return _finalize(folded, v, key, as_of)
+    return _finalize(folded, v, key, as_of, keep)
 
 
 def line_totals(lines: DataFrame, version="v3", key: str = "invoice_id") -> DataFrame:

@@ -3,9 +3,11 @@
 The reference posts one invoice per transaction: price, number, insert, then
 one stock UPDATE per line. Here a whole batch of requests is posted at once:
 
-1. price every request once (B1, nested form: no shuffle) and keep the result;
+1. keep the requests as files, each row under a number of its own;
 2. give ids from a range reserved for the batch (W2, ``sources.ids``) and
-   numbers per tenant and day that continue the greatest stored one (B2);
+   numbers per tenant and day that continue the greatest stored one (B2), on keys
+   and times alone; the rows with their items move once, to meet their numbers, and
+   are priced on the way to the store (B1, nested form);
 3. write the batch into its own ``batch_id=<n>`` folder, so re-running a batch
    replaces it (by nothing, if it is empty) instead of adding duplicates; requests that the stored batch already holds keep their ids and
    numbers, and new ones come after everything stored;
@@ -18,6 +20,8 @@ part of the batch is a pure function of them, and a rerun replaces both.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +30,10 @@ from tillkit.operators import pricing
 from tillkit.operators.ledger import StockLedger
 from tillkit.operators.numbering import assign_ids
 from tillkit.sources.ids import IdRegister
-from tillkit.sources.tables import materialize
+from tillkit.sources.tables import delete_folder, materialize
+
+#: Columns that posting gives to a request, and the number of a kept row.
+_GIVEN, _KEPT = ("id", "day_seq", "invoice_number"), "_kept"
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -59,6 +66,39 @@ def _with_ids(spark: SparkSession, fresh: DataFrame, invoices_path: str, batch_i
     return assign_ids(fresh, ["created_at", "request_id"], start_after=first - 1)
 
 
+def _numbers(spark: SparkSession, rows: DataFrame, invoices_path: str, batch_id: int) -> DataFrame:
+    """``_kept`` with its ``id``, ``day_seq`` and ``invoice_number``: those that the
+    stored batch gave to the same request, else new ones."""
+    def fresh(new: DataFrame, existing: DataFrame | None) -> DataFrame:
+        with_ids = _with_ids(spark, new, invoices_path, batch_id)
+        return pricing.number_invoices(with_ids, existing=existing, seq="day_seq").select(_KEPT, *_GIVEN)
+
+    stored = _stored(spark, invoices_path)
+    if stored is None:
+        return fresh(rows, None)
+    own = stored.filter(F.col("batch_id") == batch_id).select(F.col("request_id").alias("_req"), *_GIVEN)
+    if own.isEmpty():
+        return fresh(rows, stored)
+    known = materialize(rows.join(own, rows["request_id"] == own["_req"], "left"))
+    again = known.filter(F.col("_req").isNotNull()).select(_KEPT, *_GIVEN)
+    new = known.filter(F.col("_req").isNull()).select(*rows.columns)
+    # read back before the batch's own partition is replaced
+    return materialize(again.unionByName(fresh(new, stored)))
+
+
+def keep_requests(requests: DataFrame, path: str, *folders: str) -> DataFrame:
+    """Requests written to ``path``, each row under a number of its own, and read back.
+
+    What ``post_invoices`` is given in this form it reads where it lies, so requests
+    that are kept once, a folder per value of ``folders``, can be posted part by part.
+    """
+    if "created_at" not in requests.columns:
+        requests = requests.withColumn("created_at", F.localtimestamp())
+    rows = requests.withColumn(_KEPT, F.monotonically_increasing_id())
+    rows.write.partitionBy(*folders).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def post_invoices(spark: SparkSession, requests: DataFrame, invoices_path: str, batch_id: int,
                   version: str = "v3") -> DataFrame:
     """Price, number and store one batch, and post its sales to the stock ledger.
@@ -66,23 +106,16 @@ def post_invoices(spark: SparkSession, requests: DataFrame, invoices_path: str,
     Returns the stored rows of the batch; ``day_seq`` is the number within the
     tenant's day, which the printed one cuts to four digits (N5).
     """
-    stored = _stored(spark, invoices_path)
-    priced = materialize(pricing.price_invoices(requests, version).withColumnRenamed("id", "request_id"))
-    if stored is None:
-        out = pricing.number_invoices(_with_ids(spark, priced, invoices_path, batch_id), seq="day_seq")
-    else:
-        own = stored.filter(F.col("batch_id") == batch_id).select(
-            F.col("request_id").alias("_req"), F.col("id").alias("_id"),
-            F.col("invoice_number").alias("_number"), F.col("day_seq").alias("_seq"))
-        known = priced.join(own, priced["request_id"] == own["_req"], "left")
-        again = known.filter(F.col("_req").isNotNull()).withColumns(
-            {"id": F.col("_id"), "invoice_number": F.col("_number"), "day_seq": F.col("_seq")}
-        ).drop("_req", "_id", "_number", "_seq")
-        new = known.filter(F.col("_req").isNull()).drop("_req", "_id", "_number", "_seq")
-        fresh = pricing.number_invoices(_with_ids(spark, new, invoices_path, batch_id), existing=stored, seq="day_seq")
-        # read back before the batch's own partition is replaced
-        out = materialize(again.unionByName(fresh.select(*again.columns)))
-    out.write.mode("overwrite").parquet(f"{invoices_path.rstrip('/')}/batch_id={batch_id}")
+    scratch = f"{invoices_path.rstrip('/')}-kept-{uuid.uuid4().hex}"
+    try:
+        kept = requests if _KEPT in requests.columns else keep_requests(requests, scratch)
+        keys = kept.select(_KEPT, "request_id", "tenant_id", "created_at")
+        numbers = _numbers(spark, keys, invoices_path, batch_id).withColumnRenamed("id", "_id")
+        out = pricing.price_invoices(kept.join(numbers, _KEPT), version, keep=("_id", *_GIVEN[1:]))
+        out = out.withColumnsRenamed({"id": "request_id"}).withColumnsRenamed({"_id": "id"})
+        out.write.mode("overwrite").parquet(f"{invoices_path.rstrip('/')}/batch_id={batch_id}")
+    finally:
+        delete_folder(spark, scratch)
     posted = spark.read.parquet(invoices_path).filter(F.col("batch_id") == batch_id)
     lines = pricing.explode_items(posted, keep=("id", "tenant_id"))
     StockLedger(spark, ledger_path(invoices_path)).post(batch_id, lines)

@@ -22,7 +22,7 @@ from tillkit.session import ensure_checkpoint_dir
 from tillkit.sources import binding as B
 from tillkit.sources import seeds, variants
 from tillkit.sources.buckets import BucketTable
-from tillkit.sources.tables import append_partitioned, read_table, write_bucketed
+from tillkit.sources.tables import append_partitioned, delete_folder, read_table, write_bucketed
 from tillkit.streaming import sales
 
 SQL: dict[str, str] = {}
@@ -38,12 +38,17 @@ def run_folder(spark, name: str) -> str:
 def _posted(spark, d) -> str:
     """Orders posted in three batches by date; the second one then again without its cancelled ones."""
     path = run_folder(spark, "posting")
-    requests = B.invoice_requests(spark, d)
     year = F.year("created_at")
-    batches = {1: year < 1994, 2: year.isin(1994, 1995), 3: year > 1995}
-    for n, when in batches.items():
-        posting.post_invoices(spark, requests.where(when), path, n)
-    posting.post_invoices(spark, requests.where(batches[2] & (F.col("invoice_status") != "Cancelled")), path, 2)
+    batch = F.when(year < 1994, 1).when(year.isin(1994, 1995), 2).when(year > 1995, 3)
+    # the requests are kept once, each batch in a folder of its own: lines are not grouped again per batch
+    kept = f"{path}-requests"
+    requests = B.invoice_requests(spark, d).withColumn("batch", batch).where("batch is not null")
+    requests = posting.keep_requests(requests, kept, "batch")
+    batches = {n: requests.where(F.col("batch") == n).drop("batch") for n in (1, 2, 3)}
+    for n, asked in batches.items():
+        posting.post_invoices(spark, asked, path, n)
+    posting.post_invoices(spark, batches[2].where(F.col("invoice_status") != "Cancelled"), path, 2)
+    delete_folder(spark, kept)
     return path
 
 

@@ -60,3 +60,9 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder and all in it, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
