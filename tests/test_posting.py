@@ -5,7 +5,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 
-from tillkit.operators import numbering
+from tillkit.operators import numbering, pricing
 from tillkit.plans import posting, stored
 from tillkit.sources import binding as B
 from tillkit.sources.schemas import INVOICE_REQUEST
@@ -86,3 +86,23 @@ def test_batches_group_their_lines_once(spark, monkeypatch):
     got = spark.read.parquet(stored._posted(spark, "/root/testdata/sf0.001"))
     cancelled = few.where("year(created_at) in (1994, 1995) and invoice_status = 'Cancelled'").count()
     assert got.count() == few.count() - cancelled and built.value == few.count()
+
+
+def test_bucketed_requests_do_not_move_to_their_numbers(spark, scratch, monkeypatch):
+    """Requests kept in buckets are read there: only keys and numbers are exchanged."""
+    rows = [(i, 1 + i % 2, [it(10, "1", f"{i}.00")], T0 + dt.timedelta(hours=i % 7)) for i in range(1, 60)]
+    kept = posting.keep_requests(_req(spark, rows + rows[:3]), os.path.join(scratch, "kept-requests"), buckets=4)
+    plans, price = [], pricing.price_invoices
+    monkeypatch.setattr(posting.pricing, "price_invoices", lambda *a, **k: plans.append(price(*a, **k)) or plans[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = posting.post_invoices(spark, kept, os.path.join(scratch, "invoices"), 1).collect()
+        text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        posting.drop_requests(spark, os.path.join(scratch, "kept-requests"))
+    assert len(got) == 62 and sorted(r.id for r in got) == [*range(1, 63)]
+    assert all(r.grand_total == r.request_id for r in got)
+    assert not os.path.exists(os.path.join(scratch, "kept-requests"))
+    first_side = text.split("SortMergeJoin [_at")[1].split("Bucketed: true")
+    assert len(first_side) > 1 and "Exchange" not in first_side[0]

@@ -6,7 +6,7 @@ one stock UPDATE per line. Here a whole batch of requests is posted at once:
 1. keep the requests as files, each row under a number of its own;
 2. give ids from a range reserved for the batch (W2, ``sources.ids``) and
    numbers per tenant and day that continue the greatest stored one (B2), on keys
-   and times alone; the rows with their items move once, to meet their numbers, and
+   and times alone; the rows with their items move at most once, to meet their numbers, and
    are priced on the way to the store (B1, nested form);
 3. write the batch into its own ``batch_id=<n>`` folder, so re-running a batch
    replaces it (by nothing, if it is empty) instead of adding duplicates; requests that the stored batch already holds keep their ids and
@@ -23,7 +23,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillkit.operators import pricing
@@ -32,8 +32,8 @@ from tillkit.operators.numbering import assign_ids
 from tillkit.sources.ids import IdRegister
 from tillkit.sources.tables import delete_folder, materialize
 
-#: Columns that posting gives to a request, and the number of a kept row.
-_GIVEN, _KEPT = ("id", "day_seq", "invoice_number"), "_kept"
+#: Columns that posting gives to a request; the number of a kept row, and its bucket key.
+_GIVEN, _KEPT, _AT = ("id", "day_seq", "invoice_number"), "_kept", "_at"
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -67,11 +67,11 @@ def _with_ids(spark: SparkSession, fresh: DataFrame, invoices_path: str, batch_i
 
 
 def _numbers(spark: SparkSession, rows: DataFrame, invoices_path: str, batch_id: int) -> DataFrame:
-    """``_kept`` with its ``id``, ``day_seq`` and ``invoice_number``: those that the
+    """``_kept`` with its ``id``, ``day_seq`` and ``invoice_number`` beside ``request_id``: those that the
     stored batch gave to the same request, else new ones."""
     def fresh(new: DataFrame, existing: DataFrame | None) -> DataFrame:
         with_ids = _with_ids(spark, new, invoices_path, batch_id)
-        return pricing.number_invoices(with_ids, existing=existing, seq="day_seq").select(_KEPT, *_GIVEN)
+        return pricing.number_invoices(with_ids, existing=existing, seq="day_seq").select(_KEPT, "request_id", *_GIVEN)
 
     stored = _stored(spark, invoices_path)
     if stored is None:
@@ -80,23 +80,45 @@ def _numbers(spark: SparkSession, rows: DataFrame, invoices_path: str, batch_id:
     if own.isEmpty():
         return fresh(rows, stored)
     known = materialize(rows.join(own, rows["request_id"] == own["_req"], "left"))
-    again = known.filter(F.col("_req").isNotNull()).select(_KEPT, *_GIVEN)
+    again = known.filter(F.col("_req").isNotNull()).select(_KEPT, "request_id", *_GIVEN)
     new = known.filter(F.col("_req").isNull()).select(*rows.columns)
     # read back before the batch's own partition is replaced
     return materialize(again.unionByName(fresh(new, stored)))
 
 
-def keep_requests(requests: DataFrame, path: str, *folders: str) -> DataFrame:
+def _at() -> Column:
+    """The bucket key of a request: its id; those without one lie apart."""
+    return F.coalesce("request_id", -1 - F.col(_KEPT))
+
+
+def _table(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+
+
+def keep_requests(requests: DataFrame, path: str, *folders: str, buckets: int | None = None) -> DataFrame:
     """Requests written to ``path``, each row under a number of its own, and read back.
 
     What ``post_invoices`` is given in this form it reads where it lies, so requests
     that are kept once, a folder per value of ``folders``, can be posted part by part.
+    With ``buckets`` they are a table bucketed by request id, whose rows need not move
+    to meet their numbers; requests that come by id anyway, in as many shuffle
+    partitions, are written as a file per bucket. ``drop_requests`` removes both.
     """
     if "created_at" not in requests.columns:
         requests = requests.withColumn("created_at", F.localtimestamp())
     rows = requests.withColumn(_KEPT, F.monotonically_increasing_id())
-    rows.write.partitionBy(*folders).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    rows = rows.withColumn(_AT, _at())
+    writer = rows.write.partitionBy(*folders)
+    if buckets is None:
+        writer.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    writer.format("parquet").bucketBy(buckets, _AT).option("path", path).saveAsTable(_table(path))
+    return rows.sparkSession.table(_table(path))
+
+
+def drop_requests(spark: SparkSession, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {_table(path)}")
+    delete_folder(spark, path)
 
 
 def post_invoices(spark: SparkSession, requests: DataFrame, invoices_path: str, batch_id: int,
@@ -110,8 +132,11 @@ def post_invoices(spark: SparkSession, requests: DataFrame, invoices_path: str,
     try:
         kept = requests if _KEPT in requests.columns else keep_requests(requests, scratch)
         keys = kept.select(_KEPT, "request_id", "tenant_id", "created_at")
-        numbers = _numbers(spark, keys, invoices_path, batch_id).withColumnRenamed("id", "_id")
-        out = pricing.price_invoices(kept.join(numbers, _KEPT), version, keep=("_id", *_GIVEN[1:]))
+        numbers = _numbers(spark, keys, invoices_path, batch_id)
+        numbers = numbers.select(F.col(_KEPT).alias("_n_kept"), _at().alias("_n_at"), F.col("id").alias("_id"), *_GIVEN[1:])
+        # equal in the bucket key alone, or buckets would not do; requests that share an id are told apart by row
+        same = (kept[_AT] == F.col("_n_at")) & kept[_KEPT].between(F.col("_n_kept"), F.col("_n_kept"))
+        out = pricing.price_invoices(kept.join(numbers, same), version, keep=("_id", *_GIVEN[1:]))
         out = out.withColumnsRenamed({"id": "request_id"}).withColumnsRenamed({"_id": "id"})
         out.write.mode("overwrite").parquet(f"{invoices_path.rstrip('/')}/batch_id={batch_id}")
     finally:

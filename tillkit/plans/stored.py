@@ -22,7 +22,7 @@ from tillkit.session import ensure_checkpoint_dir
 from tillkit.sources import binding as B
 from tillkit.sources import seeds, variants
 from tillkit.sources.buckets import BucketTable
-from tillkit.sources.tables import append_partitioned, delete_folder, read_table, write_bucketed
+from tillkit.sources.tables import append_partitioned, read_table, write_bucketed
 from tillkit.streaming import sales
 
 SQL: dict[str, str] = {}
@@ -43,12 +43,12 @@ def _posted(spark, d) -> str:
     # the requests are kept once, each batch in a folder of its own: lines are not grouped again per batch
     kept = f"{path}-requests"
     requests = B.invoice_requests(spark, d).withColumn("batch", batch).where("batch is not null")
-    requests = posting.keep_requests(requests, kept, "batch")
+    requests = posting.keep_requests(requests, kept, "batch", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     batches = {n: requests.where(F.col("batch") == n).drop("batch") for n in (1, 2, 3)}
     for n, asked in batches.items():
         posting.post_invoices(spark, asked, path, n)
     posting.post_invoices(spark, batches[2].where(F.col("invoice_status") != "Cancelled"), path, 2)
-    delete_folder(spark, kept)
+    posting.drop_requests(spark, kept)
     return path
 
 
